@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, neardup
+from vigil.llm import bpe, langid, neardup, substrings, toxicity
 
 _SQL: dict[str, str] = {}
 
@@ -23,8 +23,23 @@ def op8_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after removal of 50-word passages that an earlier document has, with a digest."""
+    return substrings.digest(substrings.remove_repeated(_read(spark, sf_dir, "documents"), window=50))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from labels outside the fold held out."""
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned outside the fold held out."""
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op7_byte_bpe, op8_minhash_bottom_k)}
+    return {f.__name__: f for f in (op5_toxicity, op7_byte_bpe, op8_minhash_bottom_k, op9_substrings, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -137,18 +137,18 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, U64)
     size = len(h) - n + 1
     out = np.zeros(size, U64)
-    done, power, part, width = 0, U64(1), h.copy(), 1
-    left, step = n, U64(_BASE)
+    done, power, part, width = 0, 1, h.copy(), 1
+    left, step, full = n, _BASE, (1 << 64) - 1
     while left:
         if left & 1:
-            out += part[done : done + size] * power
+            out += part[done : done + size] * U64(power)
             done += width
-            power = power * step
+            power = power * step & full
         left >>= 1
         if left:
-            part = part[: len(part) - width] + part[width:] * step
+            part = part[: len(part) - width] + part[width:] * U64(step)
             width *= 2
-            step = step * step
+            step = step * step & full
     return mix(out)
 
 
