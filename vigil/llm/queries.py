@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, neardup, substrings, toxicity
+from vigil.llm import bpe, cleaning, langid, neardup, substrings, toxicity
 
 _SQL: dict[str, str] = {}
 
@@ -28,6 +28,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeated(_read(spark, sf_dir, "documents"), window=50))
 
 
+def op4_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of line-first cleaning for every text."""
+    return cleaning.clean_lines(_read(spark, sf_dir, "documents")).select(*cleaning.BASE_COLUMNS)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learned from labels outside the fold held out."""
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -39,7 +44,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op5_toxicity, op7_byte_bpe, op8_minhash_bottom_k, op9_substrings, op10_language)}
+    return {f.__name__: f for f in (op4_line_cleaning, op5_toxicity, op7_byte_bpe, op8_minhash_bottom_k, op9_substrings, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
