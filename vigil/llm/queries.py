@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, cleaning, langid, neardup, substrings, toxicity
+from vigil.llm import ann, bpe, cleaning, langid, language_model, neardup, packing, substrings, toxicity
 
 _SQL: dict[str, str] = {}
 
@@ -28,6 +28,22 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeated(_read(spark, sf_dir, "documents"), window=50))
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose vec_id is divisible by 20."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), top=20)
+
+
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every text."""
+    return language_model.score_documents(_read(spark, sf_dir, "documents"))
+
+
+def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 ids."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), capacity=1024, with_ids=False)
+
+
 def op4_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of line-first cleaning for every text."""
     return cleaning.clean_lines(_read(spark, sf_dir, "documents")).select(*cleaning.BASE_COLUMNS)
@@ -44,7 +60,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op4_line_cleaning, op5_toxicity, op7_byte_bpe, op8_minhash_bottom_k, op9_substrings, op10_language)}
+    return {f.__name__: f for f in (op1_cross_polytope, op2_deleted_interpolation, op3_harmonic_packing, op4_line_cleaning, op5_toxicity, op7_byte_bpe, op8_minhash_bottom_k, op9_substrings, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
