@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import ann, bpe, cleaning, langid, language_model, neardup, packing, substrings, toxicity
+from vigil.llm import ann, bpe, cleaning, langid, language_model, licences, neardup, packing, substrings, toxicity
 
 _SQL: dict[str, str] = {}
 
@@ -54,13 +54,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every text."""
+    return licences.digest(licences.scan(_read(spark, sf_dir, "documents")))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned outside the fold held out."""
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_cross_polytope, op2_deleted_interpolation, op3_harmonic_packing, op4_line_cleaning, op5_toxicity, op7_byte_bpe, op8_minhash_bottom_k, op9_substrings, op10_language)}
+    return {f.__name__: f for f in (op1_cross_polytope, op2_deleted_interpolation, op3_harmonic_packing, op4_line_cleaning, op5_toxicity, op6_licences, op7_byte_bpe, op8_minhash_bottom_k, op9_substrings, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
