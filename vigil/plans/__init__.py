@@ -1,0 +1,6 @@
+"""Query plans over the test tables."""
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from vigil.plans import core  # noqa: F401
