@@ -8,8 +8,9 @@
    list unless it is most of a document. Lists are split by set size, as similar sets have similar sizes.
 3. Links without all pairs: in each list every class is compared with one hub, and links join classes
    into components; two such rounds resolve large families with a number of comparisons in proportion to
-   the list. What stays in lists with several components is compared across components only, minus pairs
-   that were compared already: no link between different components is lost.
+   the list. Sets in lists that still hold several components are then joined across components by exact
+   prefixes with the positional bound (``_prefix_pairs``), minus pairs compared before: no link between
+   different components is lost.
 4. Each comparison first estimates the similarity from the union's k smallest values, then verifies on
    the full sets.
 
@@ -154,6 +155,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, floor: in
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _hub_pairs(here: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member of a list with the list's hub, if their components differ.
+
+    The first hub is the member that shares most of its sketch with others; later ones come from a component
+    picked by hash.
+    """
+    lead = F.lit(0).cast("long") if turn == 0 else F.xxhash64("comp", F.lit(turn))
+    order = F.struct(lead.alias("o"), (-F.col("m")).alias("p"), F.xxhash64("cid").alias("q"), F.col("cid").alias("c"), F.col("comp").alias("k"), F.col("n").alias("nk"))
+    hubs = here.groupBy("list").agg(F.min(order).alias("h")).select("list", F.col("h.c").alias("c"), F.col("h.k").alias("k"), F.col("h.nk").alias("nk"))
+    near = here.join(hubs, "list").where("comp <> k").where(f"100 * least(n, nk) >= {percent} * greatest(n, nk)")
+    return near.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+
+
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that can reach the threshold, by exact prefixes of the full sets.
+
+    Shingles are ordered by how many of these sets have them, rarest first. Two sets that reach the overlap
+    the threshold asks for have, at their first common shingle, at least that many shingles left in both;
+    so shingles of a set's own, which stand first, rule out whole families without comparing sets.
+    """
+    need = f"ceil({percent} / {100 + percent}.0D * (n + on) - 1e-9D)"
+    rows = left.join(sets, "cid").select("cid", "comp", (F.octet_length("set") / 8).cast("long").alias("n"), "set")
+
+    def spread(batches):
+        for batch in batches:
+            raw = batch.column(3)
+            for r in range(len(batch)):
+                v = np.frombuffer(raw[r].as_buffer(), "<i8")
+                one = [pa.array(np.full(len(v), batch.column(c)[r].as_py()), pa.int64()) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*one, pa.array(v, pa.int64())], ["cid", "comp", "n", "v"])
+
+    flat = stored(rows.mapInArrow(spread, "cid long, comp long, n long, v long"), "open")
+    df = flat.groupBy("v").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("cross")).where("df > 1")
+    ranked = (
+        flat.join(df, "v").groupBy("cid").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v", "cross"))).alias("vs"))
+        .select("cid", "comp", "n", (F.col("n") - F.size("vs")).alias("own"), F.posexplode("vs").alias("i", "e"))
+        .select("cid", "comp", "n", (F.col("own") + F.col("i")).alias("at"), F.col("e.v").alias("v"), F.col("e.cross").alias("cross"))
+        .where("cross").where(f"n - at >= ceil({percent} / 100.0D * n - 1e-9D)").drop("cross")
+    )
+    entries = stored(ranked, "entries")
+    other = entries.select("v", F.col("cid").alias("c"), F.col("comp").alias("k"), F.col("n").alias("on"), F.col("at").alias("oat"))
+    pairs = entries.join(other, "v").where("cid < c and comp <> k").where(f"least(n - at, on - oat) >= {need}")
+    return pairs.select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -175,13 +221,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         classes.select("cid", "rep", "n", F.explode("sketch").alias("v")).join(shared, "v")
         .groupBy("cid").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
         .withColumn("need", need).where("size(vs) >= need")
-        .select("cid", "rep", "n", F.expr("slice(vs, 1, cast(size(vs) - need + 1 as int))").alias("vs"))
+        .select("cid", "rep", "n", F.size("vs").alias("m"), F.expr("slice(vs, 1, cast(size(vs) - need + 1 as int))").alias("vs"))
     )
     prefix = stored(prefix, "prefix")
     bucket = F.floor(F.ln(n.cast("double")) / F.lit(math.log(1 / threshold) * 1.000001)).cast("int")
-    entries = prefix.select("cid", "n", F.explode("vs.v").alias("v")).select("cid", "n", "v", F.explode(F.array(bucket, bucket + 1)).alias("z"))
+    entries = prefix.select("cid", "n", "m", F.explode("vs.v").alias("v")).select("cid", "n", "m", "v", F.explode(F.array(bucket, bucket + 1)).alias("z"))
     full = entries.groupBy("v", "z").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    lists = stored(entries.join(full, ["v", "z"]).select(F.xxhash64("v", "z").alias("list"), "cid", "n"), "lists")
+    lists = stored(entries.join(full, ["v", "z"]).select(F.xxhash64("v", "z").alias("list"), "cid", "n", "m"), "lists")
     wanted = lists.select("cid").distinct()
     reps = prefix.join(wanted, "cid", "left_semi").select(F.col("rep").alias("doc_id"), "cid")
     texts = docs.select("doc_id", "text").join(reps.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
@@ -189,20 +235,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
     checked, links, comp = None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        here = lists if comp is None else lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        if comp is None:
-            here = here.withColumn("comp", F.col("cid"))
-        else:
+        here = lists.withColumn("comp", F.col("cid"))
+        if comp is not None:
+            here = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
             open_ = here.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
             here = here.join(open_, "list", "left_semi")
         if turn < HUB_ROUNDS:
-            order = F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), F.xxhash64("cid", F.lit(turn)).alias("p"), F.col("cid").alias("c"), F.col("comp").alias("k"), F.col("n").alias("m"))
-            hubs = here.groupBy("list").agg(F.min(order).alias("h")).select("list", F.col("h.c").alias("c"), F.col("h.k").alias("k"), F.col("h.m").alias("m"))
-            pairs = here.join(hubs, "list").where("comp <> k")
+            pairs = _hub_pairs(here, turn, percent)
         else:
-            other = here.select("list", F.col("cid").alias("c"), F.col("comp").alias("k"), F.col("n").alias("m"))
-            pairs = here.join(other, "list").where("comp <> k and cid < c")
-        pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+            pairs = _prefix_pairs(here.groupBy("cid").agg(F.first("comp").alias("comp")), sets, percent)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
