@@ -25,11 +25,11 @@ def lon(key: str):
 
 
 def lat_sql(key: str) -> str:
-    return f"(-20.03::DOUBLE + (({key} * 37) % 260) / 1000.0::DOUBLE)"
+    return f"(-20.03::DOUBLE + ((({key}) * 37) % 260) / 1000.0::DOUBLE)"
 
 
 def lon_sql(key: str) -> str:
-    return f"(-44.06::DOUBLE + (({key} * 53) % 190) / 1000.0::DOUBLE)"
+    return f"(-44.06::DOUBLE + ((({key}) * 53) % 190) / 1000.0::DOUBLE)"
 
 
 def q_sql(x: str, places: int = 6) -> str:
