@@ -11,15 +11,16 @@ from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path, schema: StructType | str, sep: str = ",", encoding: str = "UTF-8", skip_rows: int = 0, comma_decimals: list[str] | None = None) -> DataFrame:
-    """CSV with a header. ``skip_rows`` leaves out lines above it; ``comma_decimals`` names columns written 1,5."""
+    """CSV with a header. ``skip_rows`` leaves out that many lines (blank ones not counted) above it; ``comma_decimals`` names columns written 1,5."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     text = StructType.fromDDL(", ".join(f"`{f.name}` string" for f in schema))
     if skip_rows:
-        lines = spark.read.option("encoding", encoding).option("wholetext", True).text(path)
-        body = lines.select(F.slice(F.split("value", r"\r?\n"), skip_rows + 2, 1 << 30).alias("l")).select(F.explode("l").alias("value")).where("trim(value) <> ''")
-        ddl = ", ".join(f"`{f.name}` string" for f in text)
-        raw = body.select(F.from_csv("value", ddl, {"sep": sep}).alias("r")).select("r.*")
+        # A file's rows are consecutive in its task, so row numbers count from the file's first row.
+        lines = spark.read.schema(text).options(header=False, sep=sep, encoding=encoding).csv(path)
+        lines = lines.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+        first = lines.where("_b = 0").groupBy("_f").agg(F.min("_i").alias("_first"))  # a row a file
+        raw = lines.join(F.broadcast(first), "_f", "left").where((F.col("_b") > 0) | (F.col("_i") - F.col("_first") > skip_rows))
     else:
         raw = spark.read.schema(text).options(header=True, sep=sep, encoding=encoding).csv(path)
     commas = set(comma_decimals or [])
