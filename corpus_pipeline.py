@@ -42,10 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has go; texts that lose a word are written anew, empty ones go."""
-    cut = substrings.remove_repeated(docs, window=50).where("n_removed > 0").select("doc_id", "kept").distinct()
-    out = docs.select(*COLUMNS).join(cut, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    return out.where(F.col("kept").isNull() | (F.col("kept") != "")).select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
+    out = substrings.remove_repeated(docs, window=50, carry=("text", "lang", "source", "n_chars")).where("n_removed = 0 or kept <> ''")
+    changed = F.col("n_removed") > 0
+    text, size = F.when(changed, F.col("kept")).otherwise(F.col("text")), F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

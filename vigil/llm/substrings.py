@@ -164,13 +164,15 @@ def repeated_windows(docs: DataFrame, window: int = 50, bits: int = CELL_BITS, r
     return found.join(firsts, "w").where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("w").alias("ws"))
 
 
-def remove_repeated(docs: DataFrame, window: int = 50, bits: int = CELL_BITS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept (kept words joined by one space).
+def remove_repeated(docs: DataFrame, window: int = 50, bits: int = CELL_BITS, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept (kept words joined by one space), and the columns in ``carry``.
 
     A null text has no words; a text under ``window`` words loses none. Rows that share a doc_id never count
     as smaller than each other. A row with a null doc_id loses nothing and takes nothing from others. Only
-    doc_id and text are read.
+    doc_id, text and ``carry`` are read.
     """
+    source = docs.select("doc_id", "text", *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
+    carried = [f"carried_{k}" for k in range(len(carry))]
     hits = repeated_windows(docs, window, bits, rows)
 
     def run(batches):
@@ -203,9 +205,12 @@ def remove_repeated(docs: DataFrame, window: int = 50, bits: int = CELL_BITS, ro
                 text[ends[1:][sep] - 1] = 0x20
                 out = pa.StringArray.from_buffers(n, pa.py_buffer(ends[kept_first].astype(np.int32).tobytes()), pa.py_buffer(text.tobytes()))
                 words = np.diff(first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(words, pa.int64()), pa.array(words - np.diff(kept_first), pa.int64()), out], ["doc_id", "n_words", "n_removed", "kept"])
+                more = [batch.column(3 + k).slice(i, n) for k in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(words, pa.int64()), pa.array(words - np.diff(kept_first), pa.int64()), out, *more], ["doc_id", "n_words", "n_removed", "kept", *carried])
 
-    return docs.select("doc_id", "text").join(hits, "doc_id", "left").select("doc_id", "text", "ws").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in carried)
+    result = source.join(hits, "doc_id", "left").select("doc_id", "text", "ws", *carried).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string" + kinds)
+    return result.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
 
 
 def digest(result: DataFrame) -> DataFrame:
