@@ -3,8 +3,8 @@
 A unit vector is turned by a fast pseudo-rotation, three rounds of random signs and a Hadamard transform,
 and falls to the nearest signed axis. Each table stores every vector once, under (table, axis); a query
 probes the ``probes`` axes nearest to it in each table. Candidates meet queries by table and axis, and
-long buckets are cut into blocks of at most about ``BLOCK`` vectors, each seen by all queries of the bucket,
-so a hot axis (say, copies of one vector) is spread over tasks and no bucket is capped. A block multiplies
+long buckets are cut into blocks of about ``BLOCK`` vectors and of as many queries, and every block of one meets
+every block of the other, so a hot axis (say, copies of one vector) is spread over tasks and no bucket is capped. A block multiplies
 queries by vectors and keeps each query's ``top`` by the exact inner product; the best of all blocks follow
 by an aggregation.
 
@@ -48,11 +48,8 @@ def rotate(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return x
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal length that are not null, not zero and finite, as float64, and their positions.
-
-    The commonest length of a batch's first usable row doesn't matter: lengths are grouped by the caller.
-    """
+def _usable(column: pa.Array) -> tuple[list, np.ndarray]:
+    """Vectors that are not null, empty or zero and are finite, as float64, and their rows."""
     rows, at = [], []
     for i, v in enumerate(column.to_numpy(zero_copy_only=False)):
         if v is None:
@@ -75,7 +72,7 @@ def _padded(x: np.ndarray) -> np.ndarray:
 def _hash_rows(tables: int, probes: int, query: bool):
     def run(batches):
         for batch in batches:
-            rows, at = _matrix(batch.column(1))
+            rows, at = _usable(batch.column(1))
             by_len: dict[int, list[int]] = {}
             for k, v in enumerate(rows):
                 by_len.setdefault(len(v), []).append(k)
@@ -135,9 +132,13 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int =
     schema = "key long, vec_id long, vec binary"
     index = stored(usable(vectors).mapInArrow(_hash_rows(tables, probes, False), schema), "index")
     probe = usable(queries).mapInArrow(_hash_rows(tables, probes, True), schema)
-    size = index.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))  # a row an axis and table
-    spread = index.join(size, "key").select("key", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "vec")
-    asked = probe.join(size, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "vec")
+    # A row an axis and table: blocks of vectors and of queries.
+    size = index.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    size = size.join(probe.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns")), "key")
+    parts, turns = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("turns") - 1)
+    block = F.xxhash64("vec_id")
+    spread = index.join(size, "key").select("key", F.pmod(block, F.col("parts")).cast("int").alias("part"), F.explode(turns).alias("turn"), "vec_id", "vec")
+    asked = probe.join(size, "key").select("key", F.explode(parts).alias("part"), F.pmod(block, F.col("turns")).cast("int").alias("turn"), "vec_id", "vec")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -150,7 +151,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int =
         parts = [_best(qi[a : a + QUERY_BLOCK], q[a : a + QUERY_BLOCK], xi, x, top) for a in range(0, len(q), QUERY_BLOCK)]
         return pa.table([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], names=names)
 
-    found = spread.groupBy("key", "part").cogroup(asked.groupBy("key", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = spread.groupBy("key", "part", "turn").cogroup(asked.groupBy("key", "part", "turn")).applyInArrow(meet, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     # Bounded groups: at most ``top`` rows a query, table, probe and part.
     ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, top).alias("r"))
