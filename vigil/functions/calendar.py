@@ -64,7 +64,7 @@ def ordinal_of_label(label: Column) -> Column:
 def is_label(label: Column) -> Column:
     """Form ``YYYY_YYWww``, second year after the first, week 1 to 53."""
     form = label.rlike(r"^\d{4}_\d{2}W\d{2}$")
-    week = F.expr("try_cast(null as int)") if label is None else F.try_to_number(F.substring(label, 9, 2), F.lit("99")).cast("int")
+    week = F.try_to_number(F.substring(label, 9, 2), F.lit("99")).cast("int")
     years = (F.try_to_number(F.substring(label, 1, 4), F.lit("9999")).cast("int") + 1) % 100 == F.try_to_number(F.substring(label, 6, 2), F.lit("99")).cast("int")
     return F.coalesce(form & years & week.between(1, 53), F.lit(False))
 
