@@ -400,3 +400,6 @@ def fn_rowwise(spark, d):
 @query("fn_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def fn_json(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+_NAIVE_SERIES = f"SELECT epidemic_date, n::DOUBLE AS y, lag(n, 1) OVER (ORDER BY epidemic_date)::DOUBLE AS x, lag(n, 2) OVER (ORDER BY epidemic_date)::DOUBLE AS z FROM ({_WEEKLY})"
