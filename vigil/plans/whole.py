@@ -1,0 +1,30 @@
+"""The queries of fixed subsets again, over whole tables, named ``..._all``; their SQL is that of the subset without its filter."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from vigil.plans import tables
+from vigil.plans.registry import oracle_sql, query
+
+_ALL_PAIRS = ("id % 25 * 4 = site", "id % (SELECT count(*) FROM supplier) = site % (SELECT count(*) FROM supplier)")
+
+
+def _whole(f, *cuts: str | tuple[str, str]) -> None:
+    sql = oracle_sql().get(f.__name__)
+    for cut in cuts if sql else ():
+        old, new = cut if isinstance(cut, tuple) else (cut, "")
+        if old not in sql:
+            raise ValueError(f"{f.__name__}: its SQL has no {old!r}")
+        sql = sql.replace(old, new)
+    query(f"{f.__name__}_all", sql)(partial(f, whole=True))
+
+
+_SITE = " WHERE s_suppkey % 4 = 0"
+for _f in (tables.geo_haversine, tables.geo_planar, tables.geo_geodesic):
+    _whole(_f, _SITE, _ALL_PAIRS)
+for _f in (tables.geo_nearest, tables.geo_nearest_cells, tables.geo_distance_edges, tables.geo_dbscan, tables.geo_grid_counts, tables.geo_smooth):
+    _whole(_f, _SITE)
+_whole(tables.geo_idw, " WHERE trap % 4 = 0 AND dt_col < DATE '1996-01-01'")
+_whole(tables.geo_nearest_vector, ("a.vec_id % 50 = 0", "a.vec_id % 20 = 0"))  # the stated query set
+_whole(tables.feat_matrix)
