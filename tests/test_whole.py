@@ -66,3 +66,26 @@ def test_nearest_vector_all(spark):
         if r.vec_id in got:
             far = {o.vec_id: sum((a - b) ** 2 for a, b in zip(r.embedding, o.embedding)) for o in rows if o.vec_id != r.vec_id}
             assert far[got[r.vec_id]] <= min(far.values()) + 1e-6
+
+
+def test_no_id_bounds(spark):
+    sites = frames.table(spark, SF, "supplier").count()
+    assert run(spark, "dash_used_traps_all").count() == 2 * sites
+    points = frames.table(spark, SF, "customer").select("c_custkey")
+    assert {r.id for r in run(spark, "geo_station_idw_all").collect()} == {r[0] for r in points.collect()}
+    want = {r[0] for r in frames.exposures(spark, SF).select("trap").distinct().collect()}
+    assert {r.trap for r in run(spark, "iv_trailing_window_all").select("trap").distinct().collect()} == want
+
+
+def test_ids_past_the_bounds(spark, tmp_path):
+    """More suppliers and points than the bounds let in."""
+    for name in ("supplier", "customer"):
+        frames.table(spark, SF, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    key = {"supplier": "s_suppkey", "customer": "c_custkey"}
+    for name, k in key.items():
+        frames.table(spark, SF, name).withColumn(k, F.col(k) + 1000).write.mode("append").parquet(str(tmp_path / f"{name}.parquet"))
+    d = str(tmp_path)
+    n = frames.table(spark, d, "supplier").count()
+    assert registry.queries()["dash_used_traps_all"](spark, d).count() == 2 * n > registry.queries()["dash_used_traps"](spark, d).count()
+    ids = {r.id for r in registry.queries()["geo_station_idw_all"](spark, d).collect()}
+    assert max(ids) >= 1000 and len(ids) == frames.table(spark, d, "customer").count()

@@ -199,8 +199,8 @@ def iv_next_previous(spark, d):
 
 
 @query("iv_trailing_window", f"SELECT trap, dt_instal, k, count(o_orderkey) AS n_before FROM (SELECT DISTINCT trap, dt_instal, k FROM ({EXPOSURES}) WHERE trap < 20) e LEFT JOIN orders o ON CAST(o_orderdate AS DATE) >= dt_instal - 7 AND CAST(o_orderdate AS DATE) < dt_instal GROUP BY ALL")
-def iv_trailing_window(spark, d):
-    e = exposures(spark, d).where("trap < 20").select("trap", "dt_instal", "k").distinct()
+def iv_trailing_window(spark, d, whole=False):
+    e = exposures(spark, d).where(F.lit(whole) | F.expr("trap < 20")).select("trap", "dt_instal", "k").distinct()
     per_day = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
     days = e.withColumn("day", F.explode(F.sequence(F.date_sub("dt_instal", 7), F.date_sub("dt_instal", 1))))
     return days.join(per_day, "day", "left").groupBy("trap", "dt_instal", "k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_before"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from vigil.plans import tables
+from vigil.plans import core, tables
 from vigil.plans.registry import oracle_sql, query
 
 _ALL_PAIRS = ("id % 25 * 4 = site", "id % (SELECT count(*) FROM supplier) = site % (SELECT count(*) FROM supplier)")
@@ -28,3 +28,6 @@ for _f in (tables.geo_nearest, tables.geo_nearest_cells, tables.geo_distance_edg
 _whole(tables.geo_idw, " WHERE trap % 4 = 0 AND dt_col < DATE '1996-01-01'")
 _whole(tables.geo_nearest_vector, ("a.vec_id % 50 = 0", "a.vec_id % 20 = 0"))  # the stated query set
 _whole(tables.feat_matrix)
+_whole(core.iv_trailing_window, " WHERE trap < 20")
+_whole(tables.geo_station_idw, _SITE, " WHERE id < 200")
+_whole(tables.dash_used_traps, " WHERE s_suppkey < 10")
