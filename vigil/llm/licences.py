@@ -8,6 +8,11 @@ anything. A temperature, fitted on held-out variations, calibrates the probabili
 likelier than ``unknown`` and all others and its probability is at least ``min_probability``; it is confirmed if enough
 of one of its templates' word pairs stand in the paragraph. A paragraph without a word of the vocabulary that
 marks licences has no feature and is unknown without being scored.
+
+Notices wrapped over lines, and several families in one line: the words of consecutive non-blank lines are read as
+one, and every family is reported that has enough of a template's word pairs within ``SLACK`` times the
+template's length, unless another family's words fill a gap of the match (``gnu [affero] general``) or all of its pairs are
+other families' too (``released under the``).
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from vigil.llm.runtime import ship
 UNKNOWN = "unknown"
 MIN_PROBABILITY = 0.6
 MIN_CONTAINED = 0.6
+SLACK = 1.5
 # Short forms and opening sentences of public licences.
 TEMPLATES = {
     "agpl": ["licensed under the gnu affero general public license version 3", "you should have received a copy of the gnu affero general public license along with this program"],
@@ -62,6 +68,12 @@ class LicenceModel:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, seed: int = 5, copies: int = 40):
         self.families = sorted(templates)
         self.pairs = {f: [set(zip(w, w[1:])) for w in (_WORD.findall(t) for t in templates[f])] for f in self.families}
+        self.shapes = [(f, t, len(_WORD.findall(text))) for f in self.families for t, text in zip(self.pairs[f], templates[f])]
+        self.uses: dict[tuple[str, str], list[int]] = {}  # templates of a word pair
+        for k, (_, t, _) in enumerate(self.shapes):
+            for pair in t:
+                self.uses.setdefault(pair, []).append(k)
+        self.family_pairs = {f: set().union(*self.pairs[f]) for f in self.families}
         rng = np.random.default_rng(seed)
         plain = sorted({w for s in NOT_LICENCES for w in s.split()} | {"".join(rng.choice(list("abcdeilmnorstu"), rng.integers(2, 9))) for _ in range(400)})
         samples: list[tuple[list[str], int]] = []
@@ -137,9 +149,119 @@ class LicenceModel:
         share = max(len(t & have) / max(1, len(t)) for t in self.pairs[family])
         return family, float(p[best]), share >= MIN_CONTAINED
 
+    def probability(self, words: list[str], family: str) -> float:
+        grams = [self.index[g] for g in set(_grams(words)) if g in self.index]
+        z = (self.weights[grams].sum(axis=0) / np.sqrt(max(1, len(grams))) + self.bias)[None] / self.temperature
+        return float(self._softmax(z)[0][self.families.index(family)])
+
+    def confirmed(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, last word, family, probability) of every match of a template in a paragraph's words; a family's matches don't overlap."""
+        hits: dict[int, list[int]] = {}
+        for i, pair in enumerate(zip(words, words[1:])):
+            for k in self.uses.get(pair, ()):
+                hits.setdefault(k, []).append(i)
+        out: list[tuple[int, int, str, float]] = []
+        for k, at in sorted(hits.items()):
+            family, pairs, size = self.shapes[k]
+            need, reach = MIN_CONTAINED * len(pairs), int(SLACK * size) + 2
+            for a, b in self._windows(words, at, need, reach):
+                inside = at[a:b]
+                if self._own(words, inside, family):
+                    out.append((inside[0], inside[-1] + 1, family, self.probability(words[inside[0] : inside[-1] + 2], family)))
+        kept: list[tuple[int, int, str, float]] = []
+        for m in sorted(out):
+            if not any(m[2] == o[2] and m[0] <= o[1] for o in kept):
+                kept.append(m)
+        return kept
+
+    @staticmethod
+    def _windows(words: list[str], at: list[int], need: float, reach: int) -> list[tuple[int, int]]:
+        """Ranges of ``at`` within reach that hold enough distinct pairs, fullest first, without overlap."""
+        if len(at) < need:
+            return []
+        have: Counter = Counter()
+        full, b = [], 0
+        for a in range(len(at)):
+            while b < len(at) and at[b] < at[a] + reach:
+                have[words[at[b]], words[at[b] + 1]] += 1
+                b += 1
+            if len(have) >= need:
+                full.append((-len(have), at[b - 1] - at[a], a, b))
+            first = words[at[a]], words[at[a] + 1]
+            have[first] -= 1
+            if not have[first]:
+                del have[first]
+        taken = np.zeros(len(at), bool)
+        out = []
+        for _, _, a, b in sorted(full):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                out.append((a, b))
+        return out
+
+    def _own(self, words: list[str], inside: list[int], family: str) -> bool:
+        others = [p for f, p in self.family_pairs.items() if f != family]
+        return not all(any((words[i], words[i + 1]) in p for p in others) for i in inside) and not self._filled(words, inside, family)
+
+    def _filled(self, words: list[str], inside: list[int], family: str) -> bool:
+        """Whether another family's words stand in a gap of the match."""
+        for i, j in zip(inside, inside[1:]):
+            gap = list(zip(words[i + 1 : j], words[i + 2 : j + 1]))
+            if j > i + 1 and any(all(g in p for g in gap) for f, p in self.family_pairs.items() if f != family):
+                return True
+        return False
+
+    def mistaken(self, line: str, family: str) -> bool:
+        """Whether the family's best template fits the line only around another family's words."""
+        words = _WORD.findall(line)
+        pairs = max(self.pairs[family], key=lambda t: len(t & set(zip(words, words[1:]))) / max(1, len(t)))
+        return self._filled(words, [i for i, p in enumerate(zip(words, words[1:])) if p in pairs], family)
+
+
+def paragraphs(lines: list[str]):
+    """(first, end) of each run of lines that aren't blank."""
+    first = None
+    for k, line in enumerate([*lines, ""]):
+        blank = not line or line.isspace()
+        if blank and first is not None:
+            yield first, k
+            first = None
+        elif not blank and first is None:
+            first = k
+
+
+def statements(model: LicenceModel, low: str) -> list[dict]:
+    """Licence statements of a lower-case text by line; a match over several lines stands at its first."""
+    lines = low.split("\n")
+    out = []
+    for first, end in paragraphs(lines):
+        marked = [k for k in range(first, end) if model.marks.search(lines[k])]
+        if not marked:
+            continue
+        words, line_of = [], []
+        for k in range(first, end):
+            mine = _WORD.findall(lines[k])
+            words += mine
+            line_of += [k] * len(mine)
+        matches = [(line_of[a], line_of[b], family, p) for a, b, family, p in model.confirmed(words)]
+        sure = set()
+        for k in marked:
+            if got := model.classify(lines[k]):
+                here = [m for m in matches if m[0] <= k <= m[1]]
+                # A line cut off by wrapping, or with a word in a gap, can look like another family's statement.
+                if here and got[0] not in {m[2] for m in here} and (any(m[0] < m[1] for m in here) or model.mistaken(lines[k], got[0])):
+                    continue
+                out.append({"paragraph": k, "family": got[0], "probability": got[1], "confirmed": got[2]})
+                if got[2]:
+                    sure.add((k, got[0]))
+        for a, b, family, p in matches:
+            if not any((k, family) in sure for k in range(a, b + 1)):
+                out.append({"paragraph": a, "family": family, "probability": p, "confirmed": True})
+    return sorted(out, key=lambda x: x["paragraph"])
+
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_paragraphs, and ``found``: array of (paragraph, family, probability, confirmed).
+    """One row per input row: doc_id, n_paragraphs (lines with a word), and ``found``: array of (paragraph, family, probability, confirmed).
 
     A null or empty text has no paragraph. Rows that repeat stay rows. Only doc_id and text are read.
     """
@@ -156,11 +278,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
                 for text in batch.column(1).slice(i, 512).to_pylist():
                     low = (text or "").lower()
                     lines = low.split("\n")
-                    mine = []
-                    if model.marks.search(low):
-                        for k, line in enumerate(lines):
-                            if model.marks.search(line) and (got := model.classify(line)):
-                                mine.append({"paragraph": k, "family": got[0], "probability": got[1], "confirmed": got[2]})
+                    mine = statements(model, low) if model.marks.search(low) else []
                     count.append(sum(1 for x in lines if x and not x.isspace()))
                     found.append(mine)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.array(count, pa.int64()), pa.array(found, kind)], ["doc_id", "n_paragraphs", "found"])
@@ -169,7 +287,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
 
 
 def digest(result: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_licences (confirmed paragraphs), licences (families, sorted, by commas), score (largest probability; 0: none)."""
+    """doc_id, n_paragraphs, n_licences (confirmed statements), licences (families, sorted, by commas), score (largest probability; 0: none)."""
     sure = F.filter("found", lambda x: x["confirmed"])
     return result.select(
         "doc_id", "n_paragraphs", F.size(sure).cast("long").alias("n_licences"),
