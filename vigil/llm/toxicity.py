@@ -3,7 +3,7 @@
 Channel: a disguised word is a lattice in which a leet sign may stand for letters, a separator inside a
 word for nothing, ``*`` for any letter, a run of three or more equal letters for one or two of them, and
 blanks between single letters for nothing. Viterbi decoding under a character trigram model picks the
-likeliest reading. Words of letters alone have one path and are left as they are; tokens longer than
+likeliest reading. Signs at the ends of a token are positions as inner ones are; the token without them is read too. Words of letters alone have one path and are left as they are; tokens longer than
 ``LONGEST`` characters are no disguised words. The trigram counts come from all texts (no labels).
 
 Score: logistic regression on presence of words and word beginnings of the restored text. It is fitted on
@@ -38,6 +38,9 @@ LEET = {
 }
 SEPARATORS = ".-_*'~,:;/\\"
 EDGE = "\"'`.,;:!?()[]{}<>…#%&*-_~/\\=^|$+@"
+#: Edge signs that can't stand for a letter, and those that at one end of a word are more often punctuation.
+SENTENCE = "".join(c for c in EDGE if c not in LEET and c != "*")
+OPENING, CLOSING = "(<¡", "!"
 _ANY = "abcdefghijklmnopqrstuvwxyz"
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _PIECES = re.compile(r"[\W\d_]+")
@@ -99,6 +102,8 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
             out.append([(ch * (j - i), 0.0)] if j - i < 3 else [(ch, -0.7), (ch * 2, -0.7)])
         elif ch == "*":
             out += [[(x, -1.5) for x in _ANY] + [("", -2.0)]] * (j - i) if j - i < 4 else [[("", 0.0)]]
+        elif ch in LEET and (ch in OPENING and i == 0 or ch in CLOSING and j == len(token)):
+            out += [[(x, -0.5) for x in LEET[ch]] + [("", -0.5)]] * min(j - i, 2)
         elif ch in LEET:
             out += [[(x, -0.5) for x in LEET[ch]] + [("", -4.0)]] * min(j - i, 2)
         elif ch in SEPARATORS:
@@ -124,7 +129,7 @@ class Restorer:
         return got
 
     def _read(self, token: str) -> str:
-        if len(token) > LONGEST or not any(c.isalpha() for c in token):
+        if len(token) > LONGEST or not any(c.isalpha() or (c in LEET and not c.isdigit()) for c in token):
             return token
         return self.model.decode(_lattice(token))[1]
 
@@ -153,15 +158,11 @@ class Restorer:
                 if len(t) <= LONGEST and _RUN.search(t):
                     out.update(self.token(t).split())
         for t in kinds - out:
-            bare = t.strip(EDGE)
+            bare, core = t.strip(EDGE), t.strip(SENTENCE)
+            if core != bare:  # signs at the ends can be letters
+                out.update(self.token(core).split())
             if bare.isalpha():
                 out.add(bare)
-                i = t.find(bare)
-                if i and t[i - 1] in LEET:  # a sign that opens a word can be its first letter
-                    out.update(self.token(t[i - 1] + bare).split())
-                j = i + len(bare)
-                if j < len(t) and t[j] in "$@":
-                    out.update(self.token(bare + t[j]).split())
                 if runs and _RUN.search(bare):
                     out.update(self.token(bare).split())
             elif bare:
