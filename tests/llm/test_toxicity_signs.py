@@ -21,3 +21,12 @@ def test_edge_signs(restorer, shown, meant):
 def test_punctuation_stays_none(restorer):
     assert {"stupid", "clown"} <= restorer.words("(stupid clown!)")
     assert restorer.words("The street! (idiot)") >= {"the", "street", "idiot"}
+
+
+@pytest.mark.parametrize("shown,meant", [("d--i--s--g--u--s--t--i--n--g", "disgusting"), ("stu" + "u" * 24 + "pid", "stupid"), ("1d10t/" + "$tup!d/" * 3 + "tr4sh", "trash")])
+def test_long_words(restorer, shown, meant):
+    assert len(shown) > 24 and meant in restorer.words(f"a {shown} one")
+
+
+def test_very_long_token(restorer):
+    assert len(restorer.words("x1" * 30000)) >= 1 and all(len(t) <= 64 for t in restorer.seen)

@@ -3,8 +3,8 @@
 Channel: a disguised word is a lattice in which a leet sign may stand for letters, a separator inside a
 word for nothing, ``*`` for any letter, a run of three or more equal letters for one or two of them, and
 blanks between single letters for nothing. Viterbi decoding under a character trigram model picks the
-likeliest reading. Signs at the ends of a token are positions as inner ones are; the token without them is read too. Words of letters alone have one path and are left as they are; tokens longer than
-``LONGEST`` characters are no disguised words. The trigram counts come from all texts (no labels).
+likeliest reading. Signs at the ends of a token are positions as inner ones are; the token without them is read too. Words of letters alone have one path and are left as they are. Decoding is linear in a token's length; readings of
+tokens up to ``KEPT`` characters are kept. The trigram counts come from all texts (no labels).
 
 Score: logistic regression on presence of words and word beginnings of the restored text. It is fitted on
 the driver on a bounded sample of labelled rows (``PER_CLASS`` a class, picked by a hash of doc_id).
@@ -25,11 +25,11 @@ from vigil.llm import textcore as tc
 from vigil.llm.bpe import code_points
 from vigil.llm.runtime import ship
 
-LONGEST = 24
 PER_CLASS = (4000, 2500)  # clean, toxic
 FEATURES = 1500
 BEGINNINGS = (4, 5, 6)
 CACHE = 1 << 17
+KEPT = 64
 
 # Signs and the letters they stand for.
 LEET = {
@@ -72,7 +72,7 @@ class CharacterModel:
     def decode(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
         """Best path through a list of positions, each with (letters, channel log probability)."""
         log = self.log
-        states = {(0, 0): (0.0, "")}
+        states: dict = {(0, 0): (0.0, None)}  # score, (path before, letters): paths share their beginnings
         for choices in [*lattice, [(" ", 0.0)]]:
             after: dict = {}
             for (a, b), (score, path) in states.items():
@@ -84,10 +84,14 @@ class CharacterModel:
                         x, y = y, z
                     best = after.get((x, y))
                     if best is None or s > best[0]:
-                        after[x, y] = (s, path + text)
+                        after[x, y] = (s, (path, text))
             states = after
-        score, path = max(states.values())
-        return score, path[:-1]
+        score, path = max(states.values(), key=lambda v: v[0])
+        parts = []
+        while path is not None:
+            path, text = path
+            parts.append(text)
+        return score, "".join(reversed(parts))[:-1]
 
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -121,6 +125,8 @@ class Restorer:
         self.model, self.seen = model, {}
 
     def token(self, token: str) -> str:
+        if len(token) > KEPT:
+            return self._read(token)
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) >= CACHE:
@@ -129,7 +135,7 @@ class Restorer:
         return got
 
     def _read(self, token: str) -> str:
-        if len(token) > LONGEST or not any(c.isalpha() or (c in LEET and not c.isdigit()) for c in token):
+        if not any(c.isalpha() or (c in LEET and not c.isdigit()) for c in token):
             return token
         return self.model.decode(_lattice(token))[1]
 
@@ -155,7 +161,7 @@ class Restorer:
         runs = _RUN.search(low) is not None
         if runs:
             for t in list(out):
-                if len(t) <= LONGEST and _RUN.search(t):
+                if _RUN.search(t):
                     out.update(self.token(t).split())
         for t in kinds - out:
             bare, core = t.strip(EDGE), t.strip(SENTENCE)
