@@ -30,3 +30,24 @@ def test_long_words(restorer, shown, meant):
 
 def test_very_long_token(restorer):
     assert len(restorer.words("x1" * 30000)) >= 1 and all(len(t) <= 64 for t in restorer.seen)
+
+
+def test_wide_steps_are_exact(restorer):
+    tokens = ["s***id", "***pid", "clo***", "**a***b", "i***t!", "tr**h***"]
+    wide = [restorer.model.decode(toxicity._lattice(t)) for t in tokens]
+
+    def plain(lattice):  # narrow steps only: each letter of a position in its own pass
+        log, states = restorer.model.log, {(0, 0): 0.0}
+        for choices in [*lattice, [(" ", 0.0)]]:
+            after = {}
+            for (a, b), score in states.items():
+                for text, cost in choices:
+                    s, x, y = score + cost, a, b
+                    for ch in text:
+                        z = toxicity._CODE.get(ch, 0)
+                        s, x, y = s + log[x][y][z], y, z
+                    after[x, y] = max(after.get((x, y), -1e300), s)
+            states = after
+        return max(states.values())
+
+    assert [round(s, 9) for s, _ in wide] == [round(plain(toxicity._lattice(t)), 9) for t in tokens]

@@ -67,7 +67,8 @@ class CharacterModel:
         p1 = (c1 + 1) / (c1.sum() + SYMBOLS)
         p2 = (c2 + 20 * p1) / (c2.sum(axis=1, keepdims=True) + 20)
         p3 = (c3 + 20 * p2[None]) / (c3.sum(axis=2, keepdims=True) + 20)
-        self.log = np.log(p3).tolist()
+        self.table = np.log(p3)
+        self.log = self.table.tolist()
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
         """Best path through a list of positions, each with (letters, channel log probability)."""
@@ -75,6 +76,9 @@ class CharacterModel:
         states: dict = {(0, 0): (0.0, None)}  # score, (path before, letters): paths share their beginnings
         for choices in [*lattice, [(" ", 0.0)]]:
             after: dict = {}
+            if len(states) > 60 and len(choices) > 20:
+                after = self._wide(states, [c for c in choices if len(c[0]) == 1])
+                choices = [c for c in choices if len(c[0]) != 1]
             for (a, b), (score, path) in states.items():
                 for text, cost in choices:
                     s, x, y = score + cost, a, b
@@ -93,6 +97,24 @@ class CharacterModel:
             parts.append(text)
         return score, "".join(reversed(parts))[:-1]
 
+    def _wide(self, states: dict, choices: list[tuple[str, float]]) -> dict:
+        """The step by single characters from many states: the best state before, for each last two symbols."""
+        firsts, seconds = sorted({a for a, _ in states}), sorted({b for _, b in states})
+        row, column = {a: i for i, a in enumerate(firsts)}, {b: i for i, b in enumerate(seconds)}
+        have = np.full((len(firsts), len(seconds)), -np.inf)
+        for (a, b), (score, _) in states.items():
+            have[row[a], column[b]] = score
+        codes = [_CODE.get(text, 0) for text, _ in choices]
+        total = have[:, :, None] + np.array([cost for _, cost in choices]) + self.table[np.ix_(firsts, seconds, codes)]
+        best, score = total.argmax(axis=0).tolist(), total.max(axis=0).tolist()
+        after: dict = {}
+        for j, b in enumerate(seconds):
+            for k, (text, _) in enumerate(choices):
+                old = after.get((b, codes[k]))
+                if old is None or score[j][k] > old[0]:
+                    after[b, codes[k]] = (score[j][k], (states[firsts[best[j][k]], b][1], text))
+        return after
+
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
     out: list = []
