@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import sys
 import unicodedata
 
@@ -194,8 +195,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         ends = np.append(starts[1:], len(buf))
-        h = tc.segment_hashes(buf, starts, ends)
-        _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        index, inverse = tc.distinct_segments(buf, starts, ends)
         if len(self.cache) > CACHE_SLICES:
             self._clear()
         raw, cache = buf.tobytes(), self.cache
@@ -211,6 +211,34 @@ class Encoder:
         take = np.arange(bounds[-1]) + np.repeat(self.at[row] - bounds[:-1], lens)
         return self.ids[take], bounds[np.searchsorted(starts, off)]
 
+    def encode_marked(self, buf: np.ndarray, off: np.ndarray, marks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_block``; each occurrence of a mark (the leftmost, of several the longest) is one id of its own."""
+        raw = buf.tobytes()
+        if not any(m in raw for m in marks):
+            return self.encode_block(buf, off)
+        found, bounds = [], off.tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            while True:
+                here = [(k, -len(m), m) for m in marks if (k := raw.find(m, a, b)) >= 0]
+                if not here:
+                    break
+                k, size, m = min(here)
+                a = k - size
+                found.append((k, a, marks[m]))
+        if not found:
+            return self.encode_block(buf, off)
+        begin, end, value = (np.array(x, np.int64) for x in zip(*found))
+        cuts = np.unique(np.concatenate([off, begin, end]))
+        ids, at = self.encode_block(buf, cuts)
+        size = np.diff(at)
+        piece = np.searchsorted(cuts, begin)
+        keep = np.ones(len(ids), bool)
+        for p, v in zip(piece.tolist(), value.tolist()):
+            ids[at[p]] = v
+            keep[at[p] + 1 : at[p + 1]] = False
+        size[piece] = 1
+        return ids[keep], np.concatenate([[0], np.cumsum(size)])[np.searchsorted(cuts, off)]
+
     def _merge(self, new: list[bytes]) -> np.ndarray:
         """Merge new slices and store them; their rows."""
         rows = np.empty(len(new), np.int64)
@@ -325,12 +353,28 @@ def encoder(rank_file: str) -> Encoder:
     return kept[rank_file]
 
 
+def added_tokens(token_file: str) -> dict[bytes, int]:
+    """Strings that a ``tokenizers`` file gives an id of their own, wherever they stand in a text."""
+    with open(token_file, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    odd = [t["content"] for t in found if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if odd:
+        raise ValueError(f"added tokens with conditions are not supported: {odd}")
+    return {t["content"].encode(): t["id"] for t in found}
+
+
 def default_rank_file() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_token_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def encode_documents(docs, rank_file: str | None = None, id_column: str = "doc_id", text_column: str = "text"):
     """One row per document: id, ``ids`` (array<int>) and ``offsets`` (byte start of each id in the text).
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import textcore as tc
-from vigil.llm.bpe import default_rank_file, encoder
+from vigil.llm.bpe import added_tokens, default_rank_file, default_token_file, encoder
 from vigil.llm.runtime import ship
 
 CAPACITY = 1024
@@ -99,10 +99,11 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES)
     return tuple(np.concatenate(x).astype(np.int64) for x in (doc, start, size, bin_, at))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, rank_file: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, rank_file: str | None = None, with_ids: bool = True, token_file: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
-    A document's ids are those of the byte-level BPE vocabulary, then ``END``; a null text has END alone. Each
+    A document's ids are those that ``tokenizers`` gives with ``token_file`` (its added tokens are cut out of a text
+    first, the rest goes by the same vocabulary's ranks), then ``END``; a null text has END alone. Each
     partition packs by itself in runs of about ``FLUSH`` ids, so memory is bounded and a lost task is redone alone;
     ``sequence_id`` is the partition and run in the high bits (partition * 2**40 + number). Rows that repeat are packed as
     often as they stand. Only doc_id and text are read.
@@ -111,6 +112,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLA
 
     ship(docs.sparkSession)
     rank_file = rank_file or default_rank_file()
+    marks = added_tokens(token_file or default_token_file())
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches):
@@ -142,7 +144,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLA
 
         for batch in batches:
             for i, buf, off in tc.blocks(batch.column(1)):
-                ids, at = enc.encode_block(buf, off)
+                ids, at = enc.encode_marked(buf, off, marks)
                 size = np.diff(at)
                 ids = np.insert(ids, at[1:], END)
                 held.append((batch.column(0).slice(i, len(size)), ids, size + 1))

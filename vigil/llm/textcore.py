@@ -18,6 +18,8 @@ _NONSPACE = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E6C63D0876A9A35
+#: Bits of the first n bytes of a little-endian number.
+_LAST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 _pow = np.ones(1, U64)
 
 
@@ -91,24 +93,45 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
+def lanes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges as 8-byte numbers, the last one padded with zeros: values, number within the range, each range's first and count."""
+    count = (ends - starts + 7) >> 3
+    firsts = np.cumsum(count) - count
+    number = np.arange(int(count.sum())) - np.repeat(firsts, count)
+    at = np.repeat(starts, count) + 8 * number
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    values = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))[at]
+    values &= _LAST[np.minimum(np.repeat(ends, count) - at, 8)]
+    return values, number, firsts, count
+
+
+def _lane_hashes(lens: np.ndarray, values: np.ndarray, number: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    mixed = mix(mix(values) + (number.astype(U64) + U64(1)) * U64(_BASE))
+    return mix((np.add.reduceat(mixed, firsts) if len(firsts) < len(mixed) else mixed) + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; ranges are not empty and don't overlap."""
+    """A 64-bit hash of each byte range that isn't empty: its 8-byte lanes, each mixed with its number, summed and mixed.
+
+    Ranges of up to 8 bytes and equal length have equal hashes only if they are equal.
+    """
     if not len(starts):
         return np.zeros(0, U64)
+    values, number, firsts, _ = lanes(buf, starts, ends)
+    return _lane_hashes(ends - starts, values, number, firsts)
+
+
+def distinct_segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One range of each distinct content, and which of them each range equals; decided by the bytes, not by the hash."""
     lens = ends - starts
-    firsts = np.zeros(len(starts), np.int64)
-    np.cumsum(lens[:-1], out=firsts[1:])
-    at = np.arange(firsts[-1] + lens[-1])
-    pos = at - np.repeat(firsts, lens)
-    if len(pos) != len(buf) or starts[0]:
-        at += np.repeat(starts - firsts, lens)
-        data = buf[at]
-    else:
-        data = buf
-    vals = powers(int(lens.max()))[pos]
-    vals *= data.astype(U64) + U64(1)
-    h = np.add.reduceat(vals, firsts)
-    return mix(h + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
+    values, number, firsts, count = lanes(buf, starts, ends)
+    _, index, inverse = np.unique(_lane_hashes(lens, values, number, firsts), return_index=True, return_inverse=True)
+    model = index[inverse]
+    if (lens == lens[model]).all() and (values == values[np.repeat(firsts[model], count) + number]).all():
+        return index, inverse
+    raw, seen = buf.tobytes(), {}
+    inverse = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+    return np.unique(inverse, return_index=True)[1], inverse
 
 
 def lower(buf: np.ndarray) -> np.ndarray:
@@ -121,7 +144,13 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words over the whole array (runs across documents are the caller's to drop)."""
+    """Hash of each run of n words over the whole array (runs across documents are the caller's to drop).
+
+    A polynomial in the words' hashes; sums of powers of two cancel over runs of a thousand words, so long runs
+    go by ``window_hashes``.
+    """
+    if n > 64:
+        return window_hashes(h, n)
     if len(h) < n:
         return np.zeros(0, U64)
     p = powers(n)
@@ -131,25 +160,27 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """As ``ngram_hashes`` in time that does not depend on n: a doubling ladder of partial sums."""
+def window_hashes(h: np.ndarray, n: int, second: bool = False) -> np.ndarray:
+    """Hash of each run of n words in time that grows with log n: a ladder of doubled runs, mixed at each step.
+
+    ``second`` gives another hash of the same runs, so that both make 128 bits.
+    """
     if len(h) < n:
         return np.zeros(0, U64)
     size = len(h) - n + 1
-    out = np.zeros(size, U64)
-    done, power, part, width = 0, 1, h.copy(), 1
-    left, step, full = n, _BASE, (1 << 64) - 1
+    part = mix(h ^ U64(0xA0761D6478BD642F)) if second else h
+    odd = U64(0xE7037ED1A0B428DB if second else 0x9FB21C651E98DF25)
+    out, done, width, left = None, 0, 1, n
     while left:
         if left & 1:
-            out += part[done : done + size] * U64(power)
+            piece = part[done : done + size]
+            out = piece if out is None else mix(out * odd + piece)
             done += width
-            power = power * step & full
         left >>= 1
         if left:
-            part = part[: len(part) - width] + part[width:] * U64(step)
+            part = mix(part[: len(part) - width] * odd + part[width:])
             width *= 2
-            step = step * step & full
-    return mix(out)
+    return mix(out + U64(n))
 
 
 def crc32_rule(column: str, modulo: int):
