@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from vigil.llm.runtime import drop_stored, stored
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for all nodes of ``edges`` (a, b: long): comp is the smallest node reachable.
 
     Large-star and small-star steps alternate until no edge changes (Kiveris et al., 2014); rounds grow
     with the logarithm of the longest path. Each step sends an edge to one end only and minima are
     partially aggregated, so a hub with a large share of all edges is not a hot group of rows but of sums.
-    An empty table gives an empty table.
+    An empty table gives an empty table. The result is never unfinished: rounds go on until nothing changes.
     """
     edges = stored(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
