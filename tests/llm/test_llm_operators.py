@@ -295,14 +295,34 @@ def without_repeats(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize("bits", [10, 26])
-def test_repeated_passages(documents, texts, bits):
-    """A full sketch (2**10 cells) lets all windows pass and loses none."""
+@pytest.mark.parametrize(("bits", "map_bytes"), [(10, 1 << 25), (None, 1 << 25), (None, 0), (10, 0), (24, 0)])
+def test_repeated_passages(documents, texts, bits, map_bytes):
+    """A full sketch (2**10 cells) lets all windows pass and loses none; a map too large to send gives the same."""
     want = without_repeats(texts)
-    for r in substrings.remove_repeated(documents, 50, bits).collect():
+    for r in substrings.remove_repeated(documents, 50, bits, map_bytes=map_bytes).collect():
         assert (r.n_words, r.n_removed, r.kept) == want[r.doc_id]
 
 
+@pytest.mark.parametrize("size", [2e6, 5e8, 3e10, 1e14])
+def test_sketch_load_is_the_same_at_every_size(documents, texts, size):
+    """Cells for each anchor stay in a fixed range, so the share of unrepeated windows that pass does too."""
+    class Sized:
+        def agg(self, *_):
+            return self
+
+        def first(self):
+            return {"n": size}
+
+    keys = []
+    for _, buf, off in textcore.blocks(pa.array(list(texts.values()))):
+        h, first, _, _ = textcore.word_hashes(buf, off)
+        key, _, begin = substrings.anchors(h, first, 50)
+        keys.append(key[begin])
+    per_byte = len(np.unique(np.concatenate(keys))) / sum(len(t.encode()) for t in texts.values())
+    load = per_byte * size / 2.0 ** substrings.sketch_bits(Sized(), 50)
+    assert load <= 0.13 and 1 - math.exp(-load) < 0.13 and (1 - math.exp(-load)) ** 2 < 0.02
+
+
 def test_digest(documents, texts):
     r = substrings.digest(substrings.remove_repeated(documents.where("doc_id = 3"), bits=12)).first()
     assert r.kept_sha256 == hashlib.sha256(" ".join(WORD.findall(texts[3])).encode()).hexdigest()
