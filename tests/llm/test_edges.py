@@ -81,3 +81,30 @@ def test_search_edges(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0][:2] == [(1, 1.0), (2, 1.0)]
     assert {r.query_id for r in got} == {0, 20} and not {3, 4, 5, 6, 7, 8} & {r.vec_id for r in got}
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_samples_stay_bounded_and_are_never_empty(spark):
+    """A share far under 2**-32, as of 1e10 and more rows, still picks its rows; the limit is a 64-bit number."""
+    from vigil.llm import textcore
+
+    for total in (1e10, 1e13, 1e15):
+        limit = textcore.share_limit(900 / total)
+        assert abs((limit + (1 << 63)) / 2.0**64 * total - 900) < 1
+    assert textcore.share_limit(1.0) == textcore.share_limit(7.0) == (1 << 63) - 1 and textcore.share_limit(0.0) == -(1 << 63)
+    rows = spark.range(200000)
+    for share in (1e-3, 0.1, 1.0):
+        got = rows.where(textcore.hash_sample("id", F.lit(textcore.share_limit(share)))).count()
+        assert abs(got - 200000 * share) <= 5 * (200000 * share) ** 0.5
+
+
+def test_texts_in_no_language_are_noise(spark):
+    import random
+
+    rng = random.Random(3)
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = langid.train(docs_, F.lit(True))
+    odd = [(i, "".join(rng.choice("qwxzjkvbpfgh ") for _ in range(900))) for i in range(20)] + [(100 + i, "".join(chr(rng.randrange(0x430, 0x450)) for _ in range(600))) for i in range(20)]
+    noise = [r.noise for r in langid.predict(spark.createDataFrame(odd, "doc_id long, text string"), net).collect()]
+    assert sum(x > net.noise_limit for x in noise) >= 36
+    usual = langid.predict(docs_.where("lang is not null and length(text) > 200"), net).collect()
+    assert sum(r.noise > net.noise_limit for r in usual) <= 0.005 * len(usual)

@@ -93,8 +93,8 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tc.mix(one + size.astype(tc.U64)), tc.mix(two ^ one)
 
 
-def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, one and two (digests of the set; null: empty set), sketch (k smallest, ascending as unsigned)."""
+def sketches(docs: DataFrame, n: int, k: int, carry: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, one and two (digests of the set; null: empty set), sketch (k smallest, ascending as unsigned), carried."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -113,11 +113,13 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
                         pa.array(one.view(np.int64), pa.int64(), mask=size == 0),
                         pa.array(two.view(np.int64), pa.int64(), mask=size == 0),
                         pa.ListArray.from_arrays(cut.astype(np.int32), flat[take].view(np.int64)),
+                        batch.column(2).slice(i, len(off) - 1),
                     ],
-                    ["doc_id", "n_shingles", "one", "two", "sketch"],
+                    ["doc_id", "n_shingles", "one", "two", "sketch", "carried"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, sketch array<long>")
+    carried = (F.col(carry) if carry else F.lit(None)).cast("long")
+    return docs.select("doc_id", "text", carried.alias("carried")).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, sketch array<long>, carried long")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -258,8 +260,20 @@ class _Links:
             drop_stored(df)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
+def first_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs (their ``columns``, doc_id and text among them) that are the kept ones of their component.
+
+    A row goes by its doc_id and text: of rows that share a doc_id each is judged by its own text, and equal rows
+    stay or go together. Rows without a doc_id stay.
+    """
+    mark = F.coalesce(F.xxhash64("text"), F.lit(0))
+    out = near_duplicates(docs.select("doc_id", "text").withColumn("mark", mark), shingle, percent, carry="mark").where("not kept")
+    rejected = stored(out.select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct(), "rejected")
+    return docs.select(*columns).join(rejected, (F.col("doc_id") == F.col("gone")) & (mark == F.col("gone_mark")), "left_anti").select(*columns)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 64, carry: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, and a long column to carry.
 
     Null and empty texts have an empty set, link with nothing and stay (component_id is their doc_id). Rows
     that repeat a doc_id are judged by their own texts; sets whose smallest doc_id is the same count as one. A null
@@ -269,7 +283,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     threshold = percent / 100
     t = overlap_bound(k, threshold)
     key = ["one", "two", "n_shingles"]
-    rows = stored(sketches(docs, shingle, k), "sketch")
+    rows = stored(sketches(docs, shingle, k, carry), "sketch")
     known = rows.where("one is not null and doc_id is not null")
     # A class is known by the smallest doc_id that has its set; equal sets are those with equal size and 128 bits.
     classes = known.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")).withColumnRenamed("n_shingles", "n")
@@ -310,9 +324,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
     classes = known.groupBy(*key).agg(F.min("doc_id").alias("cid"))
     label = classes.withColumn("component_id", F.col("cid")) if links.comp is None else _with_comp(classes, links.comp).withColumnRenamed("comp", "component_id")
-    out = rows.select("doc_id", *key).join(label.drop("cid"), key, "left")
+    out = rows.select("doc_id", *key, "carried").join(label.drop("cid"), key, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     links.clear()
     for df in (lists, inner, sets):
         drop_stored(df)
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    more = [F.col("carried").alias(carry)] if carry else []
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), *more).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

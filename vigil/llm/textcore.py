@@ -188,3 +188,15 @@ def crc32_rule(column: str, modulo: int):
     from pyspark.sql import functions as F
 
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulo)
+
+
+def share_limit(share: float) -> int:
+    """The signed 64-bit number below which about ``share`` of all 64-bit hashes lie, for any share however small."""
+    return min(int(share * 2.0**64), (1 << 64) - 1) - (1 << 63)
+
+
+def hash_sample(column: str, limit):
+    """Rows whose hash of a column lies under a limit of ``share_limit``: a sample that every run picks alike."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(column) <= limit

@@ -3,11 +3,14 @@
 Channel: a disguised word is a lattice in which a leet sign may stand for letters, a separator inside a
 word for nothing, ``*`` for any letter, a run of three or more equal letters for one or two of them, and
 blanks between single letters for nothing. Viterbi decoding under a character trigram model picks the
-likeliest reading. Signs at the ends of a token are positions as inner ones are; the token without them is read too. Words of letters alone have one path and are left as they are. Decoding is linear in a token's length; readings of
-tokens up to ``KEPT`` characters are kept. The trigram counts come from all texts (no labels).
+likeliest reading. Signs at the ends of a token are positions as inner ones are; the token without them is read too.
+Words of letters alone have one path and are left as they are. A run of one leet sign is two positions at most; a run of four
+asterisks or more is a bar that hides a word and reads as nothing. Single characters apart are joined from four on.
+Decoding is linear in a token's length, whatever that is; readings of tokens up to ``KEPT`` characters are kept for
+the next time. The trigram counts come from all texts (no labels).
 
 Score: logistic regression on presence of words and word beginnings of the restored text. It is fitted on
-the driver on a bounded sample of labelled rows (``PER_CLASS`` a class, picked by a hash of doc_id).
+the driver on a bounded sample of labelled rows (about ``PER_CLASS`` a class at most, picked by a 64-bit hash of doc_id).
 """
 
 from __future__ import annotations
@@ -165,13 +168,17 @@ class Restorer:
         """Single characters apart: all together, or as they stand."""
         got = self.seen.get(segment)
         if got is None:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
             chars = [c for c in segment if c not in " .-_"]
             lattice = []
             for k, c in enumerate(chars):
                 if k:
                     lattice.append([("", 0.0), (" ", -1.0)])
                 lattice.append([(c, 0.0)] if c.isalpha() else [(x, -0.5) for x in LEET.get(c, " ")])
-            got = self.seen[segment] = self.model.decode(lattice)[1]
+            got = self.model.decode(lattice)[1]
+            if len(segment) <= KEPT:
+                self.seen[segment] = got
         return got
 
     def words(self, text: str) -> set[str]:
@@ -310,9 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0,
     model = character_model(docs)
     marks = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(tc.crc32_rule("doc_id", fold) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    part = [min(1.0, per_class[k] / n[k]) if n.get(k) else 0.0 for k in (0, 1)]
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    sample = marks.where(pick < F.when(F.col("toxic") == 1, int(part[1] * 1_000_000)).otherwise(int(part[0] * 1_000_000)))
+    limit = [F.lit(tc.share_limit(per_class[k] / n[k] if n.get(k) else 0.0)).cast("long") for k in (0, 1)]
+    sample = marks.where(tc.hash_sample("doc_id", F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")  # the sample is bounded by per_class
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -327,11 +333,16 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0,
     return model, fit(samples, odds)
 
 
-def score(docs: DataFrame, model: CharacterModel, classifier: Classifier) -> DataFrame:
-    """doc_id and score for every row; a null or empty text is scored as one without words."""
+def score(docs: DataFrame, model: CharacterModel, classifier: Classifier, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score and the columns in ``carry`` for every row; a null or empty text is scored as one without words.
+
+    A very long text is read whole. Rows that repeat stay rows, each scored by its own text; a null doc_id stays null.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((model, classifier))  # fixed size: SYMBOLS**3 and FEATURES numbers
+    source = docs.select("doc_id", "text", *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
+    carried = [f"carried_{k}" for k in range(len(carry))]
 
     def run(batches):
         model, classifier = shared.value
@@ -340,9 +351,11 @@ def score(docs: DataFrame, model: CharacterModel, classifier: Classifier) -> Dat
             texts = batch.column(1)
             for i in range(0, len(batch), 256):
                 part = texts.slice(i, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array([classifier.score(restore.words(t or "")) for t in part], pa.float64())], ["doc_id", "score"])
+                more = [batch.column(2 + k).slice(i, 256) for k in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array([classifier.score(restore.words(t or "")) for t in part], pa.float64()), *more], ["doc_id", "score", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in carried)
+    return source.mapInArrow(run, "doc_id long, score double" + kinds).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0) -> DataFrame:
@@ -350,3 +363,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int =
     model, classifier = train(docs, labels, fold, held_out)
     rest = F.coalesce(tc.crc32_rule("doc_id", fold) == held_out, F.lit(False))
     return score(docs, model, classifier).select("doc_id", rest.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, columns: list[str], fold: int = 5, held_out: int = 0) -> DataFrame:
+    """Rows of docs (their ``columns``, doc_id and text among them) that are not predicted toxic."""
+    model, classifier = train(docs, labels, fold, held_out)
+    out = score(docs, model, classifier, carry=tuple(c for c in columns if c != "doc_id"))
+    return out.where("score < 0.5").select(*columns)
