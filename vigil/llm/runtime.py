@@ -12,8 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch, where the session has Spark's own 10,000: whole texts are long, and batches lie outside the heap.
+ARROW_ROWS = 1024
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not have it installed."""
+    """Make this package importable on executors that do not have it installed, and Arrow batches fit for whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

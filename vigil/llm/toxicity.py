@@ -74,14 +74,17 @@ class CharacterModel:
         self.log = self.table.tolist()
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
-        """Best path through a list of positions, each with (letters, channel log probability)."""
+        """Best path through a list of positions, each with (letters, channel log probability).
+
+        Up to the first position that may be any letter there are few states and each step goes over them one by
+        one; from there on the steps are arrays over all pairs of symbols.
+        """
         log = self.log
+        lattice = [*lattice, [(" ", 0.0)]]
+        wild = next((k for k, choices in enumerate(lattice) if len(choices) > 20), len(lattice))
         states: dict = {(0, 0): (0.0, None)}  # score, (path before, letters): paths share their beginnings
-        for choices in [*lattice, [(" ", 0.0)]]:
+        for choices in lattice[:wild]:
             after: dict = {}
-            if len(states) > 60 and len(choices) > 20:
-                after = self._wide(states, [c for c in choices if len(c[0]) == 1])
-                choices = [c for c in choices if len(c[0]) != 1]
             for (a, b), (score, path) in states.items():
                 for text, cost in choices:
                     s, x, y = score + cost, a, b
@@ -93,30 +96,57 @@ class CharacterModel:
                     if best is None or s > best[0]:
                         after[x, y] = (s, (path, text))
             states = after
-        score, path = max(states.values(), key=lambda v: v[0])
+        if wild < len(lattice):
+            score, path, tail = self._decode_dense(states, lattice[wild:])
+        else:
+            (score, path), tail = max(states.values(), key=lambda v: v[0]), []
         parts = []
         while path is not None:
             path, text = path
             parts.append(text)
-        return score, "".join(reversed(parts))[:-1]
-
-    def _wide(self, states: dict, choices: list[tuple[str, float]]) -> dict:
-        """The step by single characters from many states: the best state before, for each last two symbols."""
-        firsts, seconds = sorted({a for a, _ in states}), sorted({b for _, b in states})
-        row, column = {a: i for i, a in enumerate(firsts)}, {b: i for i, b in enumerate(seconds)}
-        have = np.full((len(firsts), len(seconds)), -np.inf)
-        for (a, b), (score, _) in states.items():
-            have[row[a], column[b]] = score
-        codes = [_CODE.get(text, 0) for text, _ in choices]
-        total = have[:, :, None] + np.array([cost for _, cost in choices]) + self.table[np.ix_(firsts, seconds, codes)]
-        best, score = total.argmax(axis=0).tolist(), total.max(axis=0).tolist()
-        after: dict = {}
-        for j, b in enumerate(seconds):
-            for k, (text, _) in enumerate(choices):
-                old = after.get((b, codes[k]))
-                if old is None or score[j][k] > old[0]:
-                    after[b, codes[k]] = (score[j][k], (states[firsts[best[j][k]], b][1], text))
-        return after
+        return score, "".join([*reversed(parts), *tail])[:-1]
+
+    def _decode_dense(self, states: dict, lattice: list[list[tuple[str, float]]]) -> tuple[float, tuple | None, list[str]]:
+        """The rest of a lattice: best score, the path before it and the letters chosen."""
+        every = np.arange(SYMBOLS)
+        score = np.full((SYMBOLS, SYMBOLS), -np.inf)
+        for (a, b), (s, _) in states.items():
+            score[a, b] = s
+        steps = []
+        for choices in lattice:
+            best = np.full_like(score, -np.inf)
+            pick, before = np.zeros(score.shape, np.int32), np.zeros(score.shape, np.int64)
+            single = [k for k, (text, _) in enumerate(choices) if len(text) == 1] if len(choices) > 20 else []
+            if single:  # many single letters at once
+                codes = np.array([_CODE[choices[k][0]] for k in single])
+                cost = np.array([choices[k][1] for k in single])
+                first, second = np.flatnonzero(np.isfinite(score).any(axis=1)), np.flatnonzero(np.isfinite(score).any(axis=0))
+                total = score[np.ix_(first, second)][:, :, None] + self.table[first[:, None, None], second[:, None], codes]
+                x = total.argmax(axis=0)
+                at = second[:, None], codes
+                best[at] = np.take_along_axis(total, x[None], 0)[0] + cost
+                pick[at], before[at] = np.array(single), first[x] * SYMBOLS + second[:, None]
+            for k, (text, cost) in enumerate(choices):
+                if k in single:
+                    continue
+                now, back = score, np.arange(SYMBOLS * SYMBOLS).reshape(score.shape)
+                for ch in text:
+                    z = _CODE.get(ch, 0)
+                    total = now + self.table[:, :, z]
+                    x = total.argmax(axis=0)
+                    now, old = np.full_like(score, -np.inf), back
+                    back = np.zeros_like(old)
+                    now[:, z], back[:, z] = total[x, every], old[x, every]
+                better = now + cost > best
+                best[better], pick[better], before[better] = (now + cost)[better], k, back[better]
+            steps.append((pick, before))
+            score = best
+        at = int(score.argmax())
+        total, letters = float(score.flat[at]), []
+        for (pick, before), choices in zip(reversed(steps), reversed(lattice)):
+            letters.append(choices[int(pick.flat[at])][0])
+            at = int(before.flat[at])
+        return total, states[divmod(at, SYMBOLS)][1], letters[::-1]
 
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
