@@ -108,3 +108,46 @@ def test_texts_in_no_language_are_noise(spark):
     assert sum(x > net.noise_limit for x in noise) >= 36
     usual = langid.predict(docs_.where("lang is not null and length(text) > 200"), net).collect()
     assert sum(r.noise > net.noise_limit for r in usual) <= 0.005 * len(usual)
+
+
+def _recall(spark, x, top=20):
+    import numpy as np
+
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(v, v.where("vec_id % 20 = 0"), top=top).collect():
+        got.setdefault(r.query_id, []).append(r)
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = sorted(got[q], key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, min(top, len(x) - 1) + 1)) and all(a.score >= b.score for a, b in zip(mine, mine[1:]))
+        assert all(abs(r.score - x[q] @ x[r.vec_id]) <= 1e-9 * abs(r.score) for r in mine)
+        hit += len({r.vec_id for r in mine} & set(np.argsort(-s, kind="stable")[:top].tolist()))
+    return hit / (len(range(0, len(x), 20)) * min(top, len(x) - 1))
+
+
+@pytest.mark.parametrize("kind", ["unit", "lognormal", "few long", "copies"])
+def test_search_recall_by_norms(spark, kind):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 1, (3000, 1))
+    elif kind == "few long":
+        x[rng.random(3000) < 0.02] *= 20
+    elif kind == "copies":
+        x[1000:1600] = x[7]
+        assert len({r.vec_id for r in ann.search(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), spark.createDataFrame([(7, x[7].tolist())], "vec_id long, embedding array<double>")).collect()}) == 20
+        return
+    assert _recall(spark, x) >= 0.9
+
+
+def test_search_finds_all_of_few(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(20, 64))
+    assert _recall(spark, x) == 1.0

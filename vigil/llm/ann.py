@@ -1,35 +1,46 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
 A unit vector is turned by a fast pseudo-rotation, three rounds of random signs and a Hadamard transform,
-and falls to the nearest signed axis. Each table stores every vector once, under (table, axis); a query
-probes the ``probes`` axes nearest to it in each table. Candidates meet queries by table and axis, and
-long buckets are cut into blocks of about ``BLOCK`` vectors and of as many queries, and every block of one meets
-every block of the other, so a hot axis (say, copies of one vector) is spread over tasks and no bucket is capped. A block multiplies
-queries by vectors and keeps each query's ``top`` by the exact inner product; the best of all blocks follow
-by an aggregation.
-
-Vectors that are close to uniform on the sphere have no near neighbours (the twentieth of 10,000 random
-vectors of 64 numbers has an inner product near 0.35), so recall needs many probes: with ``tables`` = 4 and
-``probes`` = 40 of 128 axes it stays above 0.9 on such vectors. On clustered vectors fewer do.
+and falls to the nearest signed axis. Each table has two such polytopes: the first axis names the bucket a vector is
+stored in, once a table, and the second orders the vectors within it. A query probes the pairs of axes whose two
+coordinates of the turned query sum to a threshold or more: it is sent to the buckets of the first axes, each time with the set
+of second axes to look at.
+
+The threshold follows from the number of vectors, their dimension and the recall wanted (``threshold``): for directions that are
+uniform on the sphere, the hardest case, the chance that a true neighbour's pair is probed in one of the tables is
+``RECALL`` or more. Few vectors have no near neighbours (the twentieth of 10,000 random vectors of 64 numbers has a
+cosine near 0.35), so most pairs are probed then; the share scored falls as the table grows.
+
+The measure is the inner product, which long vectors win: vectors are indexed by *level*, the power of two of their norm,
+each level with the threshold for its own number of vectors, and queries go to all levels.
+
+Long buckets are cut into blocks of about ``BLOCK`` vectors and of as many queries, and every block of one meets
+every block of the other, so a hot axis (say, copies of one vector) is spread over tasks and no bucket is capped. A block
+keeps each query's ``top`` by the exact inner product; the best of all blocks follow by a ranking that
+Spark limits before and after its shuffle.
 """
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.runtime import ship, stored
+from vigil.llm.runtime import drop_stored, ship, stored
 
-TABLES = 4
-PROBES = 40
+TABLES = 6
+RECALL = 0.91
 BLOCK = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
 
 
 def signs(dim: int, tables: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (tables, 3, dim))
+    """Signs of each table's two rotations, three rounds each."""
+    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (tables, 2, 3, dim))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -69,26 +80,83 @@ def _padded(x: np.ndarray) -> np.ndarray:
     return np.pad(u, ((0, 0), (0, n - x.shape[1])))
 
 
-def _hash_rows(tables: int, probes: int, query: bool):
+def threshold(n: int, dim: int, top: int, tables: int, recall: float = RECALL) -> float:
+    """Sum of two coordinates from which a pair of axes is probed, for n vectors of a (padded) dimension; -inf: all pairs.
+
+    The ``top``-th of n uniform directions has cosine c with a query; a vector's own two axes have coordinates near the expected
+    maximum m, so the query's there are normal with mean c * m and variance (1 - c * c) / dim each.
+    """
+    if n <= 8 * top:
+        return -math.inf
+    normal = NormalDist()
+    c = min(0.99, max(0.0, normal.inv_cdf(1 - top / n) / math.sqrt(dim)))
+    m = normal.inv_cdf(1 - 0.3 / dim) / math.sqrt(dim)
+    one_table = 1 - (1 - recall) ** (1 / tables)
+    return 2 * m * c + math.sqrt(2 * (1 - c * c) / dim) * normal.inv_cdf(1 - one_table)
+
+
+def _axes(u: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    r = rotate(u, rotation)
+    return np.concatenate([r, -r], axis=1)
+
+
+def _by_dimension(batch):
+    """(dimension, ids, vectors) of the usable vectors of a batch."""
+    rows, at = _usable(batch.column(1))
+    by_len: dict[int, list[int]] = {}
+    for k, v in enumerate(rows):
+        by_len.setdefault(len(v), []).append(k)
+    for dim, ks in by_len.items():
+        yield dim, batch.column(0).take(pa.array(at[ks])), np.stack([rows[k] for k in ks])
+
+
+def _blobs(x: np.ndarray) -> pa.Array:
+    """Vectors as bytes: 4 a number where that is exact, else 8."""
+    narrow = x.astype("<f4")
+    return pa.array([v.tobytes() for v in (narrow if (narrow == x).all() else x.astype("<f8"))], pa.binary())
+
+
+def _unblob(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v.as_buffer(), "<f4" if len(v.as_buffer()) == 4 * dim else "<f8") for v in column]).astype(np.float64)
+
+
+def _index_rows(tables: int):
+    def run(batches):
+        for batch in batches:
+            for dim, ids, x in _by_dimension(batch):
+                u, vec = _padded(x), _blobs(x)
+                level = np.frexp(np.linalg.norm(x, axis=1))[1]
+                for t, (one, two) in enumerate(signs(u.shape[1], tables)):
+                    first, second = _axes(u, one).argmax(axis=1), _axes(u, two).argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), dim), pa.int32()), pa.array(level, pa.int32()), pa.array(t * 2 * u.shape[1] + first, pa.int32()), pa.array(second, pa.int32()), ids, vec],
+                        ["dim", "level", "axis", "second", "vec_id", "vec"],
+                    )
+
+    return run
+
+
+def _probe_rows(tables: int, limits: dict[tuple[int, int], float]):
+    """A row for each level, table and first axis of a query, with the second axes to look at as bits."""
+
     def run(batches):
         for batch in batches:
-            rows, at = _usable(batch.column(1))
-            by_len: dict[int, list[int]] = {}
-            for k, v in enumerate(rows):
-                by_len.setdefault(len(v), []).append(k)
-            for dim, ks in by_len.items():
-                x = np.stack([rows[k] for k in ks])
-                u = _padded(x)
-                ids = batch.column(0).take(pa.array(at[ks]))
-                vec = pa.array([v.astype("<f8").tobytes() for v in x], pa.binary())
-                for t, s in enumerate(signs(u.shape[1], tables)):
-                    r = rotate(u, s)
-                    both = np.concatenate([r, -r], axis=1)
-                    take = min(probes, both.shape[1]) if query else 1
-                    axes = np.argpartition(-both, take - 1, axis=1)[:, :take] if take < both.shape[1] else np.tile(np.arange(both.shape[1]), (len(both), 1))
-                    key = ((dim * tables + t) * 4 * u.shape[1] + axes).ravel()
-                    i = pa.array(np.repeat(np.arange(len(ks)), take))
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), ids.take(i), vec.take(i)], ["key", "vec_id", "vec"])
+            for dim, ids, x in _by_dimension(batch):
+                u, vec = _padded(x), _blobs(x)
+                width = 2 * u.shape[1]
+                levels = [(v, limit) for (d, v), limit in limits.items() if d == dim]
+                for t, (one, two) in enumerate(signs(u.shape[1], tables)):
+                    a, b = _axes(u, one), _axes(u, two)
+                    for level, limit in levels:
+                        for i in range(0, len(x), 256):  # 256 queries' pairs of axes at a time
+                            want = a[i : i + 256, :, None] + b[i : i + 256, None, :] >= limit
+                            q, axis = np.nonzero(want.any(axis=2))
+                            bits = np.packbits(want[q, axis], axis=1)
+                            take = pa.array(i + q)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(q), dim), pa.int32()), pa.array(np.full(len(q), level), pa.int32()), pa.array(t * width + axis, pa.int32()), pa.array([r.tobytes() for r in bits], pa.binary()), ids.take(take), vec.take(take)],
+                                ["dim", "level", "axis", "want", "vec_id", "vec"],
+                            )
 
     return run
 
@@ -101,9 +169,17 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(q_id, q, x_id, x, top):
-    """Each query's ``top`` of a block: (query, vector, score), ties to the smaller vec_id."""
-    approx = q @ x.T
+def _best(q_id, q, want, x_id, x, bounds, top):
+    """Each query's ``top`` among the vectors of a block whose second axis it wants: (query, vector, score), ties to the smaller vec_id."""
+    if want.mean() > 0.3:
+        approx = q @ x.T
+        approx[~np.repeat(want, np.diff(bounds), axis=1)] = -np.inf
+    else:
+        approx = np.full((len(q), len(x)), -np.inf)
+        for axis in np.flatnonzero(np.diff(bounds)):
+            rows = np.flatnonzero(want[:, axis])
+            if len(rows):
+                approx[rows, bounds[axis] : bounds[axis + 1]] = q[rows] @ x[bounds[axis] : bounds[axis + 1]].T
     approx[q_id[:, None] == x_id[None, :]] = -np.inf
     k = min(top, approx.shape[1])
     kth = np.partition(approx, approx.shape[1] - k, axis=1)[:, -k][:, None]
@@ -117,42 +193,67 @@ def _best(q_id, q, x_id, x, top):
     return q_id[i[keep]], x_id[j[keep]], s[keep]
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def _meetings(index: DataFrame, probe: DataFrame, top: int) -> DataFrame:
+    """query_id, vec_id, score of each block's best."""
+    key = ["dim", "level", "axis"]
+    size = index.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    size = size.join(probe.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns")), key)
+    parts, turns = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("turns") - 1)
+    block = F.xxhash64("vec_id")
+    spread = index.join(size, key).select(*key, F.pmod(block, F.col("parts")).cast("int").alias("part"), F.explode(turns).alias("turn"), "vec_id", "vec", "second")
+    asked = probe.join(size, key).select(*key, F.explode(parts).alias("part"), F.pmod(block, F.col("turns")).cast("int").alias("turn"), "vec_id", "vec", "want")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        dim = left.column("dim")[0].as_py()
+        second = left.column("second").to_numpy()
+        order = np.argsort(second, kind="stable")
+        x, q = _unblob(left.column("vec"), dim)[order], _unblob(right.column("vec"), dim)
+        xi, qi = left.column("vec_id").to_numpy()[order], right.column("vec_id").to_numpy()
+        want = np.unpackbits(np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in right.column("want")]), axis=1).astype(bool)
+        bounds = np.searchsorted(second[order], np.arange(want.shape[1] + 1))
+        parts = [_best(qi[a : a + QUERY_BLOCK], q[a : a + QUERY_BLOCK], want[a : a + QUERY_BLOCK], xi, x, bounds, top) for a in range(0, len(q), QUERY_BLOCK)]
+        return pa.table([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+    group = [*key, "part", "turn"]
+    return spread.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` largest inner products found for each query, nearest first.
 
     ``queries`` and ``vectors`` have vec_id (long) and embedding. Rows with a null vec_id, a null, empty or zero
     vector, or one that holds null or non-finite numbers take no part; vectors of another length than the
-    query's are no candidates. A query's own vec_id is no candidate. Rows that repeat count once.
+    query's are no candidates. A query's own vec_id is no candidate. Rows that repeat count once. A query that finds
+    fewer than ``top`` is asked again over all pairs of axes, so it gets all candidates there are.
     """
     ship(vectors.sparkSession)
 
     def usable(df):
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null and not exists(embedding, v -> v is null)")
 
-    schema = "key long, vec_id long, vec binary"
-    index = stored(usable(vectors).mapInArrow(_hash_rows(tables, probes, False), schema), "index")
-    probe = usable(queries).mapInArrow(_hash_rows(tables, probes, True), schema)
-    # A row an axis and table: blocks of vectors and of queries.
-    size = index.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    size = size.join(probe.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns")), "key")
-    parts, turns = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("turns") - 1)
-    block = F.xxhash64("vec_id")
-    spread = index.join(size, "key").select("key", F.pmod(block, F.col("parts")).cast("int").alias("part"), F.explode(turns).alias("turn"), "vec_id", "vec")
-    asked = probe.join(size, "key").select("key", F.explode(parts).alias("part"), F.pmod(block, F.col("turns")).cast("int").alias("turn"), "vec_id", "vec")
+    index = stored(usable(vectors).mapInArrow(_index_rows(tables), "dim int, level int, axis int, second int, vec_id long, vec binary"), "index")
+    # A row for each length and level; each vector stands once in each table.
+    sizes = {(r["dim"], r["level"]): r["n"] // tables for r in index.groupBy("dim", "level").agg(F.count("*").alias("n")).collect()}
+    limits = {k: threshold(n, 1 << (k[0] - 1).bit_length(), top, tables, recall) for k, n in sizes.items()}
+    asked = usable(queries)
+    schema = "dim int, level int, axis int, want binary, vec_id long, vec binary"
+    probe = stored(asked.mapInArrow(_probe_rows(tables, limits), schema), "probe")
+    best = stored(_meetings(index, probe, top).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    if any(limit > -math.inf for limit in limits.values()):
+        short = asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")).where(f"n >= {top}").select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        every = {k: -math.inf for k in limits}  # one table has all pairs
+        again = short.mapInArrow(_probe_rows(1, every), schema)
+        more = _meetings(index.join(_first_table(index, sizes), ["dim", "axis"], "left_semi"), again, top) if not short.isEmpty() else None
+        if more is not None:
+            best = stored(best.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    drop_stored(probe)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return none
-        x = np.frombuffer(b"".join(left.column("vec").to_pylist()), "<f8").reshape(left.num_rows, -1)
-        q = np.frombuffer(b"".join(right.column("vec").to_pylist()), "<f8").reshape(right.num_rows, -1)
-        xi, qi = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        parts = [_best(qi[a : a + QUERY_BLOCK], q[a : a + QUERY_BLOCK], xi, x, top) for a in range(0, len(q), QUERY_BLOCK)]
-        return pa.table([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], names=names)
-
-    found = spread.groupBy("key", "part", "turn").cogroup(asked.groupBy("key", "part", "turn")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    # Bounded groups: at most ``top`` rows a query, table, probe and part.
-    ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, top).alias("r"))
-    return ranked.select("query_id", F.posexplode("r").alias("i", "e")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
+
+def _first_table(index: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
+    """The axes (dim, axis) of the first table."""
+    rows = [(dim, axis) for dim in sorted({d for d, _ in sizes}) for axis in range(2 << (dim - 1).bit_length())]
+    return index.sparkSession.createDataFrame(rows, "dim int, axis int")
