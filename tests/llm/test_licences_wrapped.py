@@ -61,3 +61,23 @@ def test_digest(spark):
     d = spark.createDataFrame([(1, GPL), (2, BSD + "\n\n" + ISC), (3, "nothing\nhere")], "doc_id long, text string")
     got = {r.doc_id: (r.licences, r.n_licences) for r in licences.digest(licences.scan(d)).collect()}
     assert got == {1: ("gpl", 1), 2: ("bsd,isc", 2), 3: ("", 0)}
+
+
+def test_unscored_spans_could_not_be_reported(model):
+    """The bound that the marks rest on, and random spans without a mark."""
+    import math
+    import random
+
+    limit = math.log(licences.MIN_PROBABILITY / (1 - licences.MIN_PROBABILITY))
+    assert all(odds < limit for odds, _, _ in model.unmarked_odds(model.marked_words))
+    rng = random.Random(8)
+    plain = sorted({w for g in model.index for w in g.split()} - model.marked_words)
+    for _ in range(3000):
+        line = " ".join(rng.choice(plain) for _ in range(rng.randint(1, 12)))
+        assert model.marks.search(line) or model.classify(line) is None
+
+
+def test_each_notice_once(model):
+    for text, family in ((GPL, "gpl"), (BSD, "bsd"), (ISC, "isc"), (APACHE, "apache"), (LGPL, "lgpl")):
+        for shown in (text, "prose before it\n" + text + "\nprose after it", "\n".join("// " + x for x in text.split("\n"))):
+            assert [x["family"] for x in licences.statements(model, shown.lower()) if x["confirmed"]] == [family], shown

@@ -86,6 +86,60 @@ def test_language_model(documents, texts):
     assert model > base
 
 
+def test_language_model_by_hand(spark, documents, texts, monkeypatch):
+    """Scores against counts in plain Python: with the learned weights exactly, with weights from unrounded estimates closely."""
+    some = {i: t for i, t in texts.items() if i % 4 == 0}
+    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in some.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in some}
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if not held[i]:
+            one.update(w)
+            two.update(zip([None, *w], w))
+    n, v = sum(one.values()), len(one)
+    got = []
+    learn = language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda *a: got.append(learn(*a)) or got[-1])
+    rows = language_model.score_documents(documents.where("doc_id % 4 = 0")).collect()
+    bucket = lambda c: int(language_model.bucket_of(np.array([c]))[0])
+
+    def score(words, weights):
+        total = 0.0
+        for a, b in zip([None, *words], words):
+            k = weights[bucket(one[a])]
+            total += math.log10(k[0] * (two[a, b] / one[a] if one[a] else 0) + k[1] * one[b] / n + k[2] / (v + 1))
+        return total
+
+    exact = np.full((language_model.BUCKETS, 3), 1 / 3)
+    seen = collections.Counter()  # (bucket, estimates) of each training token, held out of its own counts
+    for i, w in tokens.items():
+        if not held[i]:
+            for a, b in zip([None, *w], w):
+                c = one[a] - 1
+                seen[bucket(c), (two[a, b] - 1) / c if c else 0.0, (one[b] - 1) / (n - 1)] += 1
+    b, f, m = np.array([k[0] for k in seen]), np.array([[k[1], k[2], 1 / (v + 1)] for k in seen]), np.array([*seen.values()])
+    for _ in range(40):
+        part = exact[b] * f
+        part *= (m / part.sum(axis=1))[:, None]
+        new = np.stack([np.bincount(b, weights=part[:, k], minlength=language_model.BUCKETS) for k in range(3)], axis=1)
+        total = new.sum(axis=1, keepdims=True)
+        exact = np.where(total > 0, new / np.maximum(total, 1e-12), new.sum(axis=0) / new.sum())
+    mine = theirs = 0.0
+    for r in rows:
+        assert math.isclose(r.score, score(tokens[r.doc_id], got[0]), rel_tol=1e-9)
+        if held[r.doc_id]:
+            mine, theirs = mine + r.score, theirs + score(tokens[r.doc_id], exact)
+    assert abs(mine - theirs) < 0.001 * abs(theirs)
+
+
+def test_counts_beyond_32_bits():
+    keys = np.arange(5, dtype=np.uint64) * np.uint64(1 << 40)
+    row = {"kind": 0, "bucket": 0, "keys": language_model.pack_sorted(keys), "n": language_model.pack_numbers(np.full(5, 3_000_000_000, np.uint64))}
+    table = pa.table({"kind": pa.array([0, 0], pa.int32()), "bucket": pa.array([0, 0], pa.int32()), "chunk": pa.array([1, 2], pa.int64()), "keys": [row["keys"]] * 2, "n": [row["n"]] * 2})
+    out = language_model._summed(table).to_pylist()
+    assert out[-1]["total"] == 30_000_000_000 and (language_model.unpack_numbers(out[0]["n"]) == 6_000_000_000).all()
+
+
 def test_interpolation_weights_are_learned():
     rng = np.random.default_rng(0)
     cells = (np.full(4000, 5) * language_model.Q2 + rng.integers(1, 20, 4000)) * language_model.Q1 + rng.integers(40, 60, 4000)

@@ -5,12 +5,19 @@ frequencies (powers of two of c(v)) are learned by expectation-maximisation on h
 token is held out of its own counts ("deleted"), so its estimates are (c(v w) - 1) / (c(v) - 1) and
 (c(w) - 1) / (N - 1).
 
-Counts are exact and never gathered on one machine. Texts are cut into chunks of about ``CHUNK_BYTES``; a
+Counts are exact (64 bits) and never gathered on one machine. Texts are cut into chunks of about ``CHUNK_BYTES``; a
 chunk sends each of its distinct words and bigrams once, with its training count, to the range of hashes
 that owns it, and gets the corpus count back in the same order. Blobs are sorted hashes as differences,
 byte planes first, so a bigram costs about five bytes. The number of ranges follows the number of
-chunks, so a range's memory doesn't grow with the corpus. A frequent word is one entry a chunk, never a hot
-key. Words are known by 64-bit hashes, bigrams by 56 bits.
+chunks, so what a range holds stays the same: the entries of all chunks that fall into it. A chunk has a row for each range
+it has an entry in, so rows are never more than entries, and entries grow with the text; up to about 1 TB rows are
+far fewer, and blobs shrink to single entries beyond. A frequent word is one entry a chunk, never a hot
+key. Words are known by 64-bit hashes, bigrams by 56 bits: among 1e11 distinct bigrams about one in a million shares
+its hash with another.
+
+Expectation-maximisation reads a table of estimates: a token's two estimates are rounded to a quarter of an octave and held above
+2**-30 and 2**-40, so its size is fixed. Scores use the exact estimates; what the rounding of the weights' training
+costs is under 0.1 % of the log probability (tested).
 """
 
 from __future__ import annotations
@@ -140,12 +147,12 @@ def _ranges(bits: int):
             for r in range(len(batch)):
                 c = _Chunk(*(batch.column(k + 1)[r].as_py() for k in range(5)))
                 for kind, keys, code, width in ((WORDS, c.words, c.code, 64), (PAIRS, c.pairs, c.pair, 56)):
-                    count = np.bincount(code[c.of_token], minlength=len(keys)).astype(np.uint32)
-                    cut = np.searchsorted(keys >> tc.U64(width - bits), np.arange((1 << bits) + 1, dtype=tc.U64))
-                    rows = [b for b in range(1 << bits) if cut[b + 1] > cut[b]]
+                    count = np.bincount(code[c.of_token], minlength=len(keys)).astype(np.uint64)
+                    rows, cut = np.unique(keys >> tc.U64(width - bits), return_index=True)
+                    bounds = list(zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()),
-                         pa.array([pack_sorted(keys[cut[b] : cut[b + 1]]) for b in rows], pa.binary()), pa.array([pack_numbers(count[cut[b] : cut[b + 1]]) for b in rows], pa.binary())],
+                        [pa.array([kind] * len(rows), pa.int32()), pa.array(rows.astype(np.int32)), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()),
+                         pa.array([pack_sorted(keys[i:j]) for i, j in bounds], pa.binary()), pa.array([pack_numbers(count[i:j]) for i, j in bounds], pa.binary())],
                         ["kind", "bucket", "chunk", "keys", "n"],
                     )
 
@@ -158,7 +165,8 @@ def _summed(table: pa.Table) -> pa.Table:
     n = [unpack_numbers(x) for x in table.column("n").to_pylist()]
     size = np.array([len(k) for k in keys])
     distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(code, weights=np.concatenate(n), minlength=len(distinct)).astype(np.uint32)
+    total = np.zeros(len(distinct), np.uint64)
+    np.add.at(total, code, np.concatenate(n))
     back = np.split(total[code], np.cumsum(size)[:-1])
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     chunk = table.column("chunk").to_pylist()
@@ -219,7 +227,8 @@ def score_documents(docs: DataFrame, fold: int = 7, held_out: int = 2) -> DataFr
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Learns from rows whose crc32(doc_id) mod ``fold`` is not ``held_out``. A null or empty text is one end. Rows
-    that repeat count as often as they stand. Without training rows the model is uniform. Only doc_id and text are read.
+    that repeat count as often as they stand. Without training rows the model is uniform. A very long text is a chunk of
+    its own; rows with a null doc_id are trained on. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -227,7 +236,7 @@ def score_documents(docs: DataFrame, fold: int = 7, held_out: int = 2) -> DataFr
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(~rest, F.lit(True)).alias("train"))
     chunks = stored(source.mapInArrow(_chunks, "chunk long, doc_ids array<long>, train binary, lens binary, words binary, counts binary, codes binary"), "chunks")
     n_chunks = chunks.count()
-    bits = max(5, (max(n_chunks, 1) // 2).bit_length())
+    bits = min(30, max(5, (max(n_chunks, 1) // 2).bit_length()))
     parts = chunks.select("chunk", *_COLUMNS).mapInArrow(_ranges(bits), "kind int, bucket int, chunk long, keys binary, n binary")
     counts = stored(parts.groupBy("kind", "bucket").applyInArrow(_summed, "kind int, bucket int, chunk long, n binary, total long, seen long"), "counts")
     sums = counts.where("chunk is null and kind = 0").agg(F.sum("total").alias("n"), F.sum("seen").alias("v")).first()

@@ -1,22 +1,28 @@
 """Licence statements found by a trained paragraph classifier.
 
-A paragraph (a line with a word) becomes a sparse vector of its word 1- to 3-grams that occur in training
-paragraphs. A softmax regression, trained in numpy, gives the probability of each licence family and of
-``unknown``. Training paragraphs are the templates below, whole, with words lost, and set among ordinary
-words; ``unknown`` learns from ordinary words and from sentences that use licence words without granting
-anything. A temperature, fitted on held-out variations, calibrates the probabilities. A family is reported if it is
-likelier than ``unknown`` and all others and its probability is at least ``min_probability``; it is confirmed if enough
-of one of its templates' word pairs stand in the paragraph. A paragraph without a word of the vocabulary that
-marks licences has no feature and is unknown without being scored.
-
-Notices wrapped over lines, and several families in one line: the words of consecutive non-blank lines are read as
-one, and every family is reported that has enough of a template's word pairs within ``SLACK`` times the
+A paragraph is a run of lines that aren't blank; signs before and between words (comment marks) don't count. It is read
+in spans: each of its lines, and, as notices are wrapped and documents put lines without blank ones between them, the whole
+paragraph where it has ``WHOLE`` words at most, and every stretch that holds enough of a template's word pairs. A span becomes a
+sparse vector of its word 1- to 3-grams that occur in training paragraphs. A softmax regression, trained in numpy, gives the
+probability of each licence family and of ``unknown``. Training paragraphs are the templates below, whole, with words lost,
+and set among ordinary words; ``unknown`` learns from ordinary words and from sentences that use licence words without
+granting anything. A temperature calibrates the probabilities: it is fitted with a model that has seen neither whole
+templates and sentences kept apart (one of each family that has two or more) nor every fifth variation of the others,
+on both. A family is reported if it is likelier than
+``unknown`` and all others and its probability is at least ``min_probability``; it is confirmed if enough of one of its templates'
+word pairs stand in the span.
+
+Spans without a word of ``marks`` are not scored: that set is widened until, by a bound over all sets of the n-grams
+that remain, no span without such a word could reach ``MIN_PROBABILITY`` for any family.
+
+Several families in one line: every family is reported that has enough of a template's word pairs within ``SLACK`` times the
 template's length, unless another family's words fill a gap of the match (``gnu [affero] general``) or all of its pairs are
 other families' too (``released under the``).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -31,6 +37,7 @@ UNKNOWN = "unknown"
 MIN_PROBABILITY = 0.6
 MIN_CONTAINED = 0.6
 SLACK = 1.5
+WHOLE = 120
 # Short forms and opening sentences of public licences.
 TEMPLATES = {
     "agpl": ["licensed under the gnu affero general public license version 3", "you should have received a copy of the gnu affero general public license along with this program"],
@@ -56,6 +63,8 @@ NOT_LICENCES = [
     "the creative team won the commons debate", "the software was released under pressure", "permission to enter was granted to all visitors", "the mozilla team moved to a new office",
 ]
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: A blank line (or the beginning) before a line with something in it.
+_BREAK = re.compile(r"\n\s*\n(?=\s*\S)")
 
 
 def _grams(words: list[str]) -> list[str]:
@@ -77,33 +86,64 @@ class LicenceModel:
         rng = np.random.default_rng(seed)
         plain = sorted({w for s in NOT_LICENCES for w in s.split()} | {"".join(rng.choice(list("abcdeilmnorstu"), rng.integers(2, 9))) for _ in range(400)})
         samples: list[tuple[list[str], int]] = []
+        apart: list[bool] = []  # of a template or sentence that the calibration holds out
         for y, f in enumerate(self.families):
-            for t in templates[f]:
+            for number, t in enumerate(templates[f]):
                 w = _WORD.findall(t)
+                apart += [number > 0 and number == len(templates[f]) - 1] * copies
                 for k in range(copies):
                     x = [v for v in w if k == 0 or len(w) < 5 or rng.random() > 0.08]
                     around = rng.choice(plain, rng.integers(0, 9)).tolist() if k > copies // 4 else []
                     cut = rng.integers(0, len(around) + 1)
                     samples.append((around[:cut] + x + around[cut:], y))
         n = len(self.families)
-        for s in NOT_LICENCES:
+        for number, s in enumerate(NOT_LICENCES):
             samples += [(s.split(), n)] * (copies // 2)
+            apart += [number % 4 == 0] * (copies // 2)
         words = sorted({w for ts in templates.values() for t in ts for w in _WORD.findall(t)})
         for _ in range(len(samples)):  # licence words out of order, and ordinary words
             mixed = rng.choice(words, rng.integers(0, 3)).tolist() + rng.choice(plain, rng.integers(2, 14)).tolist()
             samples.append(([mixed[i] for i in rng.permutation(len(mixed))], n))
+            apart.append(len(apart) % 5 == 0)
         counts = Counter(g for x, _ in samples for g in set(_grams(x)))
         known = {g for ts in templates.values() for t in ts for g in _grams(_WORD.findall(t))}
         self.index = {g: i for i, g in enumerate(sorted(g for g in known if counts[g] >= 2))}
-        held = np.arange(len(samples)) % 5 == 0
+        unseen, varied = np.array(apart), np.arange(len(samples)) % 5 == 0
+        held = unseen | varied
         x = np.stack([self.vector(w) for w, _ in samples])
         y = np.array([k for _, k in samples])
-        self.weights, self.bias, self.temperature = np.zeros((len(self.index), n + 1)), np.zeros(n + 1), 1.0
+        self.temperature = 1.0
         self._train(x[~held], y[~held])
         self._calibrate(x[held], y[held])
+        self._train(x, y)
         common = {w for s in NOT_LICENCES for w in s.split()} | {"the", "a", "this", "under", "and", "or", "of", "to", "in", "is", "for", "with", "by", "it", "you", "at", "that", "are", "on", "as", "any", "from", "an", "be", "may", "can"}
         marks = {w for w in words if w not in common and not w[0].isdigit() and len(w) > 2} | {"license", "licensed", "rights", "mit", "gnu", "mozilla", "apache", "cc", "gpl", "permission"}
-        self.marks = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(marks)) + r")(?![a-z0-9])")
+        self.marked_words = self._widened(marks)
+        self.marks = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(self.marked_words))) + r")(?![a-z0-9])")
+
+    def unmarked_odds(self, marks: set[str]) -> list[tuple[float, str, list[str]]]:
+        """For each family a bound of its log odds against unknown over all sets of n-grams without a mark, and the n-grams that reach it."""
+        rest = [g for g in self.index if not any(w in marks for w in g.split())]
+        at = [self.index[g] for g in rest]
+        out = []
+        for f, family in enumerate(self.families):
+            gain = (self.weights[at, f] - self.weights[at, -1]) / self.temperature
+            order = np.argsort(-gain)
+            order = order[gain[order] > 0]
+            reach = np.cumsum(gain[order]) / np.sqrt(np.arange(1, len(order) + 1))
+            best = int(reach.argmax()) if len(reach) else 0
+            bias = (self.bias[f] - self.bias[-1]) / self.temperature
+            out.append((float(max(0.0, reach[best]) if len(reach) else 0.0) + float(bias), family, [rest[k] for k in order[: best + 1]]))
+        return out
+
+    def _widened(self, marks: set[str]) -> set[str]:
+        """Marks, with words added until no family can be reported without one of them."""
+        marks = set(marks)
+        while True:
+            odds, _, grams = max(self.unmarked_odds(marks))
+            if odds < math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY)):
+                return marks
+            marks.add(min((w for w in grams[0].split()), key=lambda w: (-len(w), w)))
 
     def vector(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(self.index))
@@ -112,6 +152,7 @@ class LicenceModel:
         return out / max(1.0, np.sqrt(out.sum()))
 
     def _train(self, x: np.ndarray, y: np.ndarray, steps: int = 150) -> None:
+        self.weights, self.bias = np.zeros((len(self.index), len(self.families) + 1)), np.zeros(len(self.families) + 1)
         target = np.eye(self.weights.shape[1])[y]
         m, v = np.zeros_like(self.weights), np.zeros_like(self.weights)
         mb, vb = np.zeros_like(self.bias), np.zeros_like(self.bias)
@@ -186,7 +227,11 @@ class LicenceModel:
                 have[words[at[b]], words[at[b] + 1]] += 1
                 b += 1
             if len(have) >= need:
-                full.append((-len(have), at[b - 1] - at[a], a, b))
+                end, spare = b, Counter(have)  # without the pairs at the end that stand in the range before
+                while spare[last := (words[at[end - 1]], words[at[end - 1] + 1])] > 1:
+                    spare[last] -= 1
+                    end -= 1
+                full.append((-len(have), at[end - 1] - at[a], a, end))
             first = words[at[a]], words[at[a] + 1]
             have[first] -= 1
             if not have[first]:
@@ -254,6 +299,10 @@ def statements(model: LicenceModel, low: str) -> list[dict]:
                 out.append({"paragraph": k, "family": got[0], "probability": got[1], "confirmed": got[2]})
                 if got[2]:
                     sure.add((k, got[0]))
+        if end - first > 1 and len(words) <= WHOLE and not matches and not any(first <= x["paragraph"] < end for x in out):
+            whole = " ".join(words)
+            if (got := model.classify(whole)) and not model.mistaken(whole, got[0]):
+                out.append({"paragraph": first, "family": got[0], "probability": got[1], "confirmed": got[2]})
         for a, b, family, p in matches:
             if not any((k, family) in sure for k in range(a, b + 1)):
                 out.append({"paragraph": a, "family": family, "probability": p, "confirmed": True})
@@ -261,9 +310,11 @@ def statements(model: LicenceModel, low: str) -> list[dict]:
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_paragraphs (lines with a word), and ``found``: array of (paragraph, family, probability, confirmed).
+    """One row per input row: doc_id, n_paragraphs (runs of lines that aren't blank), and ``found``: array of (paragraph,
+    family, probability, confirmed), where ``paragraph`` is the number of the line a statement begins in.
 
-    A null or empty text has no paragraph. Rows that repeat stay rows. Only doc_id and text are read.
+    A null or empty text has no paragraph. A very long text is read whole. Rows that repeat stay rows; a null doc_id
+    stays null. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -277,9 +328,8 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
                 count, found = [], []
                 for text in batch.column(1).slice(i, 512).to_pylist():
                     low = (text or "").lower()
-                    lines = low.split("\n")
                     mine = statements(model, low) if model.marks.search(low) else []
-                    count.append(sum(1 for x in lines if x and not x.isspace()))
+                    count.append(len(_BREAK.findall("\n\n" + low)))
                     found.append(mine)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.array(count, pa.int64()), pa.array(found, kind)], ["doc_id", "n_paragraphs", "found"])
 
