@@ -193,6 +193,27 @@ def test_cleaning(documents, texts):
         assert r.base_failed == (len(w) < 50 or 100 * sum(hit) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_cleaning_lines_by_hand(spark, documents):
+    """Lines dropped, characters kept, the verdict and the cleaned text against the rules in plain Python."""
+    odd = ["a | b | c | d", "Home", "home page", "#### $$$ %%%", "what?! yes!", "function() { }", "alle Rechte vorbehalten", "Read our Privacy Policy now", "plain line of words"]
+    mine = spark.createDataFrame([(-1 - k, "\n".join([x, *["some words of prose number %d in a row here" % i for i in range(12)], x, ""])) for k, x in enumerate(odd)], "doc_id long, text string")
+    both = documents.select("doc_id", "text").unionByName(mine)
+    blank = re.compile(r"[\x20\x09-\x0D]+")
+
+    def good(line):
+        bare, low = blank.sub("", line), line.strip(" ").lower()
+        signs = len(re.findall(r"[#*$%&|<>!?]", bare))
+        return not (signs > len(bare) * 0.08 or re.search("[{}]", line) or len(re.findall("[|»·›]", line)) >= 3 or low in cleaning.MENU or any(x in low for x in cleaning.BOILERPLATE))
+
+    texts = {r.doc_id: r.text or "" for r in both.collect()}
+    for r in cleaning.clean_lines(both).collect():
+        lines = [x for x in texts[r.doc_id].split("\n") if WORD.search(x)]
+        kept = [x for x in dict.fromkeys(lines) if good(x)]
+        chars = sum(len(blank.sub("", x)) for x in kept)
+        assert (r.lines_dropped, r.kept_chars) == (len(lines) - len(kept), chars), r.doc_id
+        assert r.kept == (not r.base_failed and chars >= r.word_chars * 0.6) and r.cleaned == ("\n".join(kept) if r.kept else "")
+
+
 def test_cleaning_verdict_follows_labels(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
     r = cleaning.clean_lines(documents).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))).collect()

@@ -20,9 +20,19 @@ from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
 SIGNS = r"[#*$%&|<>]+"
-# Phrases of page furniture, and menu labels, in lower case.
-BOILERPLATE = ("javascript", "lorem ipsum", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "uses cookies", "use cookies", "all rights reserved", "click here", "sign up for our", "subscribe to our")
-MENU = ("home", "menu", "login", "log in", "sign in", "sign up", "search", "next", "previous", "share", "contact", "contact us", "about", "about us", "read more", "back to top", "skip to content")
+# Phrases of page furniture, and menu labels, in lower case (English, German, French, Spanish).
+BOILERPLATE = (
+    "javascript", "lorem ipsum", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "uses cookies", "use cookies", "all rights reserved", "click here", "sign up for our", "subscribe to our",
+    "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "verwendet cookies", "hier klicken", "newsletter abonnieren",
+    "politique de confidentialité", "conditions générales", "tous droits réservés", "utilise des cookies", "cliquez ici", "abonnez-vous",
+    "política de privacidad", "términos de uso", "todos los derechos reservados", "utiliza cookies", "haga clic aquí", "suscríbete",
+)
+MENU = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "search", "next", "previous", "share", "contact", "contact us", "about", "about us", "read more", "back to top", "skip to content",
+    "startseite", "menü", "anmelden", "suche", "weiter", "zurück", "teilen", "kontakt", "über uns", "mehr lesen", "nach oben",
+    "accueil", "connexion", "recherche", "suivant", "précédent", "partager", "contactez-nous", "à propos", "lire la suite", "haut de page",
+    "inicio", "menú", "iniciar sesión", "buscar", "siguiente", "anterior", "compartir", "contacto", "acerca de", "leer más",
+)
 
 
 def _lost(text: Column, pattern: str) -> Column:
@@ -38,8 +48,8 @@ def clean_lines(docs: DataFrame, sign_share: float = 0.08, nav_bars: int = 3, mi
     """doc_id, the counts of the base rules, base_failed, lines_dropped, kept_chars, kept and cleaned.
 
     A null text has no line and no word: all counts are 0, base_failed is true. ``cleaned`` joins the lines
-    that passed by a line feed and is empty for rejected documents. Rows that repeat stay rows; columns
-    other than doc_id and text are not read.
+    that passed by a line feed and is empty for rejected documents. A very long text is read whole. Rows that repeat stay
+    rows; a null doc_id stays null; columns other than doc_id and text are not read.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", t.alias("t"))
@@ -70,7 +80,7 @@ def clean_lines(docs: DataFrame, sign_share: float = 0.08, nav_bars: int = 3, mi
         size = F.length(bare)
         signs = size - F.length(F.regexp_replace(bare, r"[#*$%&|<>!?]+", ""))
         bars = F.length(line) - F.length(F.regexp_replace(line, r"[|»·›]+", ""))
-        boiler = low.rlike("|".join(x.replace(" ", r"\s") for x in BOILERPLATE))
+        boiler = low.rlike("|".join(BOILERPLATE))
         return ~((signs > size * F.lit(sign_share)) | line.rlike(r"[{}]") | (bars >= nav_bars) | low.isin(*MENU) | boiler)
 
     df = df.withColumn("good", F.filter("distinct_lines", good))

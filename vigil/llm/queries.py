@@ -6,7 +6,75 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm import ann, bpe, cleaning, langid, language_model, licences, neardup, packing, substrings, toxicity
 
-_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BOILER = " or ".join(f"contains(low, '{x}')" for x in cleaning.BOILERPLATE)
+_MENU = ", ".join(f"'{x}'" for x in cleaning.MENU)
+
+#: DuckDB SQL for the same rows, without sketches or hashes: all pairs of documents with a common shingle, all windows as text.
+_SQL: dict[str, str] = {
+    "op4_line_cleaning": rf"""
+with t as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
+rows as (select row_number() over () as r, * from t),
+lines as (
+  select r, line, pos, row_number() over (partition by r, line order by pos) as nth from (
+    select r, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from rows
+  ) where regexp_matches(line, '[^ 	-
+]')
+),
+judged as (
+  select *, regexp_replace(line, '[ 	-
+]+', '', 'g') as bare, lower(trim(line, ' ')) as low from lines
+),
+verdict as (
+  select *, not (
+    length(regexp_replace(bare, '[^#*$%&|<>!?]+', '', 'g')) > length(bare) * 0.08 or regexp_matches(line, '[{{}}]')
+    or length(regexp_replace(line, '[^|»·›]+', '', 'g')) >= 3 or low in ({_MENU}) or {_BOILER}
+  ) as good from judged
+),
+by_line as (
+  select r, count(*) filter (where nth > 1) as n_dup_lines, coalesce(sum(length(bare)) filter (where nth = 1 and good), 0) as kept_chars from verdict group by r
+),
+grams as (
+  select r, pos, w[pos] || ' ' || w[pos + 1] || ' ' || w[pos + 2] as g from (select r, w, unnest(generate_series(1, len(w) - 2)) as pos from rows where len(w) > 2)
+),
+again as (select r, pos from grams qualify count(*) over (partition by r, g) > 1),
+covered as (select r, count(distinct pos + k) as n from again, (values (0), (1), (2)) as o(k) group by r),
+counts as (
+  select rows.r, doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+         cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+         cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words, coalesce(kept_chars, 0) as kept_chars
+  from rows left join by_line on by_line.r = rows.r left join covered on covered.r = rows.r
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and kept_chars >= word_chars * 0.6 as kept
+from counts""",
+    "op8_minhash_bottom_k": rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^ 	-
+]+') as w from documents),
+g as (
+  select distinct doc_id, array_to_string(case when len(w) >= 4 then w[p : p + 3] else w end, ' ') as g
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) as p from w where len(w) > 0)
+),
+n as (select doc_id, count(*) as n from g group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as m from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 80 * (x.n + y.n - m)),
+sides as (select a, b from link union all select b, a from link),
+reach(a, b) as (select a, b from sides union select reach.a, sides.b from reach join sides on sides.a = reach.b),
+least_of as (select a, min(b) as low from reach group by a)
+select w.doc_id, coalesce(n, 0) as n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) as component_id, w.doc_id <= coalesce(low, w.doc_id) as kept
+from w left join n on n.doc_id = w.doc_id left join least_of on least_of.a = w.doc_id""",
+    "op9_substrings": rf"""
+with t as (select doc_id, {_WORDS} as w from documents),
+windows as (select doc_id, p, array_to_string(w[p : p + 49], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 49)) as p from t where len(w) >= 50)),
+hit as (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by g) as low from windows) where low < doc_id),
+gone as (select doc_id, list_sort(list_distinct(flatten(list(generate_series(p, p + 49))))) as gone from hit group by doc_id),
+word as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from t),
+lost as (select doc_id, unnest(gone) as p from gone),
+kept as (select doc_id, string_agg(x, ' ' order by p) as kept from word where not exists (select 1 from lost where lost.doc_id = word.doc_id and lost.p = word.p) group by doc_id)
+select t.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from t left join gone on gone.doc_id = t.doc_id left join kept on kept.doc_id = t.doc_id""",
+}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
