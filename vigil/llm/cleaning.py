@@ -94,7 +94,9 @@ def clean_lines(docs: DataFrame, sign_share: float = 0.08, nav_bars: int = 3, mi
         F.array_join("good", "\n").alias("cleaned"),
     )
     kept = ~F.col("base_failed") & (F.col("kept_chars") >= F.col("word_chars") * F.lit(min_kept))
-    return df.withColumn("kept", kept).withColumn("cleaned", F.when(F.col("kept"), F.col("cleaned")).otherwise(""))
+    df = df.withColumn("kept", kept).withColumn("cleaned", F.when(F.col("kept"), F.col("cleaned")).otherwise(""))
+    # One generated row each: filters on the result aren't pushed below, where each would compute its columns anew.
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 BASE_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
