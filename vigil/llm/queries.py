@@ -19,12 +19,10 @@ rows as (select row_number() over () as r, * from t),
 lines as (
   select r, line, pos, row_number() over (partition by r, line order by pos) as nth from (
     select r, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from rows
-  ) where regexp_matches(line, '[^ 	-
-]')
+  ) where regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
 judged as (
-  select *, regexp_replace(line, '[ 	-
-]+', '', 'g') as bare, lower(trim(line, ' ')) as low from lines
+  select *, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') as bare, lower(trim(line, ' ')) as low from lines
 ),
 verdict as (
   select *, not (
@@ -50,8 +48,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and kept_chars >= word_chars * 0.6 as kept
 from counts""",
     "op8_minhash_bottom_k": rf"""
-with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^ 	-
-]+') as w from documents),
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
 g as (
   select distinct doc_id, array_to_string(case when len(w) >= 4 then w[p : p + 3] else w end, ' ') as g
   from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) as p from w where len(w) > 0)
