@@ -187,13 +187,83 @@ def test_geography(spark):
     assert one.select(geo.ring_area(ring)).first()[0] == 10.0
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_nearest(spark, small):
+def test_nearest(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 10.0), (3, None, 1.0), (4, -0.01, 0.0)], "id long, lat double, lon double")
     s = spark.createDataFrame([(9, 0.0, 0.01), (8, 0.0, -0.01), (7, 9.0, 10.0), (6, None, None)], "site long, lat double, lon double")
-    got = {r.id: r.site for r in spatial.nearest(p, s, small=small).collect()}
+    got = {r.id: r.site for r in spatial.nearest(p, s).collect()}
     assert got == {1: 8, 2: 7, 3: None, 4: 8}
-    assert {r.site for r in spatial.nearest(p, s.limit(0), small=small).collect()} == {None}
+    assert {r.site for r in spatial.nearest(p, s.limit(0)).collect()} == {None}
+
+
+def test_nearest_of_repeated_ids_far_points_and_the_date_line(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (1, 10.0, 10.0), (2, 0.0, 179.99), (3, 89.9, 100.0), (4, -60.0, -170.0)], "id long, lat double, lon double")
+    s = spark.createDataFrame([(7, 0.0, 0.01), (8, 10.5, 10.5), (5, 0.0, -179.99), (6, 89.9, -80.0)], "site long, lat double, lon double")
+    got = sorted((r.id, r.lat, r.site) for r in spatial.nearest(p, s).collect())
+    assert got == [(1, 0.0, 7), (1, 10.0, 8), (2, 0.0, 5), (3, 89.9, 6), (4, -60.0, 5)]
+
+
+def test_nearest_and_idw_by_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    place = lambda: (rng.uniform(-80, 80), rng.uniform(-180, 180)) if rng.random() < 0.3 else (rng.uniform(-20.1, -19.9), rng.uniform(-44, -43.9))
+    sites, points = [(i, *place()) for i in range(150)], [(i, *place()) for i in range(200)]
+
+    def km(a, b):
+        (_, p, u), (_, r, v) = a, b
+        h = math.sin(math.radians(r - p) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(r)) * math.sin(math.radians(v - u) / 2) ** 2
+        return 12742 * math.asin(math.sqrt(h))
+
+    got = {r.id: r.site for r in spatial.nearest(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(sites, "site long, lat double, lon double")).collect()}
+    assert got == {p[0]: min(sites, key=lambda s: (km(p, s), s[0]))[0] for p in points}
+    samples = [(f"p{i % 3}", i, *place(), float(i % 11)) for i in range(90)] + [("p9", 1, 0.0, 0.0, 2.0)]
+    rows = spatial.idw(spark.createDataFrame(points[:20], "id long, lat double, lon double"), spark.createDataFrame(samples, "period string, trap long, lat double, lon double, value double"), k=4).collect()
+    assert len(rows) == 20 * 4
+    for r in rows:
+        _, la, lo = points[r.id]
+        near = sorted((math.hypot(s[2] - la, s[3] - lo), s[1], s[4]) for s in samples if s[0] == r.period)[:4]
+        assert r.traps == ",".join(str(n[1]) for n in near) and abs(r.idw_value - sum(n[2] / n[0] ** 2 for n in near) / sum(1 / n[0] ** 2 for n in near)) < 1e-9
+
+
+def test_overlay_of_any_shape(spark):
+    def area(key, *polygons):
+        return (key, [[[{"x": float(x), "y": float(y)} for x, y in [*ring, ring[0]]] for ring in part] for part in polygons])
+
+    kind = "area string, parts array<array<array<struct<x:double,y:double>>>>"
+    c_shape = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 3), (4, 3), (4, 4), (0, 4)]
+    square, hole = [(0, 0), (10, 0), (10, 10), (0, 10)], [(2, 2), (2, 4), (4, 4), (4, 2)]
+    left = spark.createDataFrame([area("box", [[(2, 0), (4, 0), (4, 4), (2, 4)]]), area("frame", [square, hole]), area("two", [[(0, 0), (1, 0), (1, 1), (0, 1)]], [[(3, 3), (4, 3), (4, 4), (3, 4)]])], kind)
+    right = spark.createDataFrame([area("c", [c_shape]), area("c turned", [c_shape[::-1]]), area("inner", [[(1, 1), (5, 1), (5, 5), (1, 5)]])], kind)
+    got = {(r.a, r.b): (round(r.area, 9), round(r.of_a, 9), round(r.of_b, 9)) for r in spatial.overlay(left, right).collect()}
+    assert got["box", "c"] == got["box", "c turned"] == (4.0, 0.5, 0.4)
+    assert got["frame", "inner"] == (12.0, 0.125, 0.75) and got["two", "c"] == (2.0, 1.0, 0.2) and got["two", "inner"] == (1.0, 0.5, 0.0625)
+    points = spark.createDataFrame([(1, 3.0, 3.0), (2, 5.0, 5.0), (3, 2.0, 3.0), (4, 0.5, 0.5)], "id long, x double, y double")
+    inside = {r.id: r.area for r in spatial.with_areas(points, left.where("area = 'frame'")).collect()}
+    assert inside == {1: None, 2: "frame", 3: None, 4: "frame"}
+    with pytest.raises(ValueError):
+        spatial.clip_ring([(0, 0), (1, 0), (1, 1)], c_shape)
+
+
+def test_clusters_with_centres(spark):
+    s = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.01), (3, 0.0, 0.02), (5, 5.0, 5.0)], "site long, lat double, lon double")
+    got = {r.cluster: (r.n, r.lat, round(r.lon, 9)) for r in spatial.cluster_table(s, 1.5, 2).collect()}
+    assert got == {1: (3, 0.0, 0.01), -1: (1, 5.0, 5.0)}
+
+
+def test_geojson_keeps_parts_and_holes(spark, tmp_path):
+    import json
+
+    ring = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    features = [{"type": "Feature", "properties": {"area": 1}, "geometry": {"type": "Polygon", "coordinates": [ring(0.0, 9.0), ring(2.0, 4.0)]}}, {"type": "Feature", "properties": {"area": 2}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring(0.0, 1.0)], [ring(5.0, 6.0)]]}}]
+    (tmp_path / "p.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    g = readers.read_geojson(spark, str(tmp_path / "p.json"), "area int")
+    assert {r.area: [len(p) for p in r.parts] for r in g.collect()} == {1: [2], 2: [1, 1]}
+    readers.write_geojson(g, str(tmp_path / "out"), collection=True)
+    text = "".join(f.read_text() for f in (tmp_path / "out").glob("part*"))
+    assert len(json.loads(text)["features"]) == 2 and json.loads(text)["type"] == "FeatureCollection"
+    back = readers.read_geojson(spark, str(tmp_path / "out"), "area int")
+    assert {r.area: r.parts for r in back.collect()} == {r.area: r.parts for r in g.collect()}
 
 
 def test_idw_and_clip(spark):

@@ -118,3 +118,11 @@ def week_days(spark: SparkSession, year: int) -> DataFrame:
     """The 53 or 52 weeks of an epidemic year with the seven days of each."""
     weeks = spark.range(1).select(F.explode(F.sequence(year_start(F.lit(year)), F.date_sub(year_start(F.lit(year + 1)), 7), F.expr("interval 7 days"))).alias("d"))
     return weeks.select(epidemic_week(F.col("d")).alias("week"), F.explode(F.sequence("d", F.date_add("d", 6))).alias("day"))
+
+
+def day_and_hour(day: Column, hour: Column) -> Column:
+    """Time of a day (``yyyy-MM-dd`` or ``yyyy/MM/dd``) and an hour as ``0``, ``930``, ``0930`` or ``09:30 UTC``; null if neither layout fits."""
+    text = F.trim(F.regexp_replace(hour.cast("string"), "UTC", ""))
+    clock = F.when(text.contains(":"), text).otherwise(hour_text(text))
+    both = F.concat_ws(" ", F.regexp_replace(day, "/", "-"), clock)
+    return F.try_to_timestamp(both, F.lit("yyyy-MM-dd HH:mm"))

@@ -135,11 +135,23 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
         at = p["x"] + F.try_divide((y - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"])
         return ((p["y"] > y) != (q["y"] > y)) & (x < at)
 
+    edges = _edges(ring)
+    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    return odd & ~on_ring(x, y, ring)
+
+
+def point_in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Whether a point lies in the area of several rings (parts and holes): inside an odd number of them, on no boundary."""
+    odd = F.aggregate(rings, F.lit(False), lambda s, ring: s != point_in_ring(x, y, ring))
+    return odd & ~F.exists(rings, lambda ring: on_ring(x, y, ring))
+
+
+def on_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies on the boundary of a closed ring."""
+
     def touches(e):
         p, q = e["p"], e["q"]
         cross = (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])
         return (cross == 0) & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
 
-    edges = _edges(ring)
-    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return odd & ~F.exists(edges, touches)
+    return F.exists(_edges(ring), touches)

@@ -109,3 +109,21 @@ def row_median(*cols: Column) -> Column:
     n = F.size(v)
     low, high = F.get(v, F.floor((n - 1) / 2).cast("int")), F.get(v, F.floor(n / 2).cast("int"))
     return F.when(n > 0, (low + high) / 2)
+
+
+def unprefixed_id(x: Column, prefix: str = "90") -> Column:
+    """The number behind the prefix of ``prefixed_id``."""
+    text = x.cast("string")
+    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 40)).otherwise(text).cast("bigint")
+
+
+def replace_names(text: Column, names: dict[str, str]) -> Column:
+    """Patterns replaced one after the other, wherever they match."""
+    for pattern, name in names.items():
+        text = F.regexp_replace(text, pattern, name)
+    return text
+
+
+def whole_id_text(x: Column) -> Column:
+    """An id by way of a whole number: ``12.0`` and ``12`` give ``12``."""
+    return x.try_cast("double").cast("bigint").cast("string")

@@ -68,9 +68,11 @@ def chronological_split(df: DataFrame, label: str, ratio: float) -> DataFrame:
     return df.withColumn("split", F.when(F.row_number().over(w) <= F.floor(n * F.lit(ratio)), "train").otherwise("test"))
 
 
-def hash_split(df: DataFrame, key: str, test_percent: int) -> DataFrame:
-    """Repeatable random split by a hash of the key."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(key), F.lit(100)) < test_percent, "test").otherwise("train"))
+def hash_split(df: DataFrame, key: str, test_percent: int, salt: str = "split") -> DataFrame:
+    """Repeatable random split by the first byte of a hash of the key, which every engine computes alike."""
+    cut = f"{round(256 * test_percent / 100):02x}"
+    first = F.substring(F.md5(F.concat(F.lit(f"{salt}/"), F.col(key).cast("string"))), 1, 2)
+    return df.withColumn("split", F.when(first < cut, "test").otherwise("train"))
 
 
 def regression_metrics(df: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
@@ -108,29 +110,51 @@ def permutation_importance(df: DataFrame, model, features: list[str], truth: str
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def forward_stepwise(df: DataFrame, candidates: list[str], label: str) -> list[str]:
-    """Features of a logistic regression added one at a time while the AIC falls (a driver loop over models)."""
+def stepwise(df: DataFrame, candidates: list[str], label: str, direction: str = "both") -> list[str]:
+    """Features of a logistic regression, added (``forward``), dropped (``backward``) or either, one at a time while the AIC falls.
+
+    A driver loop over models; each fit is distributed.
+    """
     import math
 
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    if direction not in ("forward", "backward", "both"):
+        raise ValueError(f"unknown direction {direction!r}")
+    known: dict[frozenset, float] = {}
+
+    def aic(features) -> float:
+        key = frozenset(features)
+        if key not in known:
+            use = sorted(features)
+            d = df.withColumn("_y", F.col(label).cast("double")).withColumn("_one", F.lit(0.0))  # a constant feature stands for none
+            d = VectorAssembler(inputCols=use or ["_one"], outputCol="_f", handleInvalid="skip").transform(d)
+            m = LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=50).fit(d)
+            p = F.get(vector_to_array("probability"), F.col("_y").cast("int"))
+            ll = m.transform(d).agg(F.sum(F.ln(F.greatest(p, F.lit(1e-300)))).alias("l")).first()["l"]
+            known[key] = 2 * (len(use) + 1) - 2 * (ll if ll is not None else -math.inf)
+        return known[key]
+
+    chosen = list(candidates) if direction == "backward" else []
+    best = aic(chosen)
+    while True:
+        moves = []
+        if direction != "backward":
+            moves += [[*chosen, c] for c in candidates if c not in chosen]
+        if direction != "forward":
+            moves += [[x for x in chosen if x != c] for c in chosen]
+        if not moves:
+            return chosen
+        score, at = min((aic(m), i) for i, m in enumerate(moves))
+        if score >= best:
+            return chosen
+        chosen, best = moves[at], score
 
-    def aic(features: list[str]) -> float:
-        d = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="skip").transform(df.withColumn("_y", F.col(label).cast("double")))
-        m = LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=50).fit(d)
-        from pyspark.ml.functions import vector_to_array
-
-        p = F.get(vector_to_array("probability"), F.col("_y").cast("int"))
-        ll = m.transform(d).agg(F.sum(F.ln(F.greatest(p, F.lit(1e-300)))).alias("l")).first()["l"]
-        return 2 * (len(features) + 1) - 2 * (ll if ll is not None else -math.inf)
 
-    chosen, best = [], math.inf
-    while left := [c for c in candidates if c not in chosen]:
-        score, pick = min((aic([*chosen, c]), c) for c in left)
-        if score >= best:
-            break
-        chosen, best = [*chosen, pick], score
-    return chosen
+def forward_stepwise(df: DataFrame, candidates: list[str], label: str) -> list[str]:
+    return stepwise(df, candidates, label, "forward")
 
 
 def tree_model(df: DataFrame, features: list[str], label: str, kind: str = "regressor", boosted: bool = False, seed: int = 42):
@@ -143,3 +167,63 @@ def tree_model(df: DataFrame, features: list[str], label: str, kind: str = "regr
     makers = {("regressor", False): r.RandomForestRegressor, ("regressor", True): r.GBTRegressor, ("classifier", False): c.RandomForestClassifier, ("classifier", True): c.GBTClassifier}
     tree = makers[kind, boosted](featuresCol="features", labelCol=label, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), tree]).fit(df)
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, test_percent: int, salt: str = "split") -> DataFrame:
+    """``split``: in each stratum the first rows of a hash order, its share rounded down, are test rows.
+
+    The cut of a stratum is a percentile of its hashes, so no stratum is sorted in one task.
+    """
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}/"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double")
+    marked = df.withColumn("_h", h)
+    cut = marked.groupBy(F.col(stratum).alias("_s")).agg(F.percentile("_h", test_percent / 100).alias("_c"))
+    out = marked.join(cut, F.col(stratum).eqNullSafe(F.col("_s")), "left")
+    return out.withColumn("split", F.when(F.col("_h") < F.col("_c"), "test").otherwise("train")).drop("_h", "_s", "_c")
+
+
+def year_split(df: DataFrame, year: str, test_years: list) -> DataFrame:
+    return df.withColumn("split", F.when(F.col(year).isin(*test_years), "test").otherwise("train"))
+
+
+def month_split(df: DataFrame, date: str, test_percent: int, salt: str = "split") -> DataFrame:
+    """Whole months by a hash of (year, month)."""
+    return hash_split(df.withColumn("_m", F.date_format(date, "yyyy-MM")), "_m", test_percent, salt).drop("_m")
+
+
+def classification_metrics(df: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
+    """n and accuracy over complete rows."""
+    d = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))
+
+
+def stack(df: DataFrame, prefixes: list[str], name: str = "cube") -> DataFrame:
+    """One array a row: for each position the columns of that number of every prefix (``lag0``, ``day0``), then the next."""
+    from itertools import takewhile
+
+    numbers = list(takewhile(lambda i: all(f"{p}{i}" in df.columns for p in prefixes), range(len(df.columns))))
+    return df.withColumn(name, F.array(*[F.array(*[F.col(f"{p}{i}").cast("double") for p in prefixes]) for i in numbers]))
+
+
+def scaled_coordinates(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns ``z_...``: coordinates by their mean and population deviation over all rows."""
+    return standard_scale(df.select("*", *[F.col(c).alias(f"z_{c}") for c in columns]), [f"z_{c}" for c in columns], F.lit(True))
+
+
+def svm_model(df: DataFrame, features: list[str], label: str, regularisation: float = 0.01):
+    """A fitted pipeline of an assembler, a scaler and a linear support vector machine."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    stages = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), LinearSVC(labelCol=label, regParam=regularisation, maxIter=30)]
+    return Pipeline(stages=stages).fit(df)
+
+
+def registered_runs(runs: DataFrame, tag: str | None = None, **parameters) -> DataFrame:
+    """Runs (run, tag, params: map of text) with a tag and parameters, each with its version: its number among the tag's runs."""
+    from functools import reduce
+
+    w = Window.partitionBy("tag").orderBy("run")
+    out = runs.withColumn("version", F.row_number().over(w))
+    asked = [F.col("tag") == tag] * (tag is not None) + [F.try_element_at("params", F.lit(k)) == str(v) for k, v in parameters.items()]
+    return out.where(reduce(lambda a, b: a & b, asked)) if asked else out

@@ -73,3 +73,92 @@ def any_of(*conditions: Column | None) -> Column:
 def threshold_mask(rate: Column, low: float | None = None, high: float | None = None, *checks: Column) -> Column:
     """Rows under ``low`` (a null rate counts as 0), over ``high``, or that meet a check."""
     return any_of(None if low is None else F.coalesce(rate, F.lit(0.0)) >= low, None if high is None else rate <= high, *checks)
+
+
+def keep_existing(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns that there are, in that order."""
+    return df.select([c for c in wanted if c in df.columns])
+
+
+def columns_like(df: DataFrame, *prefixes: str) -> dict[str, list[str]]:
+    """Columns by the prefix of their names."""
+    return {p: [c for c in df.columns if c.startswith(p)] for p in prefixes}
+
+
+def valid_samples(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct rows of the columns without a null."""
+    return df.select(*columns).dropna().distinct()
+
+
+def rows_with_value(df: DataFrame, column: str, value) -> DataFrame:
+    """Rows where a column has a value; rows that are null throughout are never among them, even for a null value."""
+    return df.where(F.col(column).eqNullSafe(value)).dropna(how="all")
+
+
+def rows_with_null(df: DataFrame, column: str) -> DataFrame:
+    return df.where(F.col(column).isNull())
+
+
+def type_census(df: DataFrame) -> DataFrame:
+    """(column, kind, n): how many values of each column read as null, whole number, number or text, in one pass."""
+    kinds = ("null", "whole", "number", "text")
+
+    def kind(c):
+        t = F.col(c).cast("string")
+        return F.when(t.isNull(), "null").when(t.rlike("^[+-]?[0-9]+$"), "whole").when(t.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), "number").otherwise("text")
+
+    counts = df.agg(*[F.count_if(kind(c) == k).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k in kinds])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.col(f"{i}_{k}").alias("n")) for i, c in enumerate(df.columns) for k in kinds])
+    return counts.select(F.inline(cells)).where("n > 0")
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n) of every value of the columns, as text; null is a value."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def pivot_unique(df: DataFrame, keys: list[str], column: str, levels: list, value: str) -> DataFrame:
+    """One row a key, one column a level; raises if a key and level have more than one row."""
+    twice = df.groupBy(*keys, column).agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"{keys} and {column} have more than one row, such as {twice.first()}")
+    return df.groupBy(*keys).pivot(column, levels).agg(F.first(value))
+
+
+def checked_patch(df: DataFrame, patches: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``intervals.patch`` that raises where a patch has no row to change."""
+    from vigil.operators.intervals import patch, unmatched_patches
+
+    lost = unmatched_patches(df, patches, keys)
+    if not lost.isEmpty():
+        raise ValueError(f"no row for the patch {lost.first()}")
+    return patch(df, patches, keys, column)
+
+
+def require(df: DataFrame, columns: dict[str, str], not_negative: tuple[str, ...] = ()) -> DataFrame:
+    """The table itself; raises if it is empty, lacks a column, has one of another type, or a negative value where none may be."""
+    types = dict(df.dtypes)
+    if missing := [c for c in columns if c not in types]:
+        raise ValueError(f"columns are missing: {missing}")
+    if wrong := {c: types[c] for c, t in columns.items() if t and types[c] != t}:
+        raise TypeError(f"columns have other types than wanted: {wrong}")
+    if df.isEmpty():
+        raise ValueError("the table is empty")
+    if not_negative and not df.where(any_of(*[F.col(c) < 0 for c in not_negative])).isEmpty():
+        raise ValueError(f"negative values in {list(not_negative)}")
+    return df
+
+
+def finite_numbers(values) -> list[float]:
+    """The values as floats; raises for text, truth values, NaN and infinities."""
+    import math
+
+    out = []
+    for v in values:
+        if isinstance(v, bool) or not isinstance(v, (int, float)):
+            raise TypeError(f"{v!r} is not a number")
+        if not math.isfinite(v):
+            raise ValueError(f"{v!r} is not finite")
+        out.append(float(v))
+    return out

@@ -94,6 +94,13 @@ def redistribute(links: DataFrame, maintained: float = 0.8) -> DataFrame:
     return out.where("total > 0").select("target", half_up(F.col("total")).alias("population"), "n_sources", kind.alias("conversion"))
 
 
+def provenance(links: DataFrame) -> DataFrame:
+    """(target, n_sources, sources): the sources, sorted, of each target that gets people; a target has few sources."""
+    known = links.where("population is not null and fraction is not null")
+    out = known.groupBy("target").agg(F.sum(F.col("population") * F.col("fraction")).alias("total"), F.count("*").alias("n_sources"), F.array_sort(F.collect_list("source")).alias("sources"))
+    return out.where("total > 0").drop("total")
+
+
 def conservation(links: DataFrame) -> DataFrame:
     """Per cent of all sources' population that arrives at targets (one row)."""
     known = links.where("population is not null and fraction is not null")

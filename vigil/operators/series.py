@@ -118,3 +118,27 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFra
     joint = d.crossJoin(F.broadcast(e)).groupBy(cell("x").alias("i"), cell("y").alias("j")).agg(F.count("*").alias("n"))
     t = joint.withColumn("ni", F.sum("n").over(Window.partitionBy("i"))).withColumn("nj", F.sum("n").over(Window.partitionBy("j"))).withColumn("t", F.sum("n").over(Window.partitionBy()))
     return t.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("ni") * F.col("nj")))).alias("mutual_information"))
+
+
+def rolling_forecast(df: DataFrame, value: str, alpha: float, label: str = "label", partition: list[str] | None = None) -> DataFrame:
+    """(partition, label, value, forecast): each value's forecast from those before it, by a level that every value updates.
+
+    The level is the first value at first, then ``alpha`` times the value plus the rest of the level. A null value leaves it. A series is
+    gathered in one row, so it is one a partition of moderate length.
+    """
+    keys = partition or []
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col(value).cast("double").alias("v")))).alias("s"))
+    empty = F.struct(F.lit(None).cast("double").alias("level"), F.array().cast("array<double>").alias("out"))
+
+    def step(state, x):
+        level = F.when(x["v"].isNull(), state["level"]).when(state["level"].isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * state["level"])
+        return F.struct(level.alias("level"), F.concat(state["out"], F.array(state["level"])).alias("out"))
+
+    told = g.select(*keys, F.arrays_zip(F.col("s"), F.aggregate("s", empty, step)["out"].alias("f")).alias("z"))
+    return told.select(*keys, F.explode("z").alias("z")).select(*keys, F.col("z.s.l").alias(label), F.col("z.s.v").alias(value), F.col("z.f").alias("forecast"))
+
+
+def shifted(df: DataFrame, x: str, y: str, lag: int, label: str = "label") -> DataFrame:
+    """(label, x, y) with y of ``lag`` rows before, for the rows that have both."""
+    w = _order(label, None)
+    return df.withColumn(y, F.lag(y, lag).over(w) if lag >= 0 else F.lead(y, -lag).over(w)).select(label, x, y).dropna()

@@ -1,7 +1,6 @@
 """Nearest sites, inverse-distance weighting, point in polygon, grids, clusters and greedy order.
 
-Reference sites and areas are far fewer than points, but how many is not known beforehand: ``SMALL`` sites at
-most are broadcast, after a count; beyond that, points and sites meet through grid cells.
+Points, sites and areas meet through grid cells, whatever their number.
 """
 
 from __future__ import annotations
@@ -12,99 +11,153 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import geo
+from vigil.operators.shared import cut, drop_cut
 
 SMALL = 20_000
 
 
-def _small(df: DataFrame, limit: int = SMALL) -> bool:
-    return df.limit(limit + 1).count() <= limit
+def _unit(la: Column, lo: Column) -> list[Column]:
+    la, lo = F.radians(la), F.radians(lo)
+    return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
 
 
-def nearest(points: DataFrame, sites: DataFrame, method: str = "haversine", site: str = "site", small: int = SMALL, cell: float = 0.05) -> DataFrame:
-    """Each row of ``points`` (id, lat, lon) with its nearest ``site`` and distance; the smaller site on ties.
+def _nearest_k(asked: DataFrame, sites: DataFrame, key: list[str], on: list[str], axes: int, k: int, size: float, last: float, reach) -> DataFrame:
+    """The ``k`` nearest rows of ``sites`` for each row of ``asked``, by cells that grow until every answer is proven.
 
-    Rows without coordinates keep a null site. Up to ``small`` sites are broadcast and reduced to a minimum a point;
-    more sites are joined by grid cells of ``cell`` degrees in rings that grow until every point has a proven answer.
+    ``asked``: the columns of ``key``, lat, lon, c0.. (coordinates). ``sites``: ``on`` (columns that must be equal), tie, s_lat, s_lon, s0..
+    ``reach`` measures distances and says what a side proves. A row meets the sites in its own and the neighbouring
+    cells of a side; what it finds is final if there are k within ``reach(side)``. The rest goes on with cells four times as wide; from
+    ``last`` on cells hold everything. Each round is written, so the plan doesn't grow.
     """
-    s = sites.where("lat is not null and lon is not null").select(F.col(site).alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    d = geo.distance(method, F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
-    located = points.where("lat is not null and lon is not null").select("id", "lat", "lon").distinct()
-    if _small(s, small):
-        best = located.crossJoin(F.broadcast(s)).groupBy("id", "lat", "lon").agg(F.min(F.struct(d.alias("d"), F.col("site"))).alias("b"))
-    else:
-        best = _nearest_by_cells(located, s, d, cell)
-    return points.join(best.select("id", F.col("b.site").alias("site"), F.col("b.d").alias("distance")).distinct(), "id", "left")
-
-
-def _nearest_by_cells(points: DataFrame, sites: DataFrame, d: Column, cell: float) -> DataFrame:
-    """Rings of cells with sides that double: a hit within the ring's inner margin is final."""
-    todo, done, size = points, None, cell
-    for _ in range(12):
-        sc = sites.select("*", F.floor(F.col("slat") / size).alias("i"), F.floor(F.col("slon") / size).alias("j"))
-        steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-        pc = todo.select("*", F.explode(steps).alias("di")).select("*", F.explode(steps).alias("dj"))
-        pc = pc.withColumn("i", F.floor(F.col("lat") / size) + F.col("di")).withColumn("j", F.floor(F.col("lon") / size) + F.col("dj"))
-        hit = pc.join(sc, ["i", "j"]).groupBy("id", "lat", "lon").agg(F.min(F.struct(d.alias("d"), F.col("site"))).alias("b"))
-        margin = F.lit(size * math.pi / 180 * geo.EARTH_KM) * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(89.0))))
-        sure = hit.where(F.col("b.d") <= margin)
+    done, todo = None, cut(asked, "todo")
+    w = Window.partitionBy(*key)
+    while True:
+        final = size >= last
+        met, place, where = sites, todo, list(on)
+        for c in range(0 if final else axes):
+            met = met.withColumn(f"g{c}", F.floor(F.col(f"s{c}") / size))
+            place = place.withColumn(f"g{c}", F.explode(F.array(*[F.floor(F.col(f"c{c}") / size) + x for x in (-1, 0, 1)])))
+            where.append(f"g{c}")
+        hit = place.join(met, where) if where else place.crossJoin(met)
+        near = hit.withColumn("d", reach.measure()).withColumn("r", F.row_number().over(w.orderBy("d", "tie"))).where(F.col("r") <= k)
+        near = near.withColumn("n", F.count("*").over(w)).withColumn("far", F.max("d").over(w)).drop(*[f"g{c}" for c in range(axes)])
+        near = cut(near, "near")
+        sure = near if final else near.where((F.col("n") == k) & (F.col("far") <= reach(size)))
         done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(sure.select("id"), "id", "left_anti")
-        size *= 2
+        if final:
+            return done
+        before, todo = todo, cut(todo.join(sure.where("r = 1").select(*key), key, "left_anti"), "todo")
+        drop_cut(before)
         if todo.isEmpty():
             return done
-    rest = todo.join(sites, how="cross").groupBy("id", "lat", "lon").agg(F.min(F.struct(d.alias("d"), F.col("site"))).alias("b"))
-    return done.unionByName(rest)
+        size *= 4
+
+
+class _Arc:
+    """Distances on the sphere: what a cell of a side in the unit cube proves, in km (a little less for planar distances)."""
+
+    def __init__(self, method: str):
+        self.method = method
+
+    def measure(self) -> Column:
+        return geo.distance(self.method, F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
+
+    def __call__(self, size: float) -> float:
+        return 2 * math.asin(min(1.0, size / 2)) * geo.EARTH_KM * (1.0 if self.method == "haversine" else 0.98)
+
+
+class _Flat:
+    """Distances in degrees: cells of a side prove that side."""
+
+    def measure(self) -> Column:
+        return geo.degrees(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
+
+    def __call__(self, size: float) -> float:
+        return size
+
+
+def _side(sites: DataFrame, axes: int, least: float) -> float:
+    """A side of cells with about one site each, from the sites' extent and number."""
+    row = sites.agg(F.count("*").alias("n"), *[(F.max(f"s{c}") - F.min(f"s{c}")).alias(f"e{c}") for c in range(axes)]).first()
+    if not row["n"]:
+        return least
+    return max(least, max(row[f"e{c}"] for c in range(axes)) / math.sqrt(row["n"]))
+
+
+def nearest(points: DataFrame, sites: DataFrame, method: str = "haversine", site: str = "site") -> DataFrame:
+    """Each row of ``points`` (id, lat, lon) with its nearest ``site`` and distance; the smaller site on ties.
+
+    Rows without coordinates, and all rows where there is no site, keep a null site. Places are searched, not ids: rows that repeat an id
+    are answered by their own place. Points and sites meet in the cells of a grid in the unit cube (so neither poles nor
+    the date line are edges); a point far from all sites meets more of them in each round.
+    """
+    s = sites.where("lat is not null and lon is not null").groupBy(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).agg(F.min(site).alias("tie"))
+    s = cut(s.select("*", *[x.alias(f"s{c}") for c, x in enumerate(_unit(F.col("s_lat"), F.col("s_lon")))]), "sites")
+    places = points.where("lat is not null and lon is not null").select("lat", "lon").distinct()
+    asked = places.select("lat", "lon", *[x.alias(f"c{c}") for c, x in enumerate(_unit(F.col("lat"), F.col("lon")))])
+    best = _nearest_k(asked, s, ["lat", "lon"], [], 3, 1, _side(s, 3, 1e-6), 2.0, _Arc(method))
+    return points.join(best.select("lat", "lon", F.col("tie").alias("site"), F.col("d").alias("distance")), ["lat", "lon"], "left").select(*points.columns, "site", "distance")
 
 
 def idw(centres: DataFrame, samples: DataFrame, k: int = 6, power: float = 2.0) -> DataFrame:
     """Inverse-distance weighted value of each centre (id, lat, lon) in each period of samples (period, trap, lat, lon, value).
 
     Values of one trap in a period are summed first. The ``k`` nearest count, by (distance, trap); a distance of 0 gives that
-    trap's value. Columns: id, period, idw_value, n_used, min_distance_km, traps (comma list).
+    trap's value. Columns: id, period, idw_value, n_used, min_distance_km, traps (comma list). Centres and samples of a period meet
+    by grid cells.
     """
-    s = samples.dropna(subset=["lat", "lon", "period", "trap"]).groupBy("period", "trap", F.col("lat").alias("slat"), F.col("lon").alias("slon")).agg(F.sum("value").alias("v"))
-    c = centres.where("lat is not null and lon is not null").select("id", "lat", "lon")
-    pairs = s.crossJoin(F.broadcast(c) if _small(c) else c).withColumn("d", geo.degrees(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
-    rank = F.row_number().over(Window.partitionBy("id", "period").orderBy("d", "trap"))  # planned with a group limit before the shuffle
-    near = pairs.withColumn("r", rank).where(F.col("r") <= k)
+    s = samples.dropna(subset=["lat", "lon", "period", "trap"]).groupBy("period", "trap", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).agg(F.sum("value").alias("v"))
+    s = cut(s.withColumnRenamed("trap", "tie").select("*", F.col("s_lat").alias("s0"), F.col("s_lon").alias("s1")), "samples")
+    c = centres.where("lat is not null and lon is not null").select("id", "lat", "lon", F.col("lat").alias("c0"), F.col("lon").alias("c1"))
+    asked = c.crossJoin(F.broadcast(s.select("period").distinct()))  # a row of the result each; periods are a few dozen a year
+    places = s.select("s0", "s1").distinct()
+    near = _nearest_k(asked, s, ["id", "period"], ["period"], 2, k, _side(places, 2, 1e-6) * math.sqrt(k), 360.0, _Flat())
     weight = F.try_divide(F.lit(1.0), F.pow("d", F.lit(power)))
     out = near.groupBy("id", "period").agg(
-        F.try_divide(F.sum(F.col("v") * weight), F.sum(weight)).alias("w"), F.min("d").alias("d0"), F.min(F.when(F.col("d") == 0, F.struct("trap", "v"))).alias("on"),
-        F.count("*").alias("n_used"), F.array_sort(F.collect_list(F.struct("r", "trap"))).alias("t"),
+        F.try_divide(F.sum(F.col("v") * weight), F.sum(weight)).alias("w"), F.min("d").alias("d0"), F.min(F.when(F.col("d") == 0, F.struct("tie", "v"))).alias("on"),
+        F.count("*").alias("n_used"), F.array_sort(F.collect_list(F.struct("r", "tie"))).alias("t"),
     )
-    return out.select("id", "period", F.coalesce("on.v", "w").alias("idw_value"), "n_used", (F.col("d0") * 111.32).alias("min_distance_km"), F.array_join(F.transform("t", lambda x: x["trap"].cast("string")), ",").alias("traps"))
+    return out.select("id", "period", F.coalesce("on.v", "w").alias("idw_value"), "n_used", (F.col("d0") * 111.32).alias("min_distance_km"), F.array_join(F.transform("t", lambda x: x["tie"].cast("string")), ",").alias("traps"))
 
 
 def with_areas(points: DataFrame, areas: DataFrame, area: str = "area") -> DataFrame:
     """``points`` (id, x, y) with the smallest area whose ring holds the point; boundaries are outside, others get null.
 
-    ``areas``: area, ring (array of struct x, y, closed). Bounding boxes are cut into cells of a common size, so points and areas meet
+    ``areas``: area and ring (array of struct x, y, closed), or ``parts`` (polygons of rings; what lies in a hole is outside). Bounding boxes are cut into cells of a common size, so points and areas meet
     by an equi-join and only then by the exact test.
     """
-    box = areas.select(
-        F.col(area).alias("area"), "ring", F.array_min(F.transform("ring", lambda p: p["x"])).alias("x0"), F.array_max(F.transform("ring", lambda p: p["x"])).alias("x1"),
-        F.array_min(F.transform("ring", lambda p: p["y"])).alias("y0"), F.array_max(F.transform("ring", lambda p: p["y"])).alias("y1"),
-    )
+    shape = areas.select(F.col(area).alias("area"), F.flatten(_parts(areas)).alias("rings")).withColumn("all", F.flatten("rings"))
+    x, y = F.transform("all", lambda p: p["x"]), F.transform("all", lambda p: p["y"])
+    box = shape.select("area", "rings", F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"))
     side = box.agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0"))).alias("s")).first()["s"]
     if not side:
         return points.withColumn("area", F.lit(None).cast(dict(areas.dtypes)[area]))
     cells = box.withColumn("i", F.explode(F.sequence(F.floor(F.col("x0") / side), F.floor(F.col("x1") / side)))).withColumn("j", F.explode(F.sequence(F.floor(F.col("y0") / side), F.floor(F.col("y1") / side))))
     p = points.select("id", "x", "y", F.floor(F.col("x") / side).alias("i"), F.floor(F.col("y") / side).alias("j"))
-    near = p.join(cells, ["i", "j"]).where("x > x0 and x < x1 and y > y0 and y < y1").where(geo.point_in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    near = p.join(cells, ["i", "j"]).where("x > x0 and x < x1 and y > y0 and y < y1").where(geo.point_in_rings(F.col("x"), F.col("y"), F.col("rings")))
     return points.join(near.groupBy("id").agg(F.min("area").alias("area")), "id", "left")
 
 
-def clip_convex(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Overlay of two sets of convex rings: (a, b, area) of each pair that intersects, by Sutherland-Hodgman clipping.
+def _parts(df: DataFrame) -> Column:
+    """Polygons of rings (the first the outer one) of an area: ``parts``, or its one ``ring``."""
+    return F.col("parts") if "parts" in df.columns else F.array(F.array("ring"))
+
 
-    Pairs meet by grid cells of their boxes; only those whose boxes cross are clipped, in batches.
+def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, area, of_a, of_b) of each pair of areas that intersects: the common area and its share of each.
+
+    Areas have a ``ring``, or ``parts`` (array of polygons, each an array of rings, the outer one first, then holes), of any shape. A polygon is
+    the sum of the triangles of its rings' fans, each with its sign, so the common area is the signed sum over pairs of triangles.
+    Pairs of areas meet by grid cells of their boxes; only those whose boxes cross are clipped, in batches.
     """
 
-    def boxes(df, key, out):
-        xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-        return df.select(F.col(key).alias(out), F.col("ring").alias(f"r{out}"), F.array_min(xs).alias(f"x0{out}"), F.array_max(xs).alias(f"x1{out}"), F.array_min(ys).alias(f"y0{out}"), F.array_max(ys).alias(f"y1{out}"))
+    def boxes(df, out):
+        d = df.select(F.col("area").alias(out), _parts(df).alias(f"r{out}"))
+        flat = F.flatten(F.flatten(f"r{out}"))
+        xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
+        return d.select("*", F.array_min(xs).alias(f"x0{out}"), F.array_max(xs).alias(f"x1{out}"), F.array_min(ys).alias(f"y0{out}"), F.array_max(ys).alias(f"y1{out}"))
 
-    a, b = boxes(left, "area", "a"), boxes(right, "area", "b")
+    a, b = boxes(left, "a"), boxes(right, "b")
     side = a.agg(F.greatest(F.avg(F.col("x1a") - F.col("x0a")), F.avg(F.col("y1a") - F.col("y0a"))).alias("s")).first()["s"] or 1.0
 
     def cells(df, k):
@@ -112,15 +165,60 @@ def clip_convex(left: DataFrame, right: DataFrame) -> DataFrame:
 
     pairs = cells(a, "a").join(cells(b, "b"), ["i", "j"]).where("x0a < x1b and x0b < x1a and y0a < y1b and y0b < y1a").dropDuplicates(["a", "b"]).select("a", "b", "ra", "rb")
 
+    def rings(parts):
+        return [[[(p["x"], p["y"]) for p in ring] for ring in part] for part in parts]
+
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                one, two = signed_triangles(rings(x)), signed_triangles(rings(y))
+                both = common_area(one, two)
+                rows.append((both, both / total_area(one), both / total_area(two)) if both > 0 else (0.0, 0.0, 0.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]], ["a", "b", "area", "of_a", "of_b"])
+
+    kinds = f"a {a.schema['a'].dataType.simpleString()}, b {b.schema['b'].dataType.simpleString()}, area double, of_a double, of_b double"
+    return pairs.mapInArrow(run, kinds).where("area > 0")
+
+
+def _turn(ring: list) -> float:
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, [*ring[1:], *ring[:1]]))
 
-        for pdf in batches:
-            area = [polygon_area(clip_ring([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y])) for x, y in zip(pdf["ra"], pdf["rb"])]
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "area": area})
 
-    kinds = f"a {a.schema['a'].dataType.simpleString()}, b {b.schema['b'].dataType.simpleString()}, area double"
-    return pairs.mapInPandas(run, kinds).where("area > 0")
+def signed_triangles(parts: list) -> list:
+    """(sign, triangle turned left) of the fans of all rings; outer rings count up, holes down, whatever way they are given."""
+    out = []
+    for part in parts:
+        for number, ring in enumerate(part):
+            ring = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+            if (_turn(ring) < 0) != (number > 0):
+                ring = ring[::-1]
+            for p, q in zip(ring[1:], ring[2:]):
+                t = [ring[0], p, q]
+                turn = _turn(t)
+                if turn:
+                    out.append((1, t) if turn > 0 else (-1, t[::-1]))
+    return out
+
+
+def total_area(triangles: list) -> float:
+    return sum(s * polygon_area(t) for s, t in triangles)
+
+
+def common_area(one: list, two: list) -> float:
+    def box(t):
+        xs, ys = zip(*t)
+        return min(xs), max(xs), min(ys), max(ys)
+
+    boxes, total = [box(t) for _, t in two], 0.0
+    for s, t in one:
+        x0, x1, y0, y1 = box(t)
+        for (z, u), (a0, a1, b0, b1) in zip(two, boxes):
+            if x0 < a1 and a0 < x1 and y0 < b1 and b0 < y1 and (c := clip_ring(t, u)):
+                total += s * z * polygon_area(c)
+    return max(0.0, total)
 
 
 def polygon_area(ring: list) -> float:
@@ -128,11 +226,15 @@ def polygon_area(ring: list) -> float:
 
 
 def clip_ring(subject: list, window: list) -> list:
-    """Part of ``subject`` within the convex ring ``window``; closing points may repeat the first."""
+    """Part of ``subject`` within the convex ring ``window``; closing points may repeat the first. Raises for another window."""
     subject, window = ([*r[:-1]] if len(r) > 1 and r[0] == r[-1] else [*r] for r in (subject, window))
     turn = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(window, [*window[1:], *window[:1]]))
     if turn < 0:
         window = window[::-1]
+    size = max((abs(c) for p in window for c in p), default=0.0)
+    for p, q, r in zip(window, [*window[1:], *window[:1]], [*window[2:], *window[:2]]):
+        if (q[0] - p[0]) * (r[1] - q[1]) - (q[1] - p[1]) * (r[0] - q[0]) < -1e-12 * size * size:
+            raise ValueError("the window isn't convex; use overlay for polygons of any shape")
     for p, q in zip(window, [*window[1:], *window[:1]]):
         side = [(q[0] - p[0]) * (s[1] - p[1]) - (q[1] - p[1]) * (s[0] - p[0]) for s in subject]
         kept = []
@@ -167,24 +269,19 @@ def dbscan(sites: DataFrame, eps_km: float, min_samples: int) -> DataFrame:
     """(site, cluster): the smallest core site of the cluster; -1 is noise.
 
     A site counts itself towards ``min_samples``. Border sites take the smallest cluster they touch. Clusters grow by
-    minimum labels with pointer jumping, each round checkpointed to the session's shared folder.
+    minimum labels with pointer jumping, each round written to the session's shared folder.
     """
-    spark = sites.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigil"))
     e = distance_edges(sites, eps_km).select("a", "b")
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     degree = e.groupBy("a").agg((F.count("*") + 1).alias("n"))
-    core = sites.select(F.col("site").alias("a")).join(degree, "a", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("a").checkpoint()
-    inner = e.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b").checkpoint()
+    core = cut(sites.select(F.col("site").alias("a")).join(degree, "a", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("a"))
+    inner = cut(e.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"))
     label = core.withColumn("c", F.col("a"))
     while True:
         low = inner.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
         new = label.join(low, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"))
         jump = new.select(F.col("a").alias("c"), F.col("c").alias("d"))
-        new = new.join(jump, "c", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("c")).checkpoint()
+        new = cut(new.join(jump, "c", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("c")))
         if new.join(label.withColumnRenamed("c", "o"), "a").where("c <> o").isEmpty():
             break
         label = new
@@ -193,6 +290,12 @@ def dbscan(sites: DataFrame, eps_km: float, min_samples: int) -> DataFrame:
     return out.select(F.col("a").alias("site"), F.coalesce("c", "m", F.lit(-1)).cast("long").alias("cluster"))
 
 
+def cluster_table(sites: DataFrame, eps_km: float, min_samples: int) -> DataFrame:
+    """(cluster, n, lat, lon): size and centre of each cluster of ``dbscan``, noise (-1) too."""
+    c = dbscan(sites, eps_km, min_samples)
+    return sites.join(c, "site").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+
+
 def grid(spark, lat_min: float, lat_max: float, lon_min: float, lon_max: float, spacing_m: float) -> DataFrame:
     """Grid points (latitude, longitude) ``spacing_m`` metres apart; longitude steps follow each row's latitude."""
     numbers = (lat_min, lat_max, lon_min, lon_max, spacing_m)

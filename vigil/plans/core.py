@@ -198,9 +198,9 @@ def iv_next_previous(spark, d):
     return exposures(spark, d).select("trap", "dt_instal").distinct().select("trap", "dt_instal", F.lag("dt_instal").over(w).alias("previous"), F.lead("dt_instal").over(w).alias("next"))
 
 
-@query("iv_trailing_window", f"SELECT trap, dt_instal, k, count(o_orderkey) AS n_before FROM (SELECT DISTINCT trap, dt_instal, k FROM ({EXPOSURES}) WHERE trap < 20) e LEFT JOIN orders o ON CAST(o_orderdate AS DATE) >= dt_instal - 7 AND CAST(o_orderdate AS DATE) < dt_instal GROUP BY ALL")
-def iv_trailing_window(spark, d, whole=False):
-    e = exposures(spark, d).where(F.lit(whole) | F.expr("trap < 20")).select("trap", "dt_instal", "k").distinct()
+@query("iv_trailing_window", f"SELECT trap, dt_instal, k, count(o_orderkey) AS n_before FROM (SELECT DISTINCT trap, dt_instal, k FROM ({EXPOSURES})) e LEFT JOIN orders o ON CAST(o_orderdate AS DATE) >= dt_instal - 7 AND CAST(o_orderdate AS DATE) < dt_instal GROUP BY ALL")
+def iv_trailing_window(spark, d):
+    e = exposures(spark, d).select("trap", "dt_instal", "k").distinct()
     per_day = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
     days = e.withColumn("day", F.explode(F.sequence(F.date_sub("dt_instal", 7), F.date_sub("dt_instal", 1))))
     return days.join(per_day, "day", "left").groupBy("trap", "dt_instal", "k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_before"))
@@ -290,13 +290,13 @@ def ser_best_lag(spark, d):
     return series.best_lag(series.lagged_correlation(_pair(spark, d), "x", "y", 8)).withColumn("corr", q(F.col("corr")))
 
 
-@query("ser_sweep", f"""WITH p AS (SELECT n::DOUBLE AS x, coalesce(eggs, 0) AS y, row_number() OVER (ORDER BY epidemic_date) - 1 AS p FROM ({_WEEKLY})), g AS (SELECT unnest(generate_series(1, 6)) AS g),
-  b AS (SELECT g, p // g AS b, sum(x) AS x, sum(y) AS y FROM p CROSS JOIN g GROUP BY ALL), l AS (SELECT unnest(generate_series(0, 5)) AS lag)
-  SELECT CAST(g AS INTEGER) AS g, CAST(lag AS INTEGER) AS lag, {q_sql(_CORR)} AS corr, count(*) AS n FROM (SELECT a.g, lag, a.x, c.y FROM b a CROSS JOIN l JOIN b c ON c.g = a.g AND c.b = a.b + lag) GROUP BY ALL""")
+@query("ser_sweep", f"""WITH p AS (SELECT n::DOUBLE AS x, coalesce(eggs, 0) AS y, row_number() OVER (ORDER BY epidemic_date) - 1 AS p FROM ({_WEEKLY})), g AS (SELECT unnest(generate_series(1, 60)) AS g),
+  b AS (SELECT g, p // g AS b, sum(x) AS x, sum(y) AS y FROM p CROSS JOIN g GROUP BY ALL), l AS (SELECT unnest(generate_series(0, 120)) AS lag)
+  SELECT CAST(g AS INTEGER) AS g, CAST(lag AS INTEGER) AS lag, {q_sql(_CORR)} AS corr, count(*) AS n FROM (SELECT a.g, lag, a.x, c.y FROM b a CROSS JOIN l JOIN b c ON c.g = a.g AND c.b = a.b + lag WHERE lag <= ceil(120.0 / a.g)) GROUP BY ALL""")
 def ser_sweep(spark, d):
     p = _weekly(spark, d).select(F.col("n").cast("double").alias("x"), F.coalesce("eggs", F.lit(0.0)).alias("y"), (F.row_number().over(Window.orderBy("epidemic_date")) - 1).alias("p"))
-    b = p.withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(6)))).groupBy("g", F.floor(F.col("p") / F.col("g")).alias("b")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    later = b.select("g", "y", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("lag"), (F.col("b") - F.col("lag")).alias("b"))
+    b = p.withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(60)))).groupBy("g", F.floor(F.col("p") / F.col("g")).alias("b")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    later = b.select("g", "y", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(120) / F.col("g")).cast("int"))).alias("lag"), (F.col("b") - F.col("lag")).alias("b"))
     return b.select("g", "b", "x").join(later, ["g", "b"]).groupBy("g", "lag").agg(q(series.correlation("x", "y")).alias("corr"), F.count("*").alias("n"))
 
 
@@ -333,12 +333,12 @@ def ser_peak(spark, d):
     return series.peak(_trapday(spark, d), "v", "dt_col", ["trap"]).select("trap", "dt_col", "from_peak", q(F.col("of_peak")).alias("of_peak"))
 
 
-@query("ser_acf", f"WITH p AS (SELECT coalesce(y, 0) AS y, row_number() OVER (ORDER BY label) AS p FROM ({_PAIR})), m AS (SELECT avg(y) AS m, sum((y - (SELECT avg(y) FROM p)) * (y - (SELECT avg(y) FROM p))) AS s FROM p) SELECT CAST(lag AS INTEGER) AS lag, {q_sql('sum((a.y - m) * (b.y - m)) / max(s)')} AS acf FROM p a CROSS JOIN (SELECT unnest(generate_series(1, 20)) AS lag) JOIN p b ON b.p = a.p + lag CROSS JOIN m GROUP BY lag")
+@query("ser_acf", f"WITH p AS (SELECT coalesce(y, 0) AS y, row_number() OVER (ORDER BY label) AS p FROM ({_PAIR})), m AS (SELECT avg(y) AS m, sum((y - (SELECT avg(y) FROM p)) * (y - (SELECT avg(y) FROM p))) AS s FROM p) SELECT CAST(lag AS INTEGER) AS lag, {q_sql('sum((a.y - m) * (b.y - m)) / max(s)')} AS acf FROM p a CROSS JOIN (SELECT unnest(generate_series(1, 207)) AS lag) JOIN p b ON b.p = a.p + lag CROSS JOIN m GROUP BY lag")
 def ser_acf(spark, d):
     p = _pair(spark, d).select(F.coalesce("y", F.lit(0.0)).alias("y"), F.row_number().over(Window.orderBy("label")).alias("p"))
     m = p.agg(F.avg("y").alias("m"), (F.var_pop("y") * F.count("*")).alias("s"))
     c = p.crossJoin(F.broadcast(m)).select("p", (F.col("y") - F.col("m")).alias("c"), "s")
-    later = c.select("s", F.col("c").alias("e"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("lag"), F.col("p").alias("o")).withColumn("p", F.col("o") - F.col("lag")).drop("o")
+    later = c.select("s", F.col("c").alias("e"), F.explode(F.sequence(F.lit(1), F.lit(207))).alias("lag"), F.col("p").alias("o")).withColumn("p", F.col("o") - F.col("lag")).drop("o")
     return c.select("p", "c").join(later, "p").groupBy("lag").agg(q(F.try_divide(F.sum(F.col("c") * F.col("e")), F.max("s"))).alias("acf"))
 
 

@@ -59,10 +59,10 @@ def srt_top_per_group(spark, d):
     return table(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 3").select("l_suppkey", "r", "l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("srt_sample")
+@query("srt_sample", "SELECT c_custkey, c_name FROM customer ORDER BY md5('42/' || c_custkey), c_custkey LIMIT 20")
 def srt_sample(spark, d):
     """A repeatable sample of 20 rows by a hash order (the limit is the feature)."""
-    return table(spark, d, "customer").orderBy(F.xxhash64("c_custkey", F.lit(42)), "c_custkey").limit(20).select("c_custkey", "c_name")
+    return table(spark, d, "customer").orderBy(F.md5(F.concat(F.lit("42/"), F.col("c_custkey").cast("string"))), "c_custkey").limit(20).select("c_custkey", "c_name")
 
 
 @query("agg_merged_counts", "SELECT d, sum(n)::BIGINT AS n FROM (SELECT l_linenumber AS d, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT p_size, count(*) FROM part GROUP BY 1) GROUP BY d")
@@ -74,7 +74,9 @@ def agg_merged_counts(spark, d):
 
 @query("cpx_smallest", "SELECT o_custkey, list_slice(list_sort(list(o_orderkey)), 1, 3)[1] AS first, list_slice(list_sort(list(o_orderkey)), 1, 3)[2] AS second, len(list_slice(list_sort(list(o_orderkey)), 1, 3)) AS n FROM orders GROUP BY 1")
 def cpx_smallest(spark, d):
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 3).alias("a"))
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))  # limited to three a group before the shuffle
+    few = table(spark, d, "orders").select("o_custkey", "o_orderkey", r.alias("r")).where("r <= 3")
+    g = few.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("a"))
     return g.select("o_custkey", F.get("a", F.lit(0)).alias("first"), F.get("a", F.lit(1)).alias("second"), F.size("a").cast("bigint").alias("n"))
 
 
@@ -86,12 +88,14 @@ def cpx_links(spark, d):
     return m.select(F.lit(2).alias("n_regionkey"), F.explode(F.try_element_at("m", F.lit(2))).alias("target"))
 
 
-@query("cal_fridays", "SELECT CAST(x AS DATE) AS friday, count(o_orderkey) AS n FROM generate_series(DATE '1996-01-05', DATE '1996-12-27', INTERVAL 7 DAY) t(x) LEFT JOIN orders ON CAST(o_orderdate AS DATE) > CAST(x AS DATE) - 7 AND CAST(o_orderdate AS DATE) <= CAST(x AS DATE) GROUP BY 1")
+@query("cal_fridays", "SELECT CAST(x AS DATE) AS friday, count(o_orderkey) AS n FROM (SELECT unnest(generate_series((SELECT min(CAST(o_orderdate AS DATE)) FROM orders) + CAST((12 - dayofweek((SELECT min(CAST(o_orderdate AS DATE)) FROM orders))) % 7 AS INTEGER), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) + 6, INTERVAL 7 DAY)) AS x) t LEFT JOIN orders ON CAST(o_orderdate AS DATE) > CAST(x AS DATE) - 7 AND CAST(o_orderdate AS DATE) <= CAST(x AS DATE) GROUP BY 1")
 def cal_fridays(spark, d):
-    """Weeks that end on Fridays."""
-    spine = spark.range(1).select(F.explode(F.sequence(F.lit("1996-01-05").cast("date"), F.lit("1996-12-27").cast("date"), F.expr("interval 7 days"))).alias("friday"))
+    """Weeks that end on Fridays, from the first case's to the last one's."""
     dt = F.to_date("o_orderdate")
-    n = table(spark, d, "orders").groupBy(F.date_add(dt, F.pmod(F.lit(4) - F.weekday(dt), F.lit(7)).cast("int")).alias("friday")).agg(F.count("*").alias("n"))
+    friday = F.date_add(dt, F.pmod(F.lit(4) - F.weekday(dt), F.lit(7)).cast("int"))
+    n = table(spark, d, "orders").groupBy(friday.alias("friday")).agg(F.count("*").alias("n"))
+    ends = n.agg(F.min("friday").alias("a"), F.max("friday").alias("b")).where("a is not null")
+    spine = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("friday"))
     return spine.join(n, "friday", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -128,7 +132,7 @@ def ml_sample_grid(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("lag")).agg(*[F.count_if(F.col("l_quantity") > k).alias(f"n{k}") for k in (10, 20, 30)])
 
 
-@query("ml_hash_split")
+@query("ml_hash_split", "SELECT CASE WHEN substr(md5('split/' || c_custkey), 1, 2) < '33' THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM customer GROUP BY 1")
 def ml_hash_split(spark, d):
     """A repeatable random split."""
     return features.hash_split(table(spark, d, "customer"), "c_custkey", 20).groupBy("split").agg(F.count("*").alias("n"))

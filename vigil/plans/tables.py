@@ -20,22 +20,23 @@ def hav_sql(a: str, b: str, c: str, e: str) -> str:
 
 
 _POINTS = f"SELECT c_custkey AS id, {lat_sql('c_custkey')} AS lat, {lon_sql('c_custkey')} AS lon FROM customer"
-_SITES = f"SELECT s_suppkey AS site, {lat_sql('s_suppkey * 11 + 3')} AS lat, {lon_sql('s_suppkey * 7 + 5')} AS lon FROM supplier WHERE s_suppkey % 4 = 0"
+_SITES = f"SELECT s_suppkey AS site, {lat_sql('s_suppkey * 11 + 3')} AS lat, {lon_sql('s_suppkey * 7 + 5')} AS lon FROM supplier"
 
 
 def _points(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), lat("c_custkey").alias("lat"), lon("c_custkey").alias("lon"))
 
 
-def _sites(spark, d, whole=False):
-    s = table(spark, d, "supplier").where(F.lit(whole) | (F.col("s_suppkey") % 4 == 0)).select(F.col("s_suppkey").alias("site"), (F.col("s_suppkey") * 11 + 3).alias("a"), (F.col("s_suppkey") * 7 + 5).alias("b"))
+def _sites(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_suppkey") * 11 + 3).alias("a"), (F.col("s_suppkey") * 7 + 5).alias("b"))
     return s.select("site", lat("a").alias("lat"), lon("b").alias("lon"))
 
 
-def _paired(spark, d, whole):
-    """Pairs a point with a site; over all sites, point keys go round them."""
-    if not whole:
-        return F.col("id") % 25 * 4 == F.col("site")
+_PAIR_SQL = "id % (SELECT count(*) FROM supplier) = site % (SELECT count(*) FROM supplier)"
+
+
+def _paired(spark, d):
+    """Each point with a site: point keys go round the sites."""
     n = F.lit(max(1, table(spark, d, "supplier").count()))
     return F.col("id") % n == F.col("site") % n
 
@@ -43,37 +44,31 @@ def _paired(spark, d, whole):
 # --- places -----------------------------------------------------------------------------------
 
 
-@query("geo_haversine", f"SELECT id, site, {q_sql(hav_sql('p.lat', 'p.lon', 's.lat', 's.lon'))} AS km FROM ({_POINTS}) p JOIN ({_SITES}) s ON id % 25 * 4 = site")
-def geo_haversine(spark, d, whole=False):
-    s = _sites(spark, d, whole).withColumnsRenamed({"lat": "slat", "lon": "slon"})
-    j = _points(spark, d).join(s, _paired(spark, d, whole))
+@query("geo_haversine", f"SELECT id, site, {q_sql(hav_sql('p.lat', 'p.lon', 's.lat', 's.lon'))} AS km FROM ({_POINTS}) p JOIN ({_SITES}) s ON {_PAIR_SQL}")
+def geo_haversine(spark, d):
+    s = _sites(spark, d).withColumnsRenamed({"lat": "slat", "lon": "slon"})
+    j = _points(spark, d).join(s, _paired(spark, d))
     return j.select("id", "site", q(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).alias("km"))
 
 
-@query("geo_planar", f"SELECT id, site, {q_sql('6371.0 * sqrt(pow(radians(s.lon - p.lon) * cos(radians((p.lat + s.lat) / 2)), 2) + pow(radians(s.lat - p.lat), 2))')} AS km FROM ({_POINTS}) p JOIN ({_SITES}) s ON id % 25 * 4 = site")
-def geo_planar(spark, d, whole=False):
-    s = _sites(spark, d, whole).withColumnsRenamed({"lat": "slat", "lon": "slon"})
-    j = _points(spark, d).join(s, _paired(spark, d, whole))
+@query("geo_planar", f"SELECT id, site, {q_sql('6371.0 * sqrt(pow(radians(s.lon - p.lon) * cos(radians((p.lat + s.lat) / 2)), 2) + pow(radians(s.lat - p.lat), 2))')} AS km FROM ({_POINTS}) p JOIN ({_SITES}) s ON {_PAIR_SQL}")
+def geo_planar(spark, d):
+    s = _sites(spark, d).withColumnsRenamed({"lat": "slat", "lon": "slon"})
+    j = _points(spark, d).join(s, _paired(spark, d))
     return j.select("id", "site", q(geo.distance("planar", F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).alias("km"))
 
 
 @query("geo_geodesic")
-def geo_geodesic(spark, d, whole=False):
+def geo_geodesic(spark, d):
     """Ellipsoidal metres; a test holds them against known distances."""
-    s = _sites(spark, d, whole).withColumnsRenamed({"lat": "slat", "lon": "slon"})
-    j = _points(spark, d).join(s, _paired(spark, d, whole))
+    s = _sites(spark, d).withColumnsRenamed({"lat": "slat", "lon": "slon"})
+    j = _points(spark, d).join(s, _paired(spark, d))
     return j.select("id", "site", q(geo.geodesic_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 3).alias("m"))
 
 
 @query("geo_nearest", f"SELECT id, lat, lon, b.site AS site, {q_sql('b.d')} AS distance FROM (SELECT id, p.lat, p.lon, min(struct_pack(d := {hav_sql('p.lat', 'p.lon', 's.lat', 's.lon')}, site := site)) AS b FROM ({_POINTS}) p CROSS JOIN ({_SITES}) s GROUP BY ALL)")
-def geo_nearest(spark, d, whole=False):
-    return spatial.nearest(_points(spark, d), _sites(spark, d, whole)).withColumn("distance", q(F.col("distance")))
-
-
-@query("geo_nearest_cells", f"SELECT id, {q_sql('min(d)')} AS distance FROM (SELECT id, {hav_sql('p.lat', 'p.lon', 's.lat', 's.lon')} AS d FROM ({_POINTS}) p CROSS JOIN ({_SITES}) s) GROUP BY id")
-def geo_nearest_cells(spark, d, whole=False):
-    """The same search through grid cells, as with more sites than are broadcast."""
-    return spatial.nearest(_points(spark, d), _sites(spark, d, whole), small=0).select("id", q(F.col("distance")).alias("distance"))
+def geo_nearest(spark, d):
+    return spatial.nearest(_points(spark, d), _sites(spark, d)).withColumn("distance", q(F.col("distance")))
 
 
 @query("geo_utm_round_trip", f"SELECT id, {q_sql('lat')} AS lat, {q_sql('lon')} AS lon FROM ({_POINTS})")
@@ -84,21 +79,17 @@ def geo_utm_round_trip(spark, d):
     return p.select("id", q(la).alias("lat"), q(lo).alias("lon"))
 
 
-
-
-
-def _samples(spark, d, whole=False):
+def _samples(spark, d):
     from vigil.functions.calendar import biweek_label
 
-    e = exposures(spark, d).where(F.lit(whole) | F.expr("trap % 4 = 0 and dt_col < date'1996-01-01'"))
-    e = e.select("trap", biweek_label(F.col("dt_col")).alias("period"), (F.col("trap") * 11 + 3).alias("a"), (F.col("trap") * 7 + 5).alias("b"), F.col("eggs").alias("value"))
+    e = exposures(spark, d).select("trap", biweek_label(F.col("dt_col")).alias("period"), (F.col("trap") * 11 + 3).alias("a"), (F.col("trap") * 7 + 5).alias("b"), F.col("eggs").alias("value"))
     return e.select("trap", "period", lat("a").alias("lat"), lon("b").alias("lon"), "value")
 
 
 def _idw_sql() -> str:
     from vigil.plans.frames import epi_sql
 
-    inner = f"SELECT trap, dt_col AS dt, eggs FROM ({EXPOSURES}) WHERE trap % 4 = 0 AND dt_col < DATE '1996-01-01'"
+    inner = f"SELECT trap, dt_col AS dt, eggs FROM ({EXPOSURES})"
     s = f"SELECT trap, biweek AS period, {lat_sql('(trap * 11 + 3)')} AS lat, {lon_sql('(trap * 7 + 5)')} AS lon, sum(eggs) AS v FROM ({epi_sql(inner)}) GROUP BY ALL"
     return f"""WITH s AS ({s}), c AS (SELECT n_nationkey AS id, {lat_sql('(n_nationkey * 5)')} AS lat, {lon_sql('(n_nationkey * 3)')} AS lon FROM nation),
       p AS (SELECT id, period, trap, v, sqrt((c.lat - s.lat) * (c.lat - s.lat) + (c.lon - s.lon) * (c.lon - s.lon)) AS d FROM s CROSS JOIN c),
@@ -107,9 +98,9 @@ def _idw_sql() -> str:
 
 
 @query("geo_idw", _idw_sql())
-def geo_idw(spark, d, whole=False):
+def geo_idw(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 5).alias("a"), (F.col("n_nationkey") * 3).alias("b"))
-    out = spatial.idw(n.select("id", lat("a").alias("lat"), lon("b").alias("lon")), _samples(spark, d, whole))
+    out = spatial.idw(n.select("id", lat("a").alias("lat"), lon("b").alias("lon")), _samples(spark, d))
     return out.withColumn("idw_value", q(F.col("idw_value"), 4)).withColumn("min_distance_km", q(F.col("min_distance_km")))
 
 
@@ -119,11 +110,11 @@ def geo_pip(spark, d):
     return spatial.with_areas(p, areas(spark, d)).select("id", "area")
 
 
-@query("geo_overlay", f"SELECT a, b, {q_sql('w * h / 1e-6', 3)} AS area FROM (SELECT p.area AS a, o.area AS b, least(p.x0 + 0.038, o.x0 + 0.048) - greatest(p.x0, o.x0 + 0.01) AS w, least(p.y0 + 0.052, o.y0 + 0.072) - greatest(p.y0, o.y0 + 0.02) AS h FROM ({AREAS}) p CROSS JOIN ({AREAS}) o) WHERE w > 1e-9 AND h > 1e-9")
+@query("geo_overlay", f"SELECT a, b, {q_sql('w * h / 1e-6', 3)} AS area, {q_sql('w * h / (0.038 * 0.052)', 3)} AS of_a, {q_sql('w * h / (0.038 * 0.052)', 3)} AS of_b FROM (SELECT p.area AS a, o.area AS b, least(p.x0 + 0.038, o.x0 + 0.048) - greatest(p.x0, o.x0 + 0.01) AS w, least(p.y0 + 0.052, o.y0 + 0.072) - greatest(p.y0, o.y0 + 0.02) AS h FROM ({AREAS}) p CROSS JOIN ({AREAS}) o) WHERE w > 1e-9 AND h > 1e-9")
 def geo_overlay(spark, d):
     a = areas(spark, d)
     moved = a.select("area", F.transform("ring", lambda p: F.struct((p["x"] + 0.01).alias("x"), (p["y"] + 0.02).alias("y"))).alias("ring"))
-    return spatial.clip_convex(a, moved).where("area > 1e-12").select("a", "b", q(F.col("area") / 1e-6, 3).alias("area"))
+    return spatial.overlay(a, moved).where("area > 1e-12").select("a", "b", *[q(F.col(c) / k, 3).alias(c) for c, k in (("area", 1e-6), ("of_a", 1.0), ("of_b", 1.0))])
 
 
 @query("geo_centroid_area", f"SELECT area, {q_sql('x0 + 0.019')} AS cx, {q_sql('y0 + 0.026')} AS cy, {q_sql('0.038 * 0.052 / 1e-6', 3)} AS size FROM ({AREAS})")
@@ -137,8 +128,8 @@ _EDGES = f"SELECT a.site AS a, b.site AS b, {hav_sql('a.lat', 'a.lon', 'b.lat',
 
 
 @query("geo_distance_edges", f"SELECT a, b, {q_sql('km')} AS km FROM ({_EDGES}) WHERE km <= 5")
-def geo_distance_edges(spark, d, whole=False):
-    return spatial.distance_edges(_sites(spark, d, whole), 5.0).select("a", "b", q(F.col("km")).alias("km"))
+def geo_distance_edges(spark, d):
+    return spatial.distance_edges(_sites(spark, d), 5.0).select("a", "b", q(F.col("km")).alias("km"))
 
 
 _DBSCAN = f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_EDGES}) WHERE km <= 2.5 UNION SELECT b, a FROM ({_EDGES}) WHERE km <= 2.5), s AS ({_SITES}),
@@ -149,8 +140,8 @@ _DBSCAN = f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_EDGES}) WHERE km <= 2.5 U
 
 
 @query("geo_dbscan", _DBSCAN)
-def geo_dbscan(spark, d, whole=False):
-    return spatial.dbscan(_sites(spark, d, whole), 2.5, 3)
+def geo_dbscan(spark, d):
+    return spatial.dbscan(_sites(spark, d), 2.5, 3)
 
 
 @query("geo_grid")
@@ -160,25 +151,25 @@ def geo_grid(spark, d):
 
 
 @query("geo_grid_counts", f"WITH g AS ({_SITES}), n AS (SELECT id, min(struct_pack(d := {hav_sql('p.lat', 'p.lon', 'g.lat', 'g.lon')}, site := site)).site AS site FROM ({_POINTS}) p CROSS JOIN g GROUP BY id) SELECT site, {', '.join(f'''count(*) FILTER (epidemic_year = '{y}') AS y{y[:4]}''' for y in ('1996_97', '1997_98', '1998_99'))} FROM ({EPI_CASES}) c JOIN n ON n.id = c.place GROUP BY site")
-def geo_grid_counts(spark, d, whole=False):
-    n = spatial.nearest(_points(spark, d), _sites(spark, d, whole)).select(F.col("id").alias("place"), "site")
+def geo_grid_counts(spark, d):
+    n = spatial.nearest(_points(spark, d), _sites(spark, d)).select(F.col("id").alias("place"), "site")
     c = cases(spark, d).select("place", "epidemic_year").join(n, "place")
     return c.groupBy("site").agg(*[F.count_if(F.col("epidemic_year") == y).alias(f"y{y[:4]}") for y in ("1996_97", "1997_98", "1998_99")])
 
 
-@query("geo_station_idw", f"WITH st AS ({_SITES}), v AS (SELECT s_suppkey AS site, s_acctbal AS t FROM supplier WHERE s_suppkey % 8 <> 0), p AS (SELECT id, t, 1 / nullif({hav_sql('p.lat', 'p.lon', 'st.lat', 'st.lon')}, 0) AS w FROM ({_POINTS}) p CROSS JOIN st LEFT JOIN v USING (site) WHERE id < 200) SELECT id, {q_sql('sum(w * t) / sum(CASE WHEN t IS NOT NULL THEN w END)', 4)} AS value FROM p GROUP BY id")
-def geo_station_idw(spark, d, whole=False):
+@query("geo_station_idw", f"WITH st AS ({_SITES}), v AS (SELECT s_suppkey AS site, s_acctbal AS t FROM supplier WHERE s_suppkey % 8 <> 0), p AS (SELECT id, t, 1 / nullif({hav_sql('p.lat', 'p.lon', 'st.lat', 'st.lon')}, 0) AS w FROM ({_POINTS}) p CROSS JOIN st LEFT JOIN v USING (site)) SELECT id, {q_sql('sum(w * t) / sum(CASE WHEN t IS NOT NULL THEN w END)', 4)} AS value FROM p GROUP BY id")
+def geo_station_idw(spark, d):
     """Each variable has its own mask: stations without a value take no part."""
     v = table(spark, d, "supplier").where("s_suppkey % 8 <> 0").select(F.col("s_suppkey").alias("site"), F.col("s_acctbal").alias("t"))
-    st = _sites(spark, d, whole).withColumnsRenamed({"lat": "slat", "lon": "slon"}).join(v, "site")
+    st = _sites(spark, d).withColumnsRenamed({"lat": "slat", "lon": "slon"}).join(v, "site")
     w = F.try_divide(F.lit(1.0), geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
-    j = _points(spark, d).where(F.lit(whole) | F.expr("id < 200")).crossJoin(F.broadcast(st) if not whole or st.count() <= spatial.SMALL else st).withColumn("w", w)  # weather stations: a few dozen, or counted
+    j = _points(spark, d).crossJoin(F.broadcast(st) if st.count() <= spatial.SMALL else st).withColumn("w", w)  # every station counts for every point; broadcast after a count
     return j.groupBy("id").agg(q(F.try_divide(F.sum(F.col("w") * F.col("t")), F.sum("w")), 4).alias("value"))
 
 
 @query("geo_smooth", f"SELECT a AS site, {q_sql('avg(s_acctbal * pow(1000.0, -km))', 4)} AS smoothed, count(*) AS n FROM (SELECT a, b, km FROM ({_EDGES}) UNION ALL SELECT b, a, km FROM ({_EDGES})) JOIN supplier ON s_suppkey = b WHERE km <= 5 GROUP BY a")
-def geo_smooth(spark, d, whole=False):
-    e = spatial.distance_edges(_sites(spark, d, whole), 5.0)
+def geo_smooth(spark, d):
+    e = spatial.distance_edges(_sites(spark, d), 5.0)
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "km"))
     j = both.join(table(spark, d, "supplier"), F.col("b") == F.col("s_suppkey"))
     return j.groupBy(F.col("a").alias("site")).agg(q(F.avg(F.col("s_acctbal") * F.pow(F.lit(1000.0), -F.col("km"))), 4).alias("smoothed"), F.count("*").alias("n"))
@@ -191,11 +182,11 @@ def geo_shared_places(spark, d):
     return p.groupBy("x", "y").agg(F.count_distinct("c_custkey").alias("n")).where("n > 3")
 
 
-@query("geo_nearest_vector", "SELECT a.vec_id AS id, min(struct_pack(d := floor(dist * 1e6 + 0.5), vec_id := b.vec_id)).vec_id AS nearest FROM (SELECT a.vec_id, b.vec_id AS bid, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) a JOIN (SELECT vec_id FROM embeddings) b ON b.vec_id = a.bid GROUP BY a.vec_id")
-def geo_nearest_vector(spark, d, whole=False):
-    """Nearest neighbour in 64 dimensions of a stated query set."""
+@query("geo_nearest_vector", "SELECT a.vec_id AS id, min(struct_pack(d := floor(dist * 1e6 + 0.5), vec_id := b.vec_id)).vec_id AS nearest FROM (SELECT a.vec_id, b.vec_id AS bid, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) a JOIN (SELECT vec_id FROM embeddings) b ON b.vec_id = a.bid GROUP BY a.vec_id")
+def geo_nearest_vector(spark, d):
+    """Nearest neighbour in 64 dimensions of every vector whose id is divisible by 20."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = e.where("vec_id % 20 = 0" if whole else "vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
     dist = F.aggregate(F.zip_with("x", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
     j = e.crossJoin(F.broadcast(asked) if asked.count() <= spatial.SMALL else asked).where("id <> vec_id")
     return j.groupBy("id").agg(F.min(F.struct(F.floor(dist * 1e6 + 0.5).alias("d"), "vec_id")).alias("b")).select("id", F.col("b.vec_id").alias("nearest"))
@@ -205,16 +196,16 @@ def geo_nearest_vector(spark, d, whole=False):
 
 
 @query("feat_matrix")
-def feat_matrix(spark, d, whole=False):
+def feat_matrix(spark, d):
     """Lags of the two nearest traps of each sample; a test compares it with a plain loop."""
     from vigil.functions.calendar import epidemic_week, epidemic_year
 
     day = F.col("dt_col")
-    s = exposures(spark, d).where(F.lit(whole) | F.expr("trap % 4 = 0")).groupBy("trap", (epidemic_year(day) * 53 + epidemic_week(day)).alias("week")).agg(F.max("dt_col").alias("day"), F.sum("eggs").alias("value"))
-    sites = _sites(spark, d, whole).withColumnRenamed("site", "trap")
+    s = exposures(spark, d).groupBy("trap", (epidemic_year(day) * 53 + epidemic_week(day)).alias("week")).agg(F.max("dt_col").alias("day"), F.sum("eggs").alias("value"))
+    sites = _sites(spark, d).withColumnRenamed("site", "trap")
     other = sites.select(F.col("trap").alias("other"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
     dist = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))
-    near = sites.crossJoin(F.broadcast(other) if not whole or other.count() <= spatial.SMALL else other).withColumn("km", F.when(F.col("trap") == F.col("other"), -1.0).otherwise(dist))  # traps: a few thousand, or counted
+    near = sites.crossJoin(F.broadcast(other) if other.count() <= spatial.SMALL else other).withColumn("km", F.when(F.col("trap") == F.col("other"), -1.0).otherwise(dist))  # broadcast after a count
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("trap").orderBy("km", "other")) - 1).where("rank < 6")
     m = features.neighbour_lag_matrix(s, s.select("week").distinct(), near, 3, 2)
     return m.select("trap", "week", "value", F.col("features")[0]["other"].alias("trap0"), F.col("features")[1]["other"].alias("trap1"), F.array_join(F.transform(F.col("features")[1]["values"], lambda x: x.cast("string")), ",").alias("values1"), F.array_join(F.transform(F.col("features")[0]["days"], lambda x: x.cast("string")), ",").alias("days0"))
@@ -505,9 +496,9 @@ def dash_loglog(spark, d):
     return g.select("n", "groups", q(F.ln("n")).alias("ln_n"), q(F.ln("groups")).alias("ln_groups"))
 
 
-@query("dash_used_traps", "SELECT s_suppkey, x FROM (SELECT s_suppkey, unnest(string_split(s_suppkey || ',' || (s_suppkey + 1), ',')) AS x FROM supplier) WHERE s_suppkey < 10")
-def dash_used_traps(spark, d, whole=False):
-    s = table(spark, d, "supplier").where(F.lit(whole) | F.expr("s_suppkey < 10"))
+@query("dash_used_traps", "SELECT s_suppkey, x FROM (SELECT s_suppkey, unnest(string_split(s_suppkey || ',' || (s_suppkey + 1), ',')) AS x FROM supplier)")
+def dash_used_traps(spark, d):
+    s = table(spark, d, "supplier")
     return s.select("s_suppkey", F.explode(F.split(F.concat_ws(",", F.col("s_suppkey").cast("string"), (F.col("s_suppkey") + 1).cast("string")), ",")).alias("x"))
 
 

@@ -60,13 +60,16 @@ def read_parquet(spark: SparkSession, path) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path, properties: str) -> DataFrame:
-    """One row a polygon feature: the properties (a DDL string) and ``ring``, the outer ring as (x, y)."""
+    """One row a feature: the properties (a DDL string), ``parts`` (all polygons, each with its outer ring and holes, of points x, y) and
+    ``ring``, the outer ring of the first polygon."""
     schema = f"features array<struct<properties:struct<{properties}>, geometry:struct<type:string, coordinates:string>>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    rings = F.when(F.col("f.geometry.type") == "Polygon", F.get(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"), F.lit(0))).otherwise(
-        F.get(F.get(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>", {"mode": "PERMISSIVE"}), F.lit(0)), F.lit(0))
-    )
-    return raw.select("f.properties.*", F.transform(rings, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("ring"))
+    one = F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
+    many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>", {"mode": "PERMISSIVE"})
+    polygons = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    parts = F.transform(polygons, lambda rings: F.transform(rings, lambda ring: F.transform(ring, point)))
+    return raw.select("f.properties.*", parts.alias("parts")).withColumn("ring", F.get(F.get("parts", F.lit(0)), F.lit(0)))
 
 
 def read_series_payload(df: DataFrame, column: str, series: int = 1) -> DataFrame:
@@ -113,14 +116,24 @@ def write_parquet(df: DataFrame, path: str, *partitions: str) -> None:
 
 
 def geojson_lines(df: DataFrame, ring: str = "ring") -> DataFrame:
-    """One GeoJSON feature a row (``value``), ready for ``write.text``."""
-    props = F.struct(*[F.col(c) for c in df.columns if c != ring])
-    coords = F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"))).alias("value"))
-
-
-def write_geojson(df: DataFrame, path: str, ring: str = "ring") -> None:
-    geojson_lines(df, ring).write.mode("overwrite").text(path)
+    """One GeoJSON feature a row (``value``), ready for ``write.text``; several ``parts`` as a MultiPolygon."""
+    parts = F.col("parts") if "parts" in df.columns else F.array(F.array(ring))
+    props = F.struct(*[F.col(c) for c in df.columns if c not in (ring, "parts")])
+    coords = F.transform(parts, lambda part: F.transform(part, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    single = F.size(parts) == 1
+    shape = F.concat(
+        F.lit('{"type":"'), F.when(single, "Polygon").otherwise("MultiPolygon"), F.lit('","coordinates":'), F.when(single, F.to_json(F.get(coords, F.lit(0)))).otherwise(F.to_json(coords)), F.lit("}")
+    )
+    return df.select(F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(props), F.lit(',"geometry":'), shape, F.lit("}")).alias("value"))
+
+
+def write_geojson(df: DataFrame, path: str, ring: str = "ring", collection: bool = False) -> None:
+    """Features as lines in parts, or, for a table of one file's size, as one FeatureCollection."""
+    lines = geojson_lines(df, ring)
+    if not collection:
+        return lines.write.mode("overwrite").text(path)
+    kind = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}"))
+    lines.agg(kind.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
