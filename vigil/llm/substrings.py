@@ -224,11 +224,12 @@ def repeated_windows(docs: DataFrame, window: int = 50, bits: int | None = None,
     sketch = merged_sketch(docs, window, bits, rows if sent else 1)
     if sent:
         maps = spark.sparkContext.broadcast(_sent_maps(sketch, bits, rows))
-        found = stored(_candidates(docs, window, maps, bits), "windows")
+        found = _candidates(docs, window, maps, bits)
     else:
-        keys = _open_anchors(docs, sketch, window, bits)
-        found = stored(_candidates(docs.join(keys, "doc_id"), window, None, bits), "windows")
-    firsts = found.groupBy("w", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w", "c", "lo")
+        keys = stored(_open_anchors(docs, sketch, window, bits), "anchors")
+        found = _candidates(docs.join(keys, "doc_id"), window, None, bits)
+    # Windows are made anew for each of the two steps, which costs less than keeping them: they outweigh the texts.
+    firsts = found.groupBy("w", "c").agg(F.min("doc_id").alias("lo"))
     return found.join(firsts, ["w", "c"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("w").alias("ws"))
 
 
