@@ -17,7 +17,7 @@ each level with the threshold for its own number of vectors, and queries go to a
 Long buckets are cut into blocks of about ``BLOCK`` vectors and of as many queries, and every block of one meets
 every block of the other, so a hot axis (say, copies of one vector) is spread over tasks and no bucket is capped. A block
 keeps each query's ``top`` by the exact inner product; the best of all blocks follow by a ranking that
-Spark limits before and after its shuffle.
+Spark limits before and after its shuffle. Vectors and queries travel packed, a row for each bucket and batch.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from vigil.llm.runtime import drop_stored, ship, stored
 
-TABLES = 6
+TABLES = 4
 RECALL = 0.91
 BLOCK = 4096
 QUERY_BLOCK = 512
+GATHER = 8192
 
 
 def signs(dim: int, tables: int, seed: int = 11) -> np.ndarray:
@@ -110,57 +111,94 @@ def _by_dimension(batch):
         yield dim, batch.column(0).take(pa.array(at[ks])), np.stack([rows[k] for k in ks])
 
 
-def _blobs(x: np.ndarray) -> pa.Array:
-    """Vectors as bytes: 4 a number where that is exact, else 8."""
+def _packed(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Vectors in 4 bytes a number where that is exact, else 8, and that width."""
     narrow = x.astype("<f4")
-    return pa.array([v.tobytes() for v in (narrow if (narrow == x).all() else x.astype("<f8"))], pa.binary())
-
-
-def _unblob(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.stack([np.frombuffer(v.as_buffer(), "<f4" if len(v.as_buffer()) == 4 * dim else "<f8") for v in column]).astype(np.float64)
+    return (narrow, 4) if (narrow == x).all() else (x.astype("<f8"), 8)
+
+
+_KEY = ["dim", "level", "axis"]
+_PACK = "dim int, level int, axis int, n int, salt long, width int, ids binary, vecs binary, extra binary"
+
+
+def _rows(dim: int, level: int, axes: np.ndarray, ids: np.ndarray, x: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+    """A row for each axis with the ids, vectors and ``extra`` bytes of all that go there; ``axes`` are sorted."""
+    packed, width = _packed(x)
+    axis, cut = np.unique(axes, return_index=True)
+    cut = [*cut.tolist(), len(axes)]
+    spans = list(zip(cut, cut[1:]))
+    n = len(spans)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, level), pa.int32()), pa.array(axis, pa.int32()), pa.array(np.diff(cut), pa.int32()), pa.array(ids[cut[:-1]], pa.int64()), pa.array(np.full(n, width), pa.int32()),
+            pa.array([ids[i:j].astype("<i8").tobytes() for i, j in spans], pa.binary()), pa.array([packed[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([extra[i:j].tobytes() for i, j in spans], pa.binary()),
+        ],
+        ["dim", "level", "axis", "n", "salt", "width", "ids", "vecs", "extra"],
+    )
+
+
+def _gathered(batches, size: int):
+    """(dimension, ids, vectors) of ``size`` vectors or more at a time, to the end."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for dim, ids, x in _by_dimension(batch):
+            got = held.setdefault(dim, [])
+            got.append((ids.to_numpy(), x))
+            if sum(len(i) for i, _ in got) >= size:
+                yield dim, np.concatenate([i for i, _ in got]), np.concatenate([v for _, v in got])
+                held[dim] = []
+    for dim, got in held.items():
+        if got:
+            yield dim, np.concatenate([i for i, _ in got]), np.concatenate([v for _, v in got])
 
 
 def _index_rows(tables: int):
+    """Rows of vectors by level, table and first axis; ``extra`` holds their second axes (32 bits)."""
+
     def run(batches):
-        for batch in batches:
-            for dim, ids, x in _by_dimension(batch):
-                u, vec = _padded(x), _blobs(x)
-                level = np.frexp(np.linalg.norm(x, axis=1))[1]
-                for t, (one, two) in enumerate(signs(u.shape[1], tables)):
-                    first, second = _axes(u, one).argmax(axis=1), _axes(u, two).argmax(axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), dim), pa.int32()), pa.array(level, pa.int32()), pa.array(t * 2 * u.shape[1] + first, pa.int32()), pa.array(second, pa.int32()), ids, vec],
-                        ["dim", "level", "axis", "second", "vec_id", "vec"],
-                    )
+        for dim, ids, x in _gathered(batches, GATHER):
+            u = _padded(x)
+            level = np.frexp(np.linalg.norm(x, axis=1))[1]
+            for t, (one, two) in enumerate(signs(u.shape[1], tables)):
+                first, second = _axes(u, one).argmax(axis=1), _axes(u, two).argmax(axis=1)
+                for v in np.unique(level):
+                    k = np.flatnonzero(level == v)
+                    k = k[np.argsort(first[k], kind="stable")]
+                    yield _rows(dim, int(v), t * 2 * u.shape[1] + first[k], ids[k], x[k], second[k].astype("<i4")[:, None])
 
     return run
 
 
 def _probe_rows(tables: int, limits: dict[tuple[int, int], float]):
-    """A row for each level, table and first axis of a query, with the second axes to look at as bits."""
+    """Rows of queries by level, table and first axis; ``extra`` holds the second axes to look at as bits."""
 
     def run(batches):
-        for batch in batches:
-            for dim, ids, x in _by_dimension(batch):
-                u, vec = _padded(x), _blobs(x)
-                width = 2 * u.shape[1]
-                levels = [(v, limit) for (d, v), limit in limits.items() if d == dim]
-                for t, (one, two) in enumerate(signs(u.shape[1], tables)):
-                    a, b = _axes(u, one), _axes(u, two)
-                    for level, limit in levels:
-                        for i in range(0, len(x), 256):  # 256 queries' pairs of axes at a time
-                            want = a[i : i + 256, :, None] + b[i : i + 256, None, :] >= limit
-                            q, axis = np.nonzero(want.any(axis=2))
-                            bits = np.packbits(want[q, axis], axis=1)
-                            take = pa.array(i + q)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(q), dim), pa.int32()), pa.array(np.full(len(q), level), pa.int32()), pa.array(t * width + axis, pa.int32()), pa.array([r.tobytes() for r in bits], pa.binary()), ids.take(take), vec.take(take)],
-                                ["dim", "level", "axis", "want", "vec_id", "vec"],
-                            )
+        for dim, ids, x in _gathered(batches, QUERY_BLOCK):
+            u = _padded(x)
+            width = 2 * u.shape[1]
+            levels = [(v, limit) for (d, v), limit in limits.items() if d == dim]
+            step = max(1, (1 << 24) // (width * width))  # queries whose pairs of axes are summed at a time
+            for t, (one, two) in enumerate(signs(u.shape[1], tables)):
+                a, b = _axes(u, one), _axes(u, two)
+                for level, limit in levels:
+                    for i in range(0, len(x), step):
+                        want = a[i : i + step, :, None] + b[i : i + step, None, :] >= limit
+                        axis, q = np.nonzero(want.any(axis=2).T)
+                        if len(q):
+                            yield _rows(dim, level, t * width + axis, ids[i + q], x[i + q], np.packbits(want[q, axis], axis=1))
 
     return run
 
 
+def _unpacked(table: pa.Table, kind: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and the extra bytes (``width`` of ``kind`` each) of all rows."""
+    dim = table.column("dim")[0].as_py()
+    ids = np.concatenate([np.frombuffer(v.as_buffer(), "<i8") for v in table.column("ids")])
+    vecs = [np.frombuffer(v.as_buffer(), f"<f{w}").reshape(-1, dim) for v, w in zip(table.column("vecs"), table.column("width").to_pylist())]
+    extra = np.concatenate([np.frombuffer(v.as_buffer(), kind).reshape(-1, width) for v in table.column("extra")])
+    return ids, np.concatenate(vecs).astype(np.float64), extra
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, summed in order, so that equal vectors give equal numbers."""
     out = np.zeros(len(q))
@@ -195,28 +233,26 @@ def _best(q_id, q, want, x_id, x, bounds, top):
 
 def _meetings(index: DataFrame, probe: DataFrame, top: int) -> DataFrame:
     """query_id, vec_id, score of each block's best."""
-    key = ["dim", "level", "axis"]
-    size = index.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    size = size.join(probe.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns")), key)
+    size = index.groupBy(*_KEY).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    size = size.join(probe.groupBy(*_KEY).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("turns")), _KEY)
     parts, turns = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("turns") - 1)
-    block = F.xxhash64("vec_id")
-    spread = index.join(size, key).select(*key, F.pmod(block, F.col("parts")).cast("int").alias("part"), F.explode(turns).alias("turn"), "vec_id", "vec", "second")
-    asked = probe.join(size, key).select(*key, F.explode(parts).alias("part"), F.pmod(block, F.col("turns")).cast("int").alias("turn"), "vec_id", "vec", "want")
+    block, pack = F.xxhash64("salt", "n"), ["n", "width", "ids", "vecs", "extra"]
+    spread = index.join(size, _KEY).select(*_KEY, F.pmod(block, F.col("parts")).cast("int").alias("part"), F.explode(turns).alias("turn"), *pack)
+    asked = probe.join(size, _KEY).select(*_KEY, F.explode(parts).alias("part"), F.pmod(block, F.col("turns")).cast("int").alias("turn"), *pack)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        dim = left.column("dim")[0].as_py()
-        second = left.column("second").to_numpy()
-        order = np.argsort(second, kind="stable")
-        x, q = _unblob(left.column("vec"), dim)[order], _unblob(right.column("vec"), dim)
-        xi, qi = left.column("vec_id").to_numpy()[order], right.column("vec_id").to_numpy()
-        want = np.unpackbits(np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in right.column("want")]), axis=1).astype(bool)
-        bounds = np.searchsorted(second[order], np.arange(want.shape[1] + 1))
+        xi, x, second = _unpacked(left, "<i4", 1)
+        qi, q, bits = _unpacked(right, "u1", len(right.column("extra")[0].as_buffer()) // right.column("n")[0].as_py())
+        order = np.argsort(second[:, 0], kind="stable")
+        xi, x = xi[order], x[order]
+        want = np.unpackbits(bits, axis=1).astype(bool)
+        bounds = np.searchsorted(second[order, 0], np.arange(want.shape[1] + 1))
         parts = [_best(qi[a : a + QUERY_BLOCK], q[a : a + QUERY_BLOCK], want[a : a + QUERY_BLOCK], xi, x, bounds, top) for a in range(0, len(q), QUERY_BLOCK)]
         return pa.table([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-    group = [*key, "part", "turn"]
+    group = [*_KEY, "part", "turn"]
     return spread.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
 
@@ -233,18 +269,17 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int =
     def usable(df):
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null and not exists(embedding, v -> v is null)")
 
-    index = stored(usable(vectors).mapInArrow(_index_rows(tables), "dim int, level int, axis int, second int, vec_id long, vec binary"), "index")
+    index = stored(usable(vectors).mapInArrow(_index_rows(tables), _PACK), "index")
     # A row for each length and level; each vector stands once in each table.
-    sizes = {(r["dim"], r["level"]): r["n"] // tables for r in index.groupBy("dim", "level").agg(F.count("*").alias("n")).collect()}
+    sizes = {(r["dim"], r["level"]): r["n"] // tables for r in index.groupBy("dim", "level").agg(F.sum("n").alias("n")).collect()}
     limits = {k: threshold(n, 1 << (k[0] - 1).bit_length(), top, tables, recall) for k, n in sizes.items()}
     asked = usable(queries)
-    schema = "dim int, level int, axis int, want binary, vec_id long, vec binary"
-    probe = stored(asked.mapInArrow(_probe_rows(tables, limits), schema), "probe")
+    probe = stored(asked.mapInArrow(_probe_rows(tables, limits), _PACK), "probe")
     best = stored(_meetings(index, probe, top).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     if any(limit > -math.inf for limit in limits.values()):
         short = asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")).where(f"n >= {top}").select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
         every = {k: -math.inf for k in limits}  # one table has all pairs
-        again = short.mapInArrow(_probe_rows(1, every), schema)
+        again = short.mapInArrow(_probe_rows(1, every), _PACK)
         more = _meetings(index.join(_first_table(index, sizes), ["dim", "axis"], "left_semi"), again, top) if not short.isEmpty() else None
         if more is not None:
             best = stored(best.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
