@@ -4,7 +4,7 @@ A unit vector is turned by a fast pseudo-rotation, three rounds of random signs
 and falls to the nearest signed axis. Each table has two such polytopes: the first axis names the bucket a vector is
 stored in, once a table, and the second orders the vectors within it. A query probes the pairs of axes whose two
 coordinates of the turned query sum to a threshold or more: it is sent to the buckets of the first axes, each time with the set
-of second axes to look at.
+of pairs to look at. While there are few vectors, neighbouring first axes share a bucket, so that one has about ``BLOCK`` vectors.
 
 The threshold follows from the number of vectors, their dimension and the recall wanted (``threshold``): for directions that are
 uniform on the sphere, the hardest case, the chance that a true neighbour's pair is probed in one of the tables is
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.runtime import drop_stored, ship, stored
 
-TABLES = 4
+TABLES = 3
 RECALL = 0.91
 BLOCK = 4096
 QUERY_BLOCK = 512
@@ -153,7 +153,7 @@ def _gathered(batches, size: int):
 
 
 def _index_rows(tables: int):
-    """Rows of vectors by level, table and first axis; ``extra`` holds their second axes (32 bits)."""
+    """Rows of vectors by level, table and first axis; ``extra`` holds their pairs of axes (32 bits)."""
 
     def run(batches):
         for dim, ids, x in _gathered(batches, GATHER):
@@ -164,13 +164,23 @@ def _index_rows(tables: int):
                 for v in np.unique(level):
                     k = np.flatnonzero(level == v)
                     k = k[np.argsort(first[k], kind="stable")]
-                    yield _rows(dim, int(v), t * 2 * u.shape[1] + first[k], ids[k], x[k], second[k].astype("<i4")[:, None])
+                    pair = first[k].astype(np.int64) * 2 * u.shape[1] + second[k]
+                    yield _rows(dim, int(v), t * 2 * u.shape[1] + first[k], ids[k], x[k], pair.astype("<i4")[:, None])
 
     return run
 
 
-def _probe_rows(tables: int, limits: dict[tuple[int, int], float]):
-    """Rows of queries by level, table and first axis; ``extra`` holds the second axes to look at as bits."""
+def folds(sizes: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """First axes that share a bucket, a power of two, for the vectors of each length and level."""
+    out = {}
+    for (dim, level), n in sizes.items():
+        width = 2 << (dim - 1).bit_length()
+        out[dim, level] = min(width, 1 << max(0, int(math.log2(max(1.0, BLOCK * width / max(1, n))))))
+    return out
+
+
+def _probe_rows(tables: int, limits: dict[tuple[int, int], float], fold: dict[tuple[int, int], int]):
+    """Rows of queries by level, table and bucket; ``extra`` holds the pairs of axes to look at as bits."""
 
     def run(batches):
         for dim, ids, x in _gathered(batches, QUERY_BLOCK):
@@ -183,9 +193,10 @@ def _probe_rows(tables: int, limits: dict[tuple[int, int], float]):
                 for level, limit in levels:
                     for i in range(0, len(x), step):
                         want = a[i : i + step, :, None] + b[i : i + step, None, :] >= limit
-                        axis, q = np.nonzero(want.any(axis=2).T)
+                        want = want.reshape(len(want), width // fold[dim, level], -1)
+                        bucket, q = np.nonzero(want.any(axis=2).T)
                         if len(q):
-                            yield _rows(dim, level, t * width + axis, ids[i + q], x[i + q], np.packbits(want[q, axis], axis=1))
+                            yield _rows(dim, level, t * (width // fold[dim, level]) + bucket, ids[i + q], x[i + q], np.packbits(want[q, bucket], axis=1))
 
     return run
 
@@ -208,8 +219,8 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _best(q_id, q, want, x_id, x, bounds, top):
-    """Each query's ``top`` among the vectors of a block whose second axis it wants: (query, vector, score), ties to the smaller vec_id."""
-    if want.mean() > 0.3:
+    """Each query's ``top`` among the vectors of a block whose pair of axes it wants: (query, vector, score), ties to the smaller vec_id."""
+    if want.mean() > 0.3 or len(x) < 32 * np.count_nonzero(np.diff(bounds)):
         approx = q @ x.T
         approx[~np.repeat(want, np.diff(bounds), axis=1)] = -np.inf
     else:
@@ -231,8 +242,10 @@ def _best(q_id, q, want, x_id, x, bounds, top):
     return q_id[i[keep]], x_id[j[keep]], s[keep]
 
 
-def _meetings(index: DataFrame, probe: DataFrame, top: int) -> DataFrame:
+def _meetings(index: DataFrame, probe: DataFrame, fold: dict[tuple[int, int], int], top: int) -> DataFrame:
     """query_id, vec_id, score of each block's best."""
+    known = index.sparkSession.createDataFrame([(d, v, g) for (d, v), g in fold.items()], "dim int, level int, fold int")
+    index = index.join(F.broadcast(known), ["dim", "level"]).withColumn("axis", F.floor(F.col("axis") / F.col("fold")).cast("int"))  # a row each length and level
     size = index.groupBy(*_KEY).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
     size = size.join(probe.groupBy(*_KEY).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("turns")), _KEY)
     parts, turns = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("turns") - 1)
@@ -243,12 +256,13 @@ def _meetings(index: DataFrame, probe: DataFrame, top: int) -> DataFrame:
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        xi, x, second = _unpacked(left, "<i4", 1)
+        xi, x, pair = _unpacked(left, "<i4", 1)
         qi, q, bits = _unpacked(right, "u1", len(right.column("extra")[0].as_buffer()) // right.column("n")[0].as_py())
-        order = np.argsort(second[:, 0], kind="stable")
-        xi, x = xi[order], x[order]
         want = np.unpackbits(bits, axis=1).astype(bool)
-        bounds = np.searchsorted(second[order, 0], np.arange(want.shape[1] + 1))
+        cell = pair[:, 0] % want.shape[1]  # a bucket holds whole runs of first axes
+        order = np.argsort(cell, kind="stable")
+        xi, x = xi[order], x[order]
+        bounds = np.searchsorted(cell[order], np.arange(want.shape[1] + 1))
         parts = [_best(qi[a : a + QUERY_BLOCK], q[a : a + QUERY_BLOCK], want[a : a + QUERY_BLOCK], xi, x, bounds, top) for a in range(0, len(q), QUERY_BLOCK)]
         return pa.table([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], names=["query_id", "vec_id", "score"])
 
@@ -273,14 +287,16 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int =
     # A row for each length and level; each vector stands once in each table.
     sizes = {(r["dim"], r["level"]): r["n"] // tables for r in index.groupBy("dim", "level").agg(F.sum("n").alias("n")).collect()}
     limits = {k: threshold(n, 1 << (k[0] - 1).bit_length(), top, tables, recall) for k, n in sizes.items()}
-    asked = usable(queries)
-    probe = stored(asked.mapInArrow(_probe_rows(tables, limits), _PACK), "probe")
-    best = stored(_meetings(index, probe, top).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    asked, fold = usable(queries), folds(sizes)
+    if not sizes:
+        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    probe = stored(asked.mapInArrow(_probe_rows(tables, limits, fold), _PACK), "probe")
+    best = stored(_meetings(index, probe, fold, top).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     if any(limit > -math.inf for limit in limits.values()):
         short = asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")).where(f"n >= {top}").select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
         every = {k: -math.inf for k in limits}  # one table has all pairs
-        again = short.mapInArrow(_probe_rows(1, every), _PACK)
-        more = _meetings(index.join(_first_table(index, sizes), ["dim", "axis"], "left_semi"), again, top) if not short.isEmpty() else None
+        again = short.mapInArrow(_probe_rows(1, every, fold), _PACK)
+        more = _meetings(index.join(_first_table(index, sizes), ["dim", "axis"], "left_semi"), again, fold, top) if not short.isEmpty() else None
         if more is not None:
             best = stored(best.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     drop_stored(probe)
