@@ -4,7 +4,8 @@ A unit vector is turned by a fast pseudo-rotation, three rounds of random signs
 and falls to the nearest signed axis. Each table has two such polytopes: the first axis names the bucket a vector is
 stored in, once a table, and the second orders the vectors within it. A query probes the pairs of axes whose two
 coordinates of the turned query sum to a threshold or more: it is sent to the buckets of the first axes, each time with the set
-of pairs to look at. While there are few vectors, neighbouring first axes share a bucket, so that one has about ``BLOCK`` vectors.
+of pairs to look at. While there are few vectors, neighbouring first axes share a bucket, so that one has up to about ``BLOCK`` vectors and a table
+``LEAST_BUCKETS``.
 
 The threshold follows from the number of vectors, their dimension and the recall wanted (``threshold``): for directions that are
 uniform on the sphere, the hardest case, the chance that a true neighbour's pair is probed in one of the tables is
@@ -14,7 +15,7 @@ cosine near 0.35), so most pairs are probed then; the share scored falls as the
 The measure is the inner product, which long vectors win: vectors are indexed by *level*, the power of two of their norm,
 each level with the threshold for its own number of vectors, and queries go to all levels.
 
-Long buckets are cut into blocks of about ``BLOCK`` vectors and of as many queries, and every block of one meets
+Long buckets are cut into blocks of about ``BLOCK`` vectors and ``TURN`` queries, and every block of one meets
 every block of the other, so a hot axis (say, copies of one vector) is spread over tasks and no bucket is capped. A block
 keeps each query's ``top`` by the exact inner product; the best of all blocks follow by a ranking that
 Spark limits before and after its shuffle. Vectors and queries travel packed, a row for each bucket and batch.
@@ -34,8 +35,11 @@ from vigil.llm.runtime import drop_stored, ship, stored
 
 TABLES = 3
 RECALL = 0.91
-BLOCK = 4096
+BLOCK = 1 << 16
+TURN = 1 << 13
 QUERY_BLOCK = 512
+LEAST_BUCKETS = 16
+CELLS = 1 << 22
 GATHER = 8192
 
 
@@ -175,7 +179,7 @@ def folds(sizes: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
     out = {}
     for (dim, level), n in sizes.items():
         width = 2 << (dim - 1).bit_length()
-        out[dim, level] = min(width, 1 << max(0, int(math.log2(max(1.0, BLOCK * width / max(1, n))))))
+        out[dim, level] = min(max(1, width // LEAST_BUCKETS), 1 << int(math.log2(max(1.0, BLOCK * width / max(1, n)))))
     return out
 
 
@@ -247,7 +251,7 @@ def _meetings(index: DataFrame, probe: DataFrame, fold: dict[tuple[int, int], in
     known = index.sparkSession.createDataFrame([(d, v, g) for (d, v), g in fold.items()], "dim int, level int, fold int")
     index = index.join(F.broadcast(known), ["dim", "level"]).withColumn("axis", F.floor(F.col("axis") / F.col("fold")).cast("int"))  # a row each length and level
     size = index.groupBy(*_KEY).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
-    size = size.join(probe.groupBy(*_KEY).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("turns")), _KEY)
+    size = size.join(probe.groupBy(*_KEY).agg(F.ceil(F.sum("n") / TURN).cast("int").alias("turns")), _KEY)
     parts, turns = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("turns") - 1)
     block, pack = F.xxhash64("salt", "n"), ["n", "width", "ids", "vecs", "extra"]
     spread = index.join(size, _KEY).select(*_KEY, F.pmod(block, F.col("parts")).cast("int").alias("part"), F.explode(turns).alias("turn"), *pack)
@@ -263,7 +267,8 @@ def _meetings(index: DataFrame, probe: DataFrame, fold: dict[tuple[int, int], in
         order = np.argsort(cell, kind="stable")
         xi, x = xi[order], x[order]
         bounds = np.searchsorted(cell[order], np.arange(want.shape[1] + 1))
-        parts = [_best(qi[a : a + QUERY_BLOCK], q[a : a + QUERY_BLOCK], want[a : a + QUERY_BLOCK], xi, x, bounds, top) for a in range(0, len(q), QUERY_BLOCK)]
+        step = max(1, CELLS // len(x))  # queries whose scores are held at a time
+        parts = [_best(qi[a : a + step], q[a : a + step], want[a : a + step], xi, x, bounds, top) for a in range(0, len(q), step)]
         return pa.table([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     group = [*_KEY, "part", "turn"]
