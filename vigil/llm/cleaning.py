@@ -40,6 +40,18 @@ def _lost(text: Column, pattern: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
+MARKS = ["has_sign", "has_bar", "has_brace", "has_phrase"]
+
+
+def _whole_text_marks(text: Column) -> list[Column]:
+    """Whether a text has anything that a rule looks for; lines of other texts aren't searched for it."""
+    low = F.lower(text)
+    phrase = F.contains(low, F.lit(BOILERPLATE[0]))
+    for x in BOILERPLATE[1:]:
+        phrase = phrase | F.contains(low, F.lit(x))
+    return [text.rlike(r"[#*$%&|<>!?]").alias("has_sign"), text.rlike(r"[|»·›]").alias("has_bar"), text.rlike(r"[{}]").alias("has_brace"), phrase.alias("has_phrase")]
+
+
 def _squeezed(line: Column) -> Column:
     return F.regexp_replace(line, WHITE, "")
 
@@ -58,30 +70,30 @@ def clean_lines(docs: DataFrame, sign_share: float = 0.08, nav_bars: int = 3, mi
         F.array_remove(F.split("t", WHITE), "").alias("w"),
         F.filter(F.split("t", "\n"), lambda x: F.regexp_replace(x, WHITE, "") != "").alias("lines"),
         _lost(F.col("t"), SIGNS).alias("n_symbols"),
+        *_whole_text_marks(F.col("t")),
     )
     df = df.select("*", F.size("w").cast("long").alias("n_words"), F.array_distinct("lines").alias("distinct_lines"))
     # Three-word windows as (hash, position), sorted, so that equal windows are neighbours.
     grams = F.when(
         F.col("n_words") >= 3,
-        F.array_sort(
+        F.sort_array(
             F.transform(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(1))).alias("c")), lambda g, i: F.struct(F.xxhash64(g["a"], g["b"], g["c"]).alias("h"), i.alias("i")))
         ),
     ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    df = df.select("doc_id", "n_symbols", "n_words", "lines", "distinct_lines", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.filter(grams, lambda g: g["i"] < F.col("n_words") - 2).alias("g"))
+    df = df.select("doc_id", "n_symbols", "n_words", "lines", "distinct_lines", *MARKS, F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.filter(grams, lambda g: g["i"] < F.col("n_words") - 2).alias("g"))
     # A position is repeated if its hash equals a neighbour's.
     df = df.withColumn("d", F.arrays_zip(F.col("g").alias("x"), F.slice("g", 2, F.greatest(F.size("g"), F.lit(1))).alias("y"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.col("g")).alias("z")))
-    df = df.withColumn("p", F.array_sort(F.transform(F.filter("d", lambda e: F.coalesce(e["x"]["h"] == e["y"]["h"], F.lit(False)) | F.coalesce(e["x"]["h"] == e["z"]["h"], F.lit(False))), lambda e: e["x"]["i"])))
+    df = df.withColumn("p", F.sort_array(F.transform(F.filter("d", lambda e: F.coalesce(e["x"]["h"] == e["y"]["h"], F.lit(False)) | F.coalesce(e["x"]["h"] == e["z"]["h"], F.lit(False))), lambda e: e["x"]["i"])))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     df = df.withColumn("n_repeat_words", F.aggregate("p", start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(i - s["last"], F.lit(3))).cast("long").alias("n")), lambda s: s["n"]))
 
     def good(line: Column) -> Column:
-        bare = _squeezed(line)
         low = F.lower(F.trim(line))
+        bare = _squeezed(line)
         size = F.length(bare)
-        signs = size - F.length(F.regexp_replace(bare, r"[#*$%&|<>!?]+", ""))
-        bars = F.length(line) - F.length(F.regexp_replace(line, r"[|»·›]+", ""))
-        boiler = low.rlike("|".join(BOILERPLATE))
-        return ~((signs > size * F.lit(sign_share)) | line.rlike(r"[{}]") | (bars >= nav_bars) | low.isin(*MENU) | boiler)
+        signs = F.col("has_sign") & (size - F.length(F.regexp_replace(bare, r"[#*$%&|<>!?]+", "")) > size * F.lit(sign_share))
+        bars = F.col("has_bar") & (F.length(line) - F.length(F.regexp_replace(line, r"[|»·›]+", "")) >= nav_bars)
+        return ~(signs | (F.col("has_brace") & line.rlike(r"[{}]")) | bars | low.isin(*MENU) | (F.col("has_phrase") & low.rlike("|".join(BOILERPLATE))))
 
     df = df.withColumn("good", F.filter("distinct_lines", good))
     df = df.select(
