@@ -36,10 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where the session names none (tests) is one made here."""
+    """The folder all executors share; only where the session names none and runs on one machine (tests) is one made here."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="vigil_shared")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
