@@ -28,7 +28,7 @@ import numpy as np
 
 from vigil.llm import textcore as tc
 
-CACHE_SLICES = 1 << 20
+CACHE_SLICES = 1 << 17
 LONG_SLICE = 48
 BLANK, WHITE, LETTER, NUMBER, OTHER = range(5)
 # Code points with the Unicode property White_Space other than U+0020.
@@ -401,7 +401,7 @@ def encode_documents(docs, rank_file: str | None = None, id_column: str = "doc_i
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    out = docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, ids array<int>, offsets array<int>")
+    out = docs.select(id_column, text_column).mapInArrow(tc.tidied(run), f"id {kind}, ids array<int>, offsets array<int>")
     return out.withColumnRenamed("id", id_column)
 
 
@@ -439,4 +439,4 @@ def round_trip(docs, rank_file: str | None = None):
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tc.tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

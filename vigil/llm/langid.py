@@ -178,7 +178,7 @@ def training_windows(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) -
                 pick = pick[own[pick] >= 8]
                 yield pa.RecordBatch.from_arrays([pa.array([langs[i + d] for d in doc[pick]], pa.string()), pa.array([m[p].tobytes() for p in pick], pa.binary()), ids.take(pa.array(i + doc[pick]))], ["lang", "window", "doc_id"])
 
-    rows = chosen.select("text", "lang", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(cut, "lang string, window binary, doc_id long").collect()  # bounded by per_language * WINDOWS * languages
+    rows = chosen.select("text", "lang", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(tc.tidied(cut), "lang string, window binary, doc_id long").collect()  # bounded by per_language * WINDOWS * languages
     rows.sort()
     x = np.frombuffer(b"".join(bytes(r["window"]) for r in rows), np.uint8).reshape(-1, LENGTH + 3)
     return languages, x, np.array([languages.index(r["lang"]) for r in rows], np.int64), np.array([r["doc_id"] for r in rows], np.int64)
@@ -244,7 +244,7 @@ def predict(docs: DataFrame, net: Network, carry: tuple[str, ...] = ()) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(names, pa.string()), pa.array(score), pa.array(noise), *more], ["doc_id", "lang_pred", "score", "noise", *carried])
 
     kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in carried)
-    result = source.mapInArrow(run, "doc_id long, lang_pred string, score double, noise double" + kinds)
+    result = source.mapInArrow(tc.tidied(run), "doc_id long, lang_pred string, score double, noise double" + kinds)
     return result.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
 
 

@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, n: int, k: int, carry: str | None = None) -> DataF
                 )
 
     carried = (F.col(carry) if carry else F.lit(None)).cast("long")
-    return docs.select("doc_id", "text", carried.alias("carried")).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, sketch array<long>, carried long")
+    return docs.select("doc_id", "text", carried.alias("carried")).mapInArrow(tc.tidied(run), "doc_id long, n_shingles long, one long, two long, sketch array<long>, carried long")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
                 a = (at * 8).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(off) - 1), pa.array([raw[p:q] for p, q in zip(a, a[1:])], pa.binary())], ["cid", "set"])
 
-    return texts.mapInArrow(run, "cid long, set binary")
+    return texts.mapInArrow(tc.tidied(run), "cid long, set binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, floor: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, floor: in
     # Only the sets that the pairs name are dealt out; few pairs are sent to the sets instead (by their known size).
     left = sets.join(pairs.select(F.col("a").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("a"), F.col("set").alias("sa"))
     right = sets.join(pairs.select(F.col("b").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tc.tidied(run), "a long, b long")
 
 
 def _hub_pairs(here: DataFrame, percent: int, turn: int = 0) -> DataFrame:
@@ -191,7 +191,7 @@ def _open_entries(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 one = [pa.array(np.full(len(v), batch.column(c)[r].as_py()), pa.int64()) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*one, pa.array(v, pa.int64())], ["cid", "comp", "n", "v"])
 
-    flat = stored(rows.mapInArrow(spread, "cid long, comp long, n long, v long"), "open")
+    flat = stored(rows.mapInArrow(tc.tidied(spread), "cid long, comp long, n long, v long"), "open")
     df = flat.groupBy("v").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("cross")).where("df > 1")
     part = [F.sum((F.pmod(F.col("v"), F.lit(PARTS)) == p).cast("int")) for p in range(PARTS)]
     ranked = (

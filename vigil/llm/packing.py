@@ -24,7 +24,7 @@ from vigil.llm.runtime import ship
 CAPACITY = 1024
 CLASSES = 16
 END = 0
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES) -> tuple[np.ndarray, ...]:
@@ -156,5 +156,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLA
             yield from out()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tc.tidied(run), schema)
 

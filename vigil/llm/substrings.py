@@ -37,7 +37,7 @@ CELLS_PER_ANCHOR = 8
 #: Anchors a byte of text at most: two in each run of 27 words (windows of 50), words of 6 bytes with their blank.
 ANCHORS_PER_BYTE = 0.0125
 MAP_BYTES = 32 << 20
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 # Odd multipliers, one a row of the sketch.
 _ODD = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
@@ -129,7 +129,7 @@ def merged_sketch(docs: DataFrame, window: int, bits: int, rows: int) -> DataFra
             total[cell] = np.minimum(total[cell] + add, 2)
         return pa.table({"row": table.column("row")[:1], "segment": table.column("segment")[:1], "bits": pa.array([np.packbits(total >= 2).tobytes()], pa.binary())})
 
-    parts = docs.where("doc_id is not null").select("text").mapInArrow(count, "row int, segment long, steps binary, more binary, n int")
+    parts = docs.where("doc_id is not null").select("text").mapInArrow(tc.tidied(count), "row int, segment long, steps binary, more binary, n int")
     return parts.groupBy("row", "segment").applyInArrow(merge, "row int, segment long, bits binary")
 
 
@@ -172,8 +172,8 @@ def _open_anchors(docs: DataFrame, sketch: DataFrame, window: int, bits: int) ->
             for s, b in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(s * span + np.flatnonzero(np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8))[:span]))], ["cell"])
 
-    mine = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(entered, "cell long, doc_id long, key long")
-    open_cells = sketch.where("row = 0").select("segment", "bits").mapInArrow(full, "cell long")
+    mine = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(tc.tidied(entered), "cell long, doc_id long, key long")
+    open_cells = sketch.where("row = 0").select("segment", "bits").mapInArrow(tc.tidied(full), "cell long")
     return mine.join(open_cells, "cell").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
@@ -211,7 +211,7 @@ def _candidates(docs: DataFrame, window: int, maps, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), pa.array(c[new].view(np.int32)), batch.column(0).take(pa.array(i + doc[new]))], ["w", "c", "doc_id"])
 
     some = docs.where("doc_id is not null").select("doc_id", "text", *(["keys"] if maps is None else []))
-    return some.mapInArrow(run, "w long, c int, doc_id long")
+    return some.mapInArrow(tc.tidied(run), "w long, c int, doc_id long")
 
 
 def repeated_windows(docs: DataFrame, window: int = 50, bits: int | None = None, rows: int = ROWS, map_bytes: int = MAP_BYTES) -> DataFrame:
@@ -279,7 +279,7 @@ def remove_repeated(docs: DataFrame, window: int = 50, bits: int | None = None,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(words, pa.int64()), pa.array(words - np.diff(kept_first), pa.int64()), out, *more], ["doc_id", "n_words", "n_removed", "kept", *carried])
 
     kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in carried)
-    result = source.join(hits, "doc_id", "left").select("doc_id", "text", "ws", *carried).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string" + kinds)
+    result = source.join(hits, "doc_id", "left").select("doc_id", "text", "ws", *carried).mapInArrow(tc.tidied(run), "doc_id long, n_words long, n_removed long, kept string" + kinds)
     return result.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
 
 

@@ -269,7 +269,7 @@ def character_model(docs: DataFrame) -> CharacterModel:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], ["k", "n"])
 
     counts = np.zeros(SYMBOLS**3, np.int64)
-    for r in docs.select("text").where("text is not null").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").where("text is not null").mapInArrow(tc.tidied(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["k"]] = r["n"]
     return CharacterModel(counts)
 
@@ -357,7 +357,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(restore.words(t))) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["words", "toxic"])
 
-    got = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "words string, toxic int").collect()
+    got = rows.select("text", F.col("toxic").cast("int")).mapInArrow(tc.tidied(run), "words string, toxic int").collect()
     samples = sorted((r["words"], r["toxic"]) for r in got)
     odds = n.get(1, 0) / n[0] if n.get(0) and n.get(1) else 1.0
     return model, fit(samples, odds)
@@ -385,7 +385,7 @@ def score(docs: DataFrame, model: CharacterModel, classifier: Classifier, carry:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array([classifier.score(restore.words(t or "")) for t in part], pa.float64()), *more], ["doc_id", "score", *carried])
 
     kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in carried)
-    return source.mapInArrow(run, "doc_id long, score double" + kinds).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
+    return source.mapInArrow(tc.tidied(run), "doc_id long, score double" + kinds).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0) -> DataFrame:
