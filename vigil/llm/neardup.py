@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import textcore as tc
 from vigil.llm.graph import components
-from vigil.llm.runtime import drop_stored, ship, stored
+from vigil.llm.runtime import drop_stored, release, ship, stored
 
 MISS = 1e-9
 HUB_ROUNDS = 4
@@ -253,6 +253,7 @@ class _Links:
         old, self.comp = self.comp, stored(components(links), "comp")
         if old is not None:
             drop_stored(old)
+        release(found.sparkSession)
         return True
 
     def clear(self) -> None:
@@ -269,6 +270,8 @@ def first_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, percent
     mark = F.coalesce(F.xxhash64("text"), F.lit(0))
     out = near_duplicates(docs.select("doc_id", "text").withColumn("mark", mark), shingle, percent, carry="mark").where("not kept")
     rejected = stored(out.select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct(), "rejected")
+    drop_stored(out)
+    release(docs.sparkSession)
     return docs.select(*columns).join(rejected, (F.col("doc_id") == F.col("gone")) & (mark == F.col("gone_mark")), "left_anti").select(*columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -62,3 +63,9 @@ def drop_stored(df: DataFrame) -> None:
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles() if "/vigil-" in p}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing holds any more; by itself it waits until the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

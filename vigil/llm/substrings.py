@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import textcore as tc
-from vigil.llm.runtime import ship, stored
+from vigil.llm.runtime import release, ship, stored
 
 ROWS = 2
 SPAN_BITS = 20
@@ -218,6 +218,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, bits: int | None = None,
     """doc_id and ``ws``, the hashes of its windows that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
     ship(spark)
+    release(spark)
     docs = docs.select("doc_id", "text")
     bits = sketch_bits(docs, window) if bits is None else bits
     sent = rows * (1 << bits) // 8 <= map_bytes
