@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.llm import ann, bpe, cleaning, langid, language_model, licences, neardup, packing, secrets, substrings, toxicity
+from vigil.llm import alignment, ann, bpe, cleaning, langid, language_model, licences, neardup, packing, secrets, substrings, toxicity
 
 LONG = " ".join(f"word{i % 977} and" for i in range(30000)) + "."
 WORDS = "id long, text string, lang string, n long"
@@ -36,6 +36,7 @@ RUNS = {
     "op8": lambda s, d: neardup.near_duplicates(d),
     "op9": lambda s, d: substrings.remove_repeated(d, bits=16),
     "op10": lambda s, d: langid.identify(d),
+    "op11": lambda s, d: alignment.digest(d, chunk_links=20000),
     "op12": lambda s, d: secrets.digest(secrets.scan(d)),
 }
 
@@ -68,6 +69,9 @@ def test_odd_rows(spark, name):
         assert first[1].n_words == 0 and first[6].n_removed == first[6].n_words and first[5].n_removed == 0 and first[6].kept == ""
     elif name == "op10":
         assert first[1].lang_pred == first[2].lang_pred == "und" and first[4].lang_pred in ("en", "fr")
+    elif name == "op11":
+        assert (first[1].n_a, first[1].n_links, first[1].count_sum, first[1].groups_sha256) == (0, 0, 0, "") == (first[2].n_b, first[2].n_groups, first[2].n_best, first[2].groups_sha256)
+        assert first[3].n_a and first[5].groups_sha256 == first[6].groups_sha256 and first[9].n_b and first[None].n_links
     elif name == "op12":
         assert all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.n_assign + r.n_access + r.n_hex == 0 for r in out)
 
