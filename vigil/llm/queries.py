@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import alignment, ann, bpe, cleaning, langid, language_model, licences, neardup, packing, secrets, substrings, toxicity
+from vigil.llm import alignment, ann, bpe, cleaning, conversations, langid, language_model, licences, neardup, packing, secrets, substrings, toxicity
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,10 +139,15 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    return conversations.repair(conversations.damage(_read(spark, sf_dir, "conversations")))
+
+
 def queries():
     every = (
         op1_cross_polytope, op2_deleted_interpolation, op3_harmonic_packing, op4_line_cleaning, op5_toxicity, op6_licences, op7_byte_bpe, op8_minhash_bottom_k,
-        op9_substrings, op10_language, op11_alignment, op12_secrets,
+        op9_substrings, op10_language, op11_alignment, op12_secrets, op13_conversations,
     )
     return {f.__name__: f for f in every}
 
