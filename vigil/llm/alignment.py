@@ -31,6 +31,8 @@ from vigil.llm.bpe import default_rank_file, encoder
 from vigil.llm.runtime import drop_stored, ship, stored
 
 CHUNK_LINKS = 1 << 22
+#: Bytes of text aligned at once: owner arrays and tokens take some fifty times as much.
+BLOCK_BYTES = 1 << 19
 COMMA, BAR, SEMICOLON = range(3)
 
 
@@ -78,7 +80,11 @@ def _numbers() -> np.ndarray:
     """Decimal digits of each id and a separator, in 8 bytes padded with zeros: row 3 * id + separator."""
     kept = sys.__dict__.setdefault("_vigil_numbers", [])
     if not kept:
-        kept.append(np.frombuffer(b"".join(f"{i}{s}".encode().ljust(8, b"\0") for i in range(1 << 17) for s in ",|;"), np.uint64))
+        out = bytearray(8 * 3 << 17)
+        for row in range(3 << 17):
+            text = b"%d%c" % (row // 3, b",|;"[row % 3])
+            out[8 * row : 8 * row + len(text)] = text
+        kept.append(np.frombuffer(out, np.uint64))
     return kept[0]
 
 
@@ -153,7 +159,7 @@ def align_documents(docs: DataFrame, rank_file: str | None = None, piece_file: s
     def run(batches):
         enc, sp = encoder(rank_file), pieces(piece_file)
         for batch in batches:
-            for i, buf, off in tc.blocks(batch.column(1)):
+            for i, buf, off in tc.blocks(batch.column(1), BLOCK_BYTES):
                 n = len(off) - 1
                 x = align_block(enc, sp, batch.column(1).slice(i, n), buf, off)
                 links, groups = np.diff(x.link_at), np.diff(x.group_at)
@@ -196,7 +202,7 @@ def _chunks(docs: DataFrame, rank_file: str, piece_file: str, chunk_links: int)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *one, pa.array([pairs], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))], _NAMES)
 
         for batch in batches:
-            for i, buf, off in tc.blocks(batch.column(1)):
+            for i, buf, off in tc.blocks(batch.column(1), BLOCK_BYTES):
                 rows = len(off) - 1
                 x = align_block(enc, sp, batch.column(1).slice(i, rows), buf, off)
                 text, at = x.groups_text()
