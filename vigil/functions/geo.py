@@ -40,9 +40,9 @@ def distance(method: str, lat1: Column, lon1: Column, lat2: Column, lon2: Column
 
 
 def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Distance on the ellipsoid in metres: Vincenty's inverse formula as a bounded iteration of ten steps.
+    """Distance on the ellipsoid in metres: Vincenty's inverse formula, iterated until the longitude stands still (at most 200 steps).
 
-    Points closer than rounding allows give 0; nearly antipodal points don't converge and give their tenth step.
+    Points closer than rounding allows give 0. For nearly antipodal points the iteration doesn't settle; they give null.
     """
     b = A * (1 - FLAT)
     u1, u2 = F.atan((1 - FLAT) * F.tan(F.radians(lat1))), F.atan((1 - FLAT) * F.tan(F.radians(lat2)))
@@ -71,7 +71,13 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
         delta = small * ss * (c2m + small / 4 * (cs * (2 * c2m * c2m - 1) - small / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
         return b * big * (sig - delta)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(10)), length, step, finish)
+    def settle(state, _):
+        after = step(state["lam"], None)
+        still = F.abs(after - state["lam"]) < 1e-13
+        return F.when(state["done"], state).otherwise(F.struct(after.alias("lam"), still.alias("done")))
+
+    start = F.struct(length.alias("lam"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, settle, lambda state: F.when(state["done"] & (F.abs(state["lam"]) <= F.pi()), finish(state["lam"])))
 
 
 # Krueger's series in the third flattening, to the fourth order (Karney, 2011).
@@ -119,6 +125,77 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     return F.try_divide(cx, 3 * twice), F.try_divide(cy, 3 * twice)
 
 
+def ring_sign(ring: Column, number: Column) -> Column:
+    """1 or -1, so that the outer ring (number 0) of a polygon counts up and holes down whatever way they are drawn."""
+    turn = _cross_sum(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.signum(turn) * F.when(number == 0, 1.0).otherwise(-1.0)
+
+
+def parts_area(parts: Column) -> Column:
+    """Area of polygons of rings, the first the outer one, the others holes."""
+    one = lambda rings: F.aggregate(F.transform(rings, lambda r, k: ring_area(r) * F.when(k == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.transform(parts, one), F.lit(0.0), lambda s, v: s + v)
+
+
+def parts_centroid(parts: Column) -> tuple[Column, Column]:
+    """Centre of gravity of polygons with holes; null where they have no area."""
+    rings = F.flatten(F.transform(parts, lambda part: F.transform(part, lambda r, k: F.struct(r.alias("r"), ring_sign(r, k).alias("s")))))
+
+    def moment(term):
+        return F.aggregate(rings, F.lit(0.0), lambda acc, x: acc + x["s"] * _cross_sum(x["r"], term))
+
+    twice = moment(lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    cx = moment(lambda p, q: (p["x"] + q["x"]) * (p["x"] * q["y"] - q["x"] * p["y"]))
+    cy = moment(lambda p, q: (p["y"] + q["y"]) * (p["x"] * q["y"] - q["x"] * p["y"]))
+    return F.try_divide(cx, F.nullif(3 * twice, F.lit(0.0))), F.try_divide(cy, F.nullif(3 * twice, F.lit(0.0)))
+
+
+def signed_edges(parts: Column) -> Column:
+    """Edges of polygons from left to right (x0, y0, x1, y1) with the sign of the strip under each (s); upright ones have no strip."""
+
+    def edge(e, sign):
+        p, q = e["p"], e["q"]
+        right = q["x"] > p["x"]
+        pick = lambda a, b: F.when(right, a).otherwise(b)
+        return F.struct(pick(p["x"], q["x"]).alias("x0"), pick(p["y"], q["y"]).alias("y0"), pick(q["x"], p["x"]).alias("x1"), pick(q["y"], p["y"]).alias("y1"), (sign * pick(F.lit(-1.0), F.lit(1.0))).alias("s"))
+
+    def ring(r, k):
+        sign = ring_sign(r, k)
+        return F.transform(F.filter(_edges(r), lambda e: e["p"]["x"] != e["q"]["x"]), lambda e: edge(e, sign))
+
+    return F.flatten(F.transform(parts, lambda part: F.flatten(F.transform(part, ring))))
+
+
+def common_area(one: Column, two: Column) -> Column:
+    """Area that two polygons, given by ``signed_edges``, share: the sum over pairs of edges of the signed area under both.
+
+    Strips reach down to the lower of the two lowest points, so heights stay small against the shapes.
+    """
+    low = F.least(*[F.array_min(F.transform(e, lambda v: F.least(v["y0"], v["y1"]))) for e in (one, two)])
+
+    def under(e, f):
+        left, right = F.greatest(e["x0"], f["x0"]), F.least(e["x1"], f["x1"])
+        at = lambda v, x: v["y0"] + (v["y1"] - v["y0"]) * ((x - v["x0"]) / (v["x1"] - v["x0"])) - low
+        a0, a1, b0, b1 = at(e, left), at(e, right), at(f, left), at(f, right)
+        d0, d1 = a0 - b0, a1 - b1
+        t = d0 / (d0 - d1)
+        cross = a0 + t * (a1 - a0)
+        lower = F.when(d0 * d1 < 0, t * (F.least(a0, b0) + cross) + (1 - t) * (cross + F.least(a1, b1))).otherwise(F.least(a0, b0) + F.least(a1, b1))
+        return F.when(left < right, e["s"] * f["s"] * (right - left) * lower / 2).otherwise(0.0)
+
+    return F.greatest(F.lit(0.0), F.aggregate(one, F.lit(0.0), lambda acc, e: acc + F.aggregate(two, F.lit(0.0), lambda s, f: s + under(e, f))))
+
+
+def projected(parts: Column) -> Column:
+    """Polygons of (longitude, latitude) in metres of the zone."""
+
+    def point(p):
+        x, y = degrees_to_utm(p["y"], p["x"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
+
+
 def _edges(ring: Column) -> Column:
     return F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("p"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("q"))
 

@@ -76,7 +76,9 @@ def null_if(x: Column, *sentinels: float) -> Column:
 
 
 def finite_or_zero(num: Column, den: Column) -> Column:
-    return F.coalesce(F.try_divide(num, den), F.lit(0.0))
+    """num / den; 0 where that is null, not a number or infinite."""
+    ratio = F.try_divide(num, den)
+    return F.when(ratio.isNull() | F.isnan(ratio) | (F.abs(ratio) == float("inf")), F.lit(0.0)).otherwise(ratio)
 
 
 def prefixed_id(x: Column, prefix: str = "90") -> Column:
@@ -125,5 +127,6 @@ def replace_names(text: Column, names: dict[str, str]) -> Column:
 
 
 def whole_id_text(x: Column) -> Column:
-    """An id by way of a whole number: ``12.0`` and ``12`` give ``12``."""
-    return x.try_cast("double").cast("bigint").cast("string")
+    """An id by way of a whole number, exact to 32 digits: ``12.0``, ``12`` and ``1.2E1`` give ``12``; parts of one are cut off, other texts give null."""
+    whole = F.regexp_replace(x.try_cast("decimal(38, 6)").cast("string"), r"\..*$", "")
+    return F.when(whole == "-0", "0").otherwise(whole)

@@ -66,9 +66,20 @@ def repair_dates(df: DataFrame) -> DataFrame:
     return df.withColumn("eggs_per_day", F.try_divide(F.col("novos").cast("double"), F.col("days_expo")))
 
 
-def patch(df: DataFrame, patches: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Replaces ``column`` by ``patches.new_value`` where keys match. ``unmatched_patches`` finds the others."""
-    return df.join(patches.select(*keys, "new_value"), keys, "left").withColumn(column, F.coalesce("new_value", column)).drop("new_value")
+def patch(df: DataFrame, patches: DataFrame, keys: list[str], column: str, order: str | None = None) -> DataFrame:
+    """Replaces ``column`` by ``patches.new_value`` where keys match. ``unmatched_patches`` finds the others.
+
+    No row is doubled: of several patches of a key the last by ``order`` counts (by the value on ties); without an order the run fails if
+    they differ. Null values patch nothing.
+    """
+    some = patches.where("new_value is not null").groupBy(*keys)
+    if order is None:
+        unclear = F.raise_error(F.concat(F.lit("patches differ for one key: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+        one = some.agg(F.min("new_value").alias("_low"), F.max("new_value").alias("_new"))
+        one = one.select(*keys, F.when(F.col("_low") == F.col("_new"), F.col("_new")).otherwise(unclear.cast(one.schema["_new"].dataType)).alias("_new"))
+    else:
+        one = some.agg(F.max(F.struct(F.col(order), F.col("new_value"))).alias("_last")).select(*keys, F.col("_last.new_value").alias("_new"))
+    return df.join(one, keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
 def unmatched_patches(df: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:

@@ -102,40 +102,102 @@ def nearest(points: DataFrame, sites: DataFrame, method: str = "haversine", site
 def idw(centres: DataFrame, samples: DataFrame, k: int = 6, power: float = 2.0) -> DataFrame:
     """Inverse-distance weighted value of each centre (id, lat, lon) in each period of samples (period, trap, lat, lon, value).
 
-    Values of one trap in a period are summed first. The ``k`` nearest count, by (distance, trap); a distance of 0 gives that
-    trap's value. Columns: id, period, idw_value, n_used, min_distance_km, traps (comma list). Centres and samples of a period meet
-    by grid cells.
+    Values of one trap at one place in a period are summed first. The ``k`` nearest count, by (distance, trap); a distance of 0
+    gives that trap's value. Columns: id, period, idw_value, n_used, min_distance_km, traps (comma list). Places are searched, not ids: a
+    centre whose id stands at two places has rows for both.
+
+    The sites are ranked once for each place, not for each period: the nearest of them, as many as should hold ``k`` samples of a
+    period, meet the samples by trap and place; periods that found too few go on with four times as many sites.
     """
     s = samples.dropna(subset=["lat", "lon", "period", "trap"]).groupBy("period", "trap", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).agg(F.sum("value").alias("v"))
-    s = cut(s.withColumnRenamed("trap", "tie").select("*", F.col("s_lat").alias("s0"), F.col("s_lon").alias("s1")), "samples")
-    c = centres.where("lat is not null and lon is not null").select("id", "lat", "lon", F.col("lat").alias("c0"), F.col("lon").alias("c1"))
-    asked = c.crossJoin(F.broadcast(s.select("period").distinct()))  # a row of the result each; periods are a few dozen a year
-    places = s.select("s0", "s1").distinct()
-    near = _nearest_k(asked, s, ["id", "period"], ["period"], 2, k, _side(places, 2, 1e-6) * math.sqrt(k), 360.0, _Flat())
-    weight = F.try_divide(F.lit(1.0), F.pow("d", F.lit(power)))
-    out = near.groupBy("id", "period").agg(
-        F.try_divide(F.sum(F.col("v") * weight), F.sum(weight)).alias("w"), F.min("d").alias("d0"), F.min(F.when(F.col("d") == 0, F.struct("tie", "v"))).alias("on"),
-        F.count("*").alias("n_used"), F.array_sort(F.collect_list(F.struct("r", "tie"))).alias("t"),
-    )
+    s = cut(s.withColumnRenamed("trap", "tie"), "samples")
+    sites = cut(s.select("tie", "s_lat", "s_lon", F.col("s_lat").alias("s0"), F.col("s_lon").alias("s1")).distinct(), "sites")
+    periods = cut(s.groupBy("period").agg(F.least(F.count("*"), F.lit(k)).alias("need")), "periods")  # a few dozen rows a year
+    size = s.agg(F.count("*").alias("n"), F.count_distinct("period").alias("p")).first()
+    known = sites.count()
+    places = cut(centres.where("lat is not null and lon is not null").select("lat", "lon", F.col("lat").alias("c0"), F.col("lon").alias("c1")).distinct(), "places")
+    todo = cut(places.select("lat", "lon").crossJoin(F.broadcast(periods)), "asked")  # a row of the result each
+    many = min(known, 2 * k + -(-2 * k * known * size["p"] // max(size["n"], 1)))
+    found = []
+    side = _side(sites, 2, 1e-6)
+    while many:
+        near = _nearest_k(places.join(todo.select("lat", "lon").distinct(), ["lat", "lon"], "left_semi"), sites, ["lat", "lon"], [], 2, many, side * math.sqrt(many), 360.0, _Flat())
+        near = cut(near.select("lat", "lon", "tie", "s_lat", "s_lon", "d"), "ranked")
+        met = near.join(s, ["tie", "s_lat", "s_lon"]).join(todo, ["lat", "lon", "period"])
+        w = Window.partitionBy("lat", "lon", "period").orderBy("d", "tie", "s_lat", "s_lon")
+        met = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+        weight = F.try_divide(F.lit(1.0), F.pow("d", F.lit(power)))
+        answer = met.groupBy("lat", "lon", "period").agg(
+            F.try_divide(F.sum(F.col("v") * weight), F.sum(weight)).alias("w"), F.min("d").alias("d0"), F.min(F.when(F.col("d") == 0, F.struct("tie", "v"))).alias("on"),
+            F.count("*").alias("n_used"), F.array_sort(F.collect_list(F.struct("r", "tie"))).alias("t"), F.first("need").alias("need"),
+        )
+        found.append(cut(answer.where("n_used = need"), "found"))
+        drop_cut(near)
+        if many >= known:
+            break
+        before, todo = todo, cut(todo.join(found[-1].select("lat", "lon", "period"), ["lat", "lon", "period"], "left_anti"), "asked")
+        drop_cut(before)
+        if todo.isEmpty():
+            break
+        many = min(known, 4 * many)
+    if not found:
+        found = [cut(todo.select("lat", "lon", "period", F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("d0"), F.lit(None).cast("struct<tie:long,v:double>").alias("on"), F.lit(0).cast("long").alias("n_used"), F.lit(None).cast("array<struct<r:int,tie:long>>").alias("t"), "need"), "found")]
+    for done in (todo, places, periods, sites, s):
+        drop_cut(done)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = centres.select("id", "lat", "lon").join(out, ["lat", "lon"])
     return out.select("id", "period", F.coalesce("on.v", "w").alias("idw_value"), "n_used", (F.col("d0") * 111.32).alias("min_distance_km"), F.array_join(F.transform("t", lambda x: x["tie"].cast("string")), ",").alias("traps"))
 
 
+#: Extents below this are taken for it: an area that has none is met in cells of this side.
+LEAST_SIDE = 2.0**-40
+
+
+def _boxes(df: DataFrame, out: str, area: str = "area") -> DataFrame:
+    """Areas (``out``) with ``parts``, a row number ``u`` and their boxes, and the power of two that no side of the box exceeds, stored."""
+    d = df.select(F.col(area).alias(out), _parts(df).alias("parts"), F.monotonically_increasing_id().alias("u")).where("parts is not null")
+    flat = F.flatten(F.flatten("parts"))
+    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
+    d = d.select("*", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")).where("x0 is not null and y0 is not null")
+    widest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(LEAST_SIDE))
+    return cut(d.withColumn("level", F.ceil(F.log2(widest)).cast("int")), "areas")
+
+
+def _levels(*boxes: DataFrame) -> list[int]:
+    """The sizes of cells in use: exponents of two, so a few dozen whatever the number of areas."""
+    return sorted({r["level"] for b in boxes for r in b.select("level").distinct().collect()})
+
+
+def _cells(boxes: DataFrame, levels: list[int]) -> DataFrame:
+    """The cells that a box meets at each level from its own on: a side is at most that of a cell, so at most four a level."""
+    side = F.pow(F.lit(2.0), F.col("at"))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / side), F.floor(F.col(b) / side)))
+    rows = boxes.withColumn("at", F.explode(F.array(*[F.lit(v) for v in levels]))).where("at >= level")
+    return rows.withColumn("i", span("x0", "x1")).withColumn("j", span("y0", "y1"))
+
+
 def with_areas(points: DataFrame, areas: DataFrame, area: str = "area") -> DataFrame:
     """``points`` (id, x, y) with the smallest area whose ring holds the point; boundaries are outside, others get null.
 
-    ``areas``: area and ring (array of struct x, y, closed), or ``parts`` (polygons of rings; what lies in a hole is outside). Bounding boxes are cut into cells of a common size, so points and areas meet
-    by an equi-join and only then by the exact test.
+    ``areas``: area and ring (array of struct x, y, closed), or ``parts`` (polygons of rings; what lies in a hole is outside). Places are searched, not
+    ids: rows that repeat an id are answered by their own place. An area stands in the four cells at most of its own size that its
+    box meets; points look it up in a cell of each size in use. Only keys and boxes take part in that; shapes are joined to the
+    pairs whose box holds the point.
     """
-    shape = areas.select(F.col(area).alias("area"), F.flatten(_parts(areas)).alias("rings")).withColumn("all", F.flatten("rings"))
-    x, y = F.transform("all", lambda p: p["x"]), F.transform("all", lambda p: p["y"])
-    box = shape.select("area", "rings", F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"))
-    side = box.agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0"))).alias("s")).first()["s"]
-    if not side:
-        return points.withColumn("area", F.lit(None).cast(dict(areas.dtypes)[area]))
-    cells = box.withColumn("i", F.explode(F.sequence(F.floor(F.col("x0") / side), F.floor(F.col("x1") / side)))).withColumn("j", F.explode(F.sequence(F.floor(F.col("y0") / side), F.floor(F.col("y1") / side))))
-    p = points.select("id", "x", "y", F.floor(F.col("x") / side).alias("i"), F.floor(F.col("y") / side).alias("j"))
-    near = p.join(cells, ["i", "j"]).where("x > x0 and x < x1 and y > y0 and y < y1").where(geo.point_in_rings(F.col("x"), F.col("y"), F.col("rings")))
-    return points.join(near.groupBy("id").agg(F.min("area").alias("area")), "id", "left")
+    kind = dict(areas.dtypes)[area]
+    b = _boxes(areas, "area", area)
+    levels = _levels(b)
+    if not levels:
+        return points.withColumn("area", F.lit(None).cast(kind))
+    own = _cells(b.select("u", "x0", "x1", "y0", "y1", "level"), levels).where("at = level").drop("level")
+    places = points.where("x is not null and y is not null").select("x", "y").distinct().withColumn("at", F.explode(F.array(*[F.lit(v) for v in levels])))
+    side = F.pow(F.lit(2.0), F.col("at"))
+    places = places.withColumn("i", F.floor(F.col("x") / side)).withColumn("j", F.floor(F.col("y") / side))
+    near = places.join(own, ["at", "i", "j"]).where("x > x0 and x < x1 and y > y0 and y < y1").select("x", "y", "u")
+    near = near.join(b.select("u", "area", F.flatten("parts").alias("rings")), "u").where(geo.point_in_rings(F.col("x"), F.col("y"), F.col("rings")))
+    return points.join(near.groupBy("x", "y").agg(F.min("area").alias("area")), ["x", "y"], "left").select(*points.columns, "area")
 
 
 def _parts(df: DataFrame) -> Column:
@@ -146,79 +208,26 @@ def _parts(df: DataFrame) -> Column:
 def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, area, of_a, of_b) of each pair of areas that intersects: the common area and its share of each.
 
-    Areas have a ``ring``, or ``parts`` (array of polygons, each an array of rings, the outer one first, then holes), of any shape. A polygon is
-    the sum of the triangles of its rings' fans, each with its sign, so the common area is the signed sum over pairs of triangles.
-    Pairs of areas meet by grid cells of their boxes; only those whose boxes cross are clipped, in batches.
+    Areas have a ``ring``, or ``parts`` (array of polygons, each an array of rings, the outer one first, then holes), of any shape; rows of
+    one area count together. A polygon is the sum of the strips under its edges, each with its sign, so the common area is the
+    signed sum, over pairs of edges, of what lies under both: a closed form without clipping (``geo.common_area``). Pairs meet in cells
+    of the size of the larger box (see ``with_areas``); shapes are joined to pairs whose boxes cross.
     """
-
-    def boxes(df, out):
-        d = df.select(F.col("area").alias(out), _parts(df).alias(f"r{out}"))
-        flat = F.flatten(F.flatten(f"r{out}"))
-        xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
-        return d.select("*", F.array_min(xs).alias(f"x0{out}"), F.array_max(xs).alias(f"x1{out}"), F.array_min(ys).alias(f"y0{out}"), F.array_max(ys).alias(f"y1{out}"))
-
-    a, b = boxes(left, "a"), boxes(right, "b")
-    side = a.agg(F.greatest(F.avg(F.col("x1a") - F.col("x0a")), F.avg(F.col("y1a") - F.col("y0a"))).alias("s")).first()["s"] or 1.0
-
-    def cells(df, k):
-        return df.withColumn("i", F.explode(F.sequence(F.floor(F.col(f"x0{k}") / side), F.floor(F.col(f"x1{k}") / side)))).withColumn("j", F.explode(F.sequence(F.floor(F.col(f"y0{k}") / side), F.floor(F.col(f"y1{k}") / side))))
-
-    pairs = cells(a, "a").join(cells(b, "b"), ["i", "j"]).where("x0a < x1b and x0b < x1a and y0a < y1b and y0b < y1a").dropDuplicates(["a", "b"]).select("a", "b", "ra", "rb")
-
-    def rings(parts):
-        return [[[(p["x"], p["y"]) for p in ring] for ring in part] for part in parts]
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one, two = signed_triangles(rings(x)), signed_triangles(rings(y))
-                both = common_area(one, two)
-                rows.append((both, both / total_area(one), both / total_area(two)) if both > 0 else (0.0, 0.0, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]], ["a", "b", "area", "of_a", "of_b"])
-
-    kinds = f"a {a.schema['a'].dataType.simpleString()}, b {b.schema['b'].dataType.simpleString()}, area double, of_a double, of_b double"
-    return pairs.mapInArrow(run, kinds).where("area > 0")
-
-
-def _turn(ring: list) -> float:
-    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, [*ring[1:], *ring[:1]]))
-
-
-def signed_triangles(parts: list) -> list:
-    """(sign, triangle turned left) of the fans of all rings; outer rings count up, holes down, whatever way they are given."""
-    out = []
-    for part in parts:
-        for number, ring in enumerate(part):
-            ring = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
-            if (_turn(ring) < 0) != (number > 0):
-                ring = ring[::-1]
-            for p, q in zip(ring[1:], ring[2:]):
-                t = [ring[0], p, q]
-                turn = _turn(t)
-                if turn:
-                    out.append((1, t) if turn > 0 else (-1, t[::-1]))
-    return out
-
-
-def total_area(triangles: list) -> float:
-    return sum(s * polygon_area(t) for s, t in triangles)
-
-
-def common_area(one: list, two: list) -> float:
-    def box(t):
-        xs, ys = zip(*t)
-        return min(xs), max(xs), min(ys), max(ys)
-
-    boxes, total = [box(t) for _, t in two], 0.0
-    for s, t in one:
-        x0, x1, y0, y1 = box(t)
-        for (z, u), (a0, a1, b0, b1) in zip(two, boxes):
-            if x0 < a1 and a0 < x1 and y0 < b1 and b0 < y1 and (c := clip_ring(t, u)):
-                total += s * z * polygon_area(c)
-    return max(0.0, total)
+    a, b = _boxes(left, "a"), _boxes(right, "b")
+    levels = _levels(a, b)
+    kinds = [d.schema[c].dataType for d, c in ((a, "a"), (b, "b"))]
+    if not levels:
+        return a.sparkSession.createDataFrame([], f"a {kinds[0].simpleString()}, b {kinds[1].simpleString()}, area double, of_a double, of_b double")
+    names = ["u", "x0", "x1", "y0", "y1", "level"]
+    ca = _cells(a.select(*names), levels).select("at", "i", "j", *[F.col(c).alias(f"{c}_a") for c in names])
+    cb = _cells(b.select(*names), levels).select("at", "i", "j", *[F.col(c).alias(f"{c}_b") for c in names])
+    pairs = ca.join(cb, ["at", "i", "j"]).where("at = greatest(level_a, level_b) and x0_a < x1_b and x0_b < x1_a and y0_a < y1_b and y0_b < y1_a").select("u_a", "u_b").distinct()
+    shape = lambda d, c: d.select(F.col("u").alias(f"u_{c}"), c, geo.signed_edges(F.col("parts")).alias(f"e_{c}"))
+    sizes = lambda d, c: d.groupBy(c).agg(F.sum(geo.parts_area(F.col("parts"))).alias(f"of_{c}"))
+    met = pairs.join(shape(a, "a"), "u_a").join(shape(b, "b"), "u_b").select("a", "b", geo.common_area(F.col("e_a"), F.col("e_b")).alias("area"))
+    met = met.groupBy("a", "b").agg(F.sum("area").alias("area")).where("area > 0")
+    out = met.join(sizes(a, "a"), "a").join(sizes(b, "b"), "b")
+    return out.select("a", "b", "area", F.try_divide("area", "of_a").alias("of_a"), F.try_divide("area", "of_b").alias("of_b"))
 
 
 def polygon_area(ring: list) -> float:
