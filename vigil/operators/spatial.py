@@ -14,6 +14,8 @@ from vigil.functions import geo
 from vigil.operators.shared import cut, drop_cut
 
 SMALL = 20_000
+#: Samples of a period that are compared one by one where the ranking of sites was too short.
+FEW = 1000
 
 
 def _unit(la: Column, lo: Column) -> list[Column]:
@@ -107,47 +109,39 @@ def idw(centres: DataFrame, samples: DataFrame, k: int = 6, power: float = 2.0)
     centre whose id stands at two places has rows for both.
 
     The sites are ranked once for each place, not for each period: the nearest of them, as many as should hold ``k`` samples of a
-    period, meet the samples by trap and place; periods that found too few go on with four times as many sites.
+    period, meet the samples by trap and place. Where too few do, a period of at most ``FEW`` samples is compared as a whole and any
+    other is searched by cells of its own samples.
     """
-    s = samples.dropna(subset=["lat", "lon", "period", "trap"]).groupBy("period", "trap", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).agg(F.sum("value").alias("v"))
-    s = cut(s.withColumnRenamed("trap", "tie"), "samples")
-    sites = cut(s.select("tie", "s_lat", "s_lon", F.col("s_lat").alias("s0"), F.col("s_lon").alias("s1")).distinct(), "sites")
-    periods = cut(s.groupBy("period").agg(F.least(F.count("*"), F.lit(k)).alias("need")), "periods")  # a few dozen rows a year
-    size = s.agg(F.count("*").alias("n"), F.count_distinct("period").alias("p")).first()
-    known = sites.count()
+    s = samples.groupBy("period", F.col("trap").alias("tie"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).agg(F.sum("value").alias("v"))
+    # Nulls go from the stored rows: before the sum, their test would repeat whatever expression the period is.
+    s = cut(s.select("*", F.col("s_lat").alias("s0"), F.col("s_lon").alias("s1")), "samples").dropna(subset=["s_lat", "s_lon", "period", "tie"])
+    sites = cut(s.select("tie", "s_lat", "s_lon", "s0", "s1").distinct(), "sites")
+    periods = cut(s.groupBy("period").agg(F.count("*").alias("n")), "periods")  # a few dozen rows a year
     places = cut(centres.where("lat is not null and lon is not null").select("lat", "lon", F.col("lat").alias("c0"), F.col("lon").alias("c1")).distinct(), "places")
-    todo = cut(places.select("lat", "lon").crossJoin(F.broadcast(periods)), "asked")  # a row of the result each
-    many = min(known, 2 * k + -(-2 * k * known * size["p"] // max(size["n"], 1)))
-    found = []
-    side = _side(sites, 2, 1e-6)
-    while many:
-        near = _nearest_k(places.join(todo.select("lat", "lon").distinct(), ["lat", "lon"], "left_semi"), sites, ["lat", "lon"], [], 2, many, side * math.sqrt(many), 360.0, _Flat())
-        near = cut(near.select("lat", "lon", "tie", "s_lat", "s_lon", "d"), "ranked")
-        met = near.join(s, ["tie", "s_lat", "s_lon"]).join(todo, ["lat", "lon", "period"])
-        w = Window.partitionBy("lat", "lon", "period").orderBy("d", "tie", "s_lat", "s_lon")
-        met = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-        weight = F.try_divide(F.lit(1.0), F.pow("d", F.lit(power)))
-        answer = met.groupBy("lat", "lon", "period").agg(
+    size, side, known = periods.agg(F.sum("n").alias("n"), F.count("*").alias("p")).first(), _side(sites, 2, 1e-6), sites.count()
+    many = min(known, 2 * k + -(-2 * k * known * size["p"] // max(size["n"] or 0, 1)))
+    asked = places.crossJoin(F.broadcast(periods))  # a row of the result each
+    weight, key = F.try_divide(F.lit(1.0), F.pow("d", F.lit(power))), ["lat", "lon", "period"]
+    order = Window.partitionBy(*key).orderBy("d", "tie", "s_lat", "s_lon")
+
+    def weighted(met: DataFrame) -> DataFrame:
+        return met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy(*key).agg(
             F.try_divide(F.sum(F.col("v") * weight), F.sum(weight)).alias("w"), F.min("d").alias("d0"), F.min(F.when(F.col("d") == 0, F.struct("tie", "v"))).alias("on"),
-            F.count("*").alias("n_used"), F.array_sort(F.collect_list(F.struct("r", "tie"))).alias("t"), F.first("need").alias("need"),
+            F.count("*").alias("n_used"), F.array_sort(F.collect_list(F.struct("r", "tie"))).alias("t"),
         )
-        found.append(cut(answer.where("n_used = need"), "found"))
-        drop_cut(near)
-        if many >= known:
-            break
-        before, todo = todo, cut(todo.join(found[-1].select("lat", "lon", "period"), ["lat", "lon", "period"], "left_anti"), "asked")
-        drop_cut(before)
-        if todo.isEmpty():
-            break
-        many = min(known, 4 * many)
-    if not found:
-        found = [cut(todo.select("lat", "lon", "period", F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("d0"), F.lit(None).cast("struct<tie:long,v:double>").alias("on"), F.lit(0).cast("long").alias("n_used"), F.lit(None).cast("array<struct<r:int,tie:long>>").alias("t"), "need"), "found")]
-    for done in (todo, places, periods, sites, s):
+
+    ranked = _nearest_k(places, sites, ["lat", "lon"], [], 2, many, side * math.sqrt(many), 360.0, _Flat()) if known else places.crossJoin(sites).withColumn("d", _Flat().measure())  # no sites: no rows
+    near = ranked.select("lat", "lon", "tie", "s_lat", "s_lon", "d")
+    first = weighted(near.join(s, ["tie", "s_lat", "s_lon"])).join(F.broadcast(periods), "period")
+    first = cut(first.where(F.col("n_used") == F.least(F.lit(k), F.col("n"))).drop("n"), "found")
+    todo = cut(asked.join(first.select(*key), key, "left_anti"), "asked")
+    few = todo.where(F.col("n") <= FEW).join(s, "period").withColumn("d", _Flat().measure())
+    out = first.unionByName(weighted(few.select(*key, "tie", "s_lat", "s_lon", "v", "d")))
+    if not (many := todo.where(F.col("n") > FEW).drop("n")).isEmpty():
+        out = out.unionByName(weighted(_nearest_k(many, s, key, ["period"], 2, k, side * math.sqrt(k), 360.0, _Flat()).select(*key, "tie", "s_lat", "s_lon", "v", "d")))
+    out = cut(centres.select("id", "lat", "lon").join(out, ["lat", "lon"]), "weighted")
+    for done in (todo, first, places, periods, sites, s):
         drop_cut(done)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    out = centres.select("id", "lat", "lon").join(out, ["lat", "lon"])
     return out.select("id", "period", F.coalesce("on.v", "w").alias("idw_value"), "n_used", (F.col("d0") * 111.32).alias("min_distance_km"), F.array_join(F.transform("t", lambda x: x["tie"].cast("string")), ",").alias("traps"))
 
 
