@@ -80,6 +80,37 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, settle, lambda state: F.when(state["done"] & (F.abs(state["lam"]) <= F.pi()), finish(state["lam"])))
 
 
+def geodesic_step(lat: Column, lon: Column, metres: Column, bearing: float) -> tuple[Column, Column]:
+    """Latitude and longitude reached on the ellipsoid by going ``metres`` at a bearing in degrees: Vincenty's direct formula."""
+    b, az = A * (1 - FLAT), math.radians(bearing)
+    tu = (1 - FLAT) * F.tan(F.radians(lat))
+    cu = 1 / F.sqrt(1 + tu * tu)
+    su = tu * cu
+    sig1 = F.atan2(tu, F.lit(math.cos(az)))
+    sa = cu * math.sin(az)
+    c2a = 1 - sa * sa
+    u = c2a * ((A * A - b * b) / (b * b))
+    big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    first = metres / (b * big)
+
+    def step(sig, _):
+        c2m, ss, cs = F.cos(2 * sig1 + sig), F.sin(sig), F.cos(sig)
+        return first + small * ss * (c2m + small / 4 * (cs * (2 * c2m * c2m - 1) - small / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
+
+    def ends(sig):
+        c2m, ss, cs = F.cos(2 * sig1 + sig), F.sin(sig), F.cos(sig)
+        x = su * ss - cu * cs * math.cos(az)
+        lat2 = F.atan2(su * cs + cu * ss * math.cos(az), (1 - FLAT) * F.sqrt(sa * sa + x * x))
+        lam = F.atan2(ss * math.sin(az), cu * cs - su * ss * math.cos(az))
+        c = FLAT / 16 * c2a * (4 + FLAT * (4 - 3 * c2a))
+        turn = lam - (1 - c) * FLAT * sa * (sig + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))
+        return F.struct(F.degrees(lat2).alias("lat"), (lon + F.degrees(turn)).alias("lon"))
+
+    reached = F.aggregate(F.sequence(F.lit(1), F.lit(8)), first, step, ends)
+    return reached["lat"], reached["lon"]
+
+
 # Krueger's series in the third flattening, to the fourth order (Karney, 2011).
 _N = FLAT / (2 - FLAT)
 _RECT = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)

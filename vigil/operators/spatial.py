@@ -68,6 +68,16 @@ class _Arc:
         return 2 * math.asin(min(1.0, size / 2)) * geo.EARTH_KM * (1.0 if self.method == "haversine" else 0.98)
 
 
+class _Square:
+    """The larger of the differences of two coordinates: cells of a side prove that side."""
+
+    def measure(self) -> Column:
+        return F.greatest(F.abs(F.col("lat") - F.col("s_lat")), F.abs(F.col("lon") - F.col("s_lon")))
+
+    def __call__(self, size: float) -> float:
+        return size
+
+
 class _Flat:
     """Distances in degrees: cells of a side prove that side."""
 
@@ -299,19 +309,37 @@ def cluster_table(sites: DataFrame, eps_km: float, min_samples: int) -> DataFram
     return sites.join(c, "site").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
-def grid(spark, lat_min: float, lat_max: float, lon_min: float, lon_max: float, spacing_m: float) -> DataFrame:
-    """Grid points (latitude, longitude) ``spacing_m`` metres apart; longitude steps follow each row's latitude."""
+def check_bounds(lat_min: float, lat_max: float, lon_min: float, lon_max: float, spacing_m: float) -> None:
     numbers = (lat_min, lat_max, lon_min, lon_max, spacing_m)
     if any(isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) for v in numbers):
         raise ValueError("bounds and spacing must be finite numbers")
     if not (-90 <= lat_min < lat_max <= 90 and -180 <= lon_min < lon_max <= 180 and spacing_m > 0):
         raise ValueError("bounds must be in order and in range, and the spacing positive")
-    lat_step = spacing_m / 1000 / (geo.EARTH_KM * math.pi / 180)
-    rows = int((lat_max - lat_min) / lat_step) + 1
-    lat = spark.range(rows).select((F.lit(float(lat_min)) + F.col("id") * lat_step).alias("latitude"))
-    step = F.lit(lat_step) / F.cos(F.radians("latitude"))
-    n = F.floor((F.lit(float(lon_max)) - lon_min) / step)
-    return lat.select("latitude", F.explode(F.sequence(F.lit(0).cast("bigint"), n)).alias("k"), step.alias("s")).select("latitude", (F.lit(float(lon_min)) + F.col("k") * F.col("s")).alias("longitude"))
+
+
+def grid(spark, lat_min: float, lat_max: float, lon_min: float, lon_max: float, spacing_m: float) -> DataFrame:
+    """Grid points (latitude, longitude) ``spacing_m`` metres apart on the ellipsoid, from the south-west corner north and east.
+
+    Steps north add up along the meridian, and steps east at one latitude turn by one angle, so every row and every
+    point of a row is computed by itself, in parallel.
+    """
+    check_bounds(lat_min, lat_max, lon_min, lon_max, spacing_m)
+    rows = int((lat_max - lat_min) * 112_000 / spacing_m) + 2  # a degree has under 112 km
+    start = F.lit(float(lat_min))
+    lat, _ = geo.geodesic_step(start, F.lit(0.0), F.col("id") * F.lit(float(spacing_m)), 0.0)
+    lat = spark.range(rows).select(F.when(F.col("id") == 0, start).otherwise(lat).alias("latitude"), (F.col("id") * float(spacing_m)).alias("_m"))
+    top = F.lit(float(lat_max))
+    lat = lat.where((F.col("latitude") <= top) & (F.col("_m") <= 20_003_932))  # beyond the pole the meridian comes down again
+    _, step = geo.geodesic_step(F.col("latitude"), F.lit(0.0), F.lit(float(spacing_m)), 90.0)
+    lat = lat.select("latitude", step.alias("_s")).where(F.col("_s") > 0)
+    n = F.floor((F.lit(float(lon_max)) - float(lon_min)) / F.col("_s"))
+    return lat.select("latitude", "_s", F.explode(F.sequence(F.lit(0).cast("bigint"), n)).alias("_k")).select("latitude", (F.lit(float(lon_min)) + F.col("_k") * F.col("_s")).alias("longitude"))
+
+
+def grid_over(places: DataFrame, spacing_m: float) -> DataFrame:
+    """``grid`` over the bounds of a table's places (lat, lon); they must differ in both."""
+    low = places.agg(*[f(c).alias(f"{c}{n}") for c in ("lat", "lon") for f, n in ((F.min, 0), (F.max, 1))]).first()
+    return grid(places.sparkSession, low["lat0"], low["lat1"], low["lon0"], low["lon1"], spacing_m)
 
 
 def greedy_order(sites: DataFrame, limit: int = 5000) -> list:
