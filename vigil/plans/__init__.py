@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
-    from vigil.plans import core, extra, more, tables  # noqa: F401
+    from vigil.plans import core, extra, models, more, tables  # noqa: F401

@@ -9,6 +9,7 @@ from vigil.functions import calendar as cal
 from vigil.functions import scalars as sc
 from vigil.functions.scalars import quantise as q
 from vigil.operators import intervals, rates, series
+from vigil.operators.shared import cut
 from vigil.plans.frames import CASES, EPI_CASES, EXPOSURES, POPULATION, cases, epi_sql, exposures, population, q_sql, table
 from vigil.plans.registry import query
 
@@ -221,12 +222,12 @@ _WEEKLY = f"SELECT s.epidemic_date, coalesce(n, 0) AS n, eggs FROM (SELECT DISTI
 
 
 def _weekly(spark, d):
-    """epidemic_date, n (0 where none), eggs (null where none) for every week of the cases."""
+    """epidemic_date, n (0 where none), eggs (null where none) for every week of the cases: a few hundred rows, computed once and stored."""
     c = cases(spark, d)
     days = intervals.dense_days(c.select(F.col("dt").alias("day")).distinct())
     spine = days.select(cal.week_label(F.col("day")).alias("epidemic_date")).distinct()
     g = c.groupBy("epidemic_date").agg(F.count("*").alias("n"), F.sum(F.when(F.col("flag") == "F", F.col("v"))).alias("eggs"))
-    return spine.join(g, "epidemic_date", "left").select("epidemic_date", F.coalesce("n", F.lit(0)).alias("n"), "eggs")
+    return cut(spine.join(g, "epidemic_date", "left").select("epidemic_date", F.coalesce("n", F.lit(0)).alias("n"), "eggs"), "weekly")
 
 
 @query("ser_weekly_dense", f"SELECT epidemic_date, n, {q_sql('eggs', 2)} AS eggs FROM ({_WEEKLY})")

@@ -144,12 +144,6 @@ def geo_dbscan(spark, d):
     return spatial.dbscan(_sites(spark, d), 2.5, 3)
 
 
-@query("geo_grid")
-def geo_grid(spark, d):
-    """Grid points half a kilometre apart; tests check bounds, spacing and count."""
-    return spatial.grid(spark, -20.03, -19.77, -44.06, -43.87, 500.0)
-
-
 @query("geo_grid_counts", f"WITH g AS ({_SITES}), n AS (SELECT id, min(struct_pack(d := {hav_sql('p.lat', 'p.lon', 'g.lat', 'g.lon')}, site := site)).site AS site FROM ({_POINTS}) p CROSS JOIN g GROUP BY id) SELECT site, {', '.join(f'''count(*) FILTER (epidemic_year = '{y}') AS y{y[:4]}''' for y in ('1996_97', '1997_98', '1998_99'))} FROM ({EPI_CASES}) c JOIN n ON n.id = c.place GROUP BY site")
 def geo_grid_counts(spark, d):
     n = spatial.nearest(_points(spark, d), _sites(spark, d)).select(F.col("id").alias("place"), "site")
