@@ -1,22 +1,24 @@
 """Licence statements found by a trained paragraph classifier.
 
 A paragraph is a run of lines that aren't blank; signs before and between words (comment marks) don't count. It is read
-in spans: each of its lines, and, as notices are wrapped and documents put lines without blank ones between them, the whole
-paragraph where it has ``WHOLE`` words at most, and every stretch that holds enough of a template's word pairs. A span becomes a
+in spans: each of its lines, and, as notices are wrapped and documents put lines without blank ones between them, the lines
+around each that nothing was found in (``WRAPPED`` - 1 to either side), and every stretch that holds enough of a template's word pairs. A span becomes a
 sparse vector of its word 1- to 3-grams that occur in training paragraphs. A softmax regression, trained in numpy, gives the
-probability of each licence family and of ``unknown``. Training paragraphs are the templates below, whole, with words lost,
-and set among ordinary words; ``unknown`` learns from ordinary words and from sentences that use licence words without
-granting anything. A temperature calibrates the probabilities: it is fitted with a model that has seen neither whole
+probability of each licence family and of ``unknown``. Training paragraphs are the templates below, whole, with words lost or put in,
+and set among ordinary words; ``unknown`` learns from ordinary words, from sentences that use licence words without
+granting anything and from templates that a ``not`` or ``never`` takes back. A temperature calibrates the probabilities: it is fitted with a model that has seen neither whole
 templates and sentences kept apart (one of each family that has two or more) nor every fifth variation of the others,
 on both. A family is reported if it is likelier than
-``unknown`` and all others and its probability is at least ``min_probability``; it is confirmed if enough of one of its templates'
-word pairs stand in the span.
+``unknown`` and all others and its probability is at least ``MIN_PROBABILITY``; only then are templates compared: it is confirmed if
+enough of one template's word pairs stand in the span, one of them in no other family's templates. Word pairs thus propose spans and
+confirm what the classifier says of them, but no statement stands on them alone. A span that the words before it turn into
+``unknown`` (``not licensed under ...``) is none.
 
 Spans without a word of ``marks`` are not scored: that set is widened until, by a bound over all sets of the n-grams
 that remain, no span without such a word could reach ``MIN_PROBABILITY`` for any family.
 
-Several families in one line: every family is reported that has enough of a template's word pairs within ``SLACK`` times the
-template's length, unless another family's words fill a gap of the match (``gnu [affero] general``) or all of its pairs are
+Several families in one line: each stretch that has enough of a template's word pairs within ``SLACK`` times the
+template's length is classified by itself, unless another family's words fill a gap of the match (``gnu [affero] general``) or all of its pairs are
 other families' too (``released under the``).
 """
 
@@ -37,23 +39,27 @@ UNKNOWN = "unknown"
 MIN_PROBABILITY = 0.6
 MIN_CONTAINED = 0.6
 SLACK = 1.5
-WHOLE = 120
+#: Lines to either side that a marked line is read with.
+WRAPPED = 3
 # Short forms and opening sentences of public licences.
 TEMPLATES = {
-    "agpl": ["licensed under the gnu affero general public license version 3", "you should have received a copy of the gnu affero general public license along with this program"],
+    "agpl": ["licensed under the gnu affero general public license version 3", "you should have received a copy of the gnu affero general public license along with this program", "spdx license identifier agpl 3.0 or later", "spdx license identifier agpl 3.0 only"],
     "apache": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0", "spdx license identifier apache 2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd 3 clause license", "use of this source code is governed by a bsd style license"],
-    "cc0": ["to the extent possible under law the author has waived all copyright and related rights to this work", "dedicated to the public domain under cc0 1.0 universal"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd 3 clause license", "use of this source code is governed by a bsd style license", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 2 clause"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related rights to this work", "dedicated to the public domain under cc0 1.0 universal", "spdx license identifier cc0 1.0"],
     "cc-by": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "released under cc by 3.0"],
     "cc-by-nc": ["this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc 4.0", "released under cc by nc 3.0"],
     "cc-by-sa": ["this work is licensed under a creative commons attribution sharealike 4.0 international license", "licensed under cc by sa 4.0", "released under cc by sa 3.0"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gpl version 2"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license"],
-    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"],
+    "cddl": ["the contents of this file are subject to the terms of the common development and distribution license", "licensed under the cddl version 1.0", "spdx license identifier cddl 1.0"],
+    "epl": ["this program and the accompanying materials are made available under the terms of the eclipse public license v2.0", "licensed under the eclipse public license version 1.0", "spdx license identifier epl 2.0"],
+    "gpl": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gpl version 2", "spdx license identifier gpl 3.0 or later", "spdx license identifier gpl 2.0 only"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license", "spdx license identifier isc"],
+    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "spdx license identifier lgpl 2.1 or later", "spdx license identifier lgpl 3.0 only"],
     "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the software is provided as is without warranty of any kind express or implied", "spdx license identifier mit"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"],
     "proprietary": ["all rights reserved", "copyright the company all rights reserved", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential"],
-    "unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "released under the zlib license", "spdx license identifier zlib"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense", "spdx license identifier unlicense"],
 }
 # Sentences that use such words and grant nothing.
 NOT_LICENCES = [
@@ -62,6 +68,8 @@ NOT_LICENCES = [
     "students at mit built a robot", "the gnu is a large antelope", "a general public meeting was held", "the work is under way and will be released in spring",
     "the creative team won the commons debate", "the software was released under pressure", "permission to enter was granted to all visitors", "the mozilla team moved to a new office",
 ]
+# Words before a grant that take it back.
+TAKEN_BACK = ["not", "is not", "was never", "no longer", "is neither", "this project is not", "cannot be"]
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: A blank line (or the beginning) before a line with something in it.
 _BREAK = re.compile(r"\n\s*\n(?=\s*\S)")
@@ -92,7 +100,10 @@ class LicenceModel:
                 w = _WORD.findall(t)
                 apart += [number > 0 and number == len(templates[f]) - 1] * copies
                 for k in range(copies):
-                    x = [v for v in w if k == 0 or len(w) < 5 or rng.random() > 0.08]
+                    lost = (0.0, 0.08, 0.15, 0.3)[k % 4]
+                    x = [v for v in w if k == 0 or len(w) < 5 or rng.random() > lost]
+                    for _ in range(rng.integers(0, 3) if k > copies // 2 and len(w) > 6 else 0):
+                        x.insert(int(rng.integers(1, len(x) + 1)), str(rng.choice(plain)))
                     around = rng.choice(plain, rng.integers(0, 9)).tolist() if k > copies // 4 else []
                     cut = rng.integers(0, len(around) + 1)
                     samples.append((around[:cut] + x + around[cut:], y))
@@ -100,6 +111,14 @@ class LicenceModel:
         for number, s in enumerate(NOT_LICENCES):
             samples += [(s.split(), n)] * (copies // 2)
             apart += [number % 4 == 0] * (copies // 2)
+        short = [t for f in self.families for t in templates[f] if t.split()[0] in ("licensed", "released", "this", "dedicated") and len(t.split()) < 14]
+        denials = []
+        for number, t in enumerate(short):
+            for k, before in enumerate(TAKEN_BACK):
+                grant = t.replace("this work is ", "").split()
+                denials.append([*rng.choice(plain, rng.integers(0, 4)).tolist(), *before.split(), *grant, *rng.choice(plain, rng.integers(0, 4)).tolist()])
+                apart.append(k == number % len(TAKEN_BACK))
+        samples += [(x, n) for x in denials]
         words = sorted({w for ts in templates.values() for t in ts for w in _WORD.findall(t)})
         for _ in range(len(samples)):  # licence words out of order, and ordinary words
             mixed = rng.choice(words, rng.integers(0, 3)).tolist() + rng.choice(plain, rng.integers(2, 14)).tolist()
@@ -107,6 +126,7 @@ class LicenceModel:
             apart.append(len(apart) % 5 == 0)
         counts = Counter(g for x, _ in samples for g in set(_grams(x)))
         known = {g for ts in templates.values() for t in ts for g in _grams(_WORD.findall(t))}
+        known |= {g for x in denials for g in _grams(x) if {"not", "never", "no", "neither", "cannot"} & set(g.split())}
         self.index = {g: i for i, g in enumerate(sorted(g for g in known if counts[g] >= 2))}
         unseen, varied = np.array(apart), np.arange(len(samples)) % 5 == 0
         held = unseen | varied
@@ -174,29 +194,35 @@ class LicenceModel:
         loss = [(-np.log(self._softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean(), t) for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)]
         self.temperature = min(loss)[1]
 
-    def classify(self, line: str) -> tuple[str, float, bool] | None:
-        """Family, probability and whether a template confirms it, of a lower-case line; None: unknown."""
-        words = _WORD.findall(line)
+    def predicted(self, words: list[str]) -> tuple[str, float, float]:
+        """The likeliest class of a span, its probability and that of unknown."""
         grams = [self.index[g] for g in set(_grams(words)) if g in self.index]
         if not grams:
-            return None
+            return UNKNOWN, 1.0, 1.0
         z = (self.weights[grams].sum(axis=0) / np.sqrt(len(grams)) + self.bias)[None] / self.temperature
         p = self._softmax(z)[0]
         best = int(p.argmax())
-        if best == len(self.families) or p[best] < MIN_PROBABILITY:
+        return [*self.families, UNKNOWN][best], float(p[best]), float(p[-1])
+
+    def classify(self, line: str) -> tuple[str, float, bool] | None:
+        """Family, probability and whether a template confirms it, of a lower-case line; None: unknown."""
+        words = _WORD.findall(line)
+        family, p, _ = self.predicted(words)
+        if family == UNKNOWN or p < MIN_PROBABILITY:
             return None
         have = set(zip(words, words[1:]))
-        family = self.families[best]
-        share = max(len(t & have) / max(1, len(t)) for t in self.pairs[family])
-        return family, float(p[best]), share >= MIN_CONTAINED
+        fits = any(len(t & have) >= MIN_CONTAINED * len(t) and any(not self._shared(pair, family) for pair in t & have) for t in self.pairs[family])
+        return family, p, fits
 
-    def probability(self, words: list[str], family: str) -> float:
-        grams = [self.index[g] for g in set(_grams(words)) if g in self.index]
-        z = (self.weights[grams].sum(axis=0) / np.sqrt(max(1, len(grams))) + self.bias)[None] / self.temperature
-        return float(self._softmax(z)[0][self.families.index(family)])
+    def _shared(self, pair: tuple[str, str], family: str) -> bool:
+        return any(pair in p for f, p in self.family_pairs.items() if f != family)
 
     def confirmed(self, words: list[str]) -> list[tuple[int, int, str, float]]:
-        """(first word, last word, family, probability) of every match of a template in a paragraph's words; a family's matches don't overlap."""
+        """(first word, last word, family, probability) of every stretch that fits a template and that the classifier gives to its family.
+
+        A family's stretches don't overlap. The classifier judges the stretch by itself; with the three words before it, it must
+        not become unknown.
+        """
         hits: dict[int, list[int]] = {}
         for i, pair in enumerate(zip(words, words[1:])):
             for k in self.uses.get(pair, ()):
@@ -207,8 +233,12 @@ class LicenceModel:
             need, reach = MIN_CONTAINED * len(pairs), int(SLACK * size) + 2
             for a, b in self._windows(words, at, need, reach):
                 inside = at[a:b]
-                if self._own(words, inside, family):
-                    out.append((inside[0], inside[-1] + 1, family, self.probability(words[inside[0] : inside[-1] + 2], family)))
+                if not self._own(words, inside, family):
+                    continue
+                first, end = inside[0], inside[-1] + 2
+                said, p, _ = self.predicted(words[first:end])
+                if said == family and p >= MIN_PROBABILITY and self.predicted(words[max(0, first - 3) : end])[2] < MIN_PROBABILITY:
+                    out.append((first, end - 1, family, p))
         kept: list[tuple[int, int, str, float]] = []
         for m in sorted(out):
             if not any(m[2] == o[2] and m[0] <= o[1] for o in kept):
@@ -245,8 +275,7 @@ class LicenceModel:
         return out
 
     def _own(self, words: list[str], inside: list[int], family: str) -> bool:
-        others = [p for f, p in self.family_pairs.items() if f != family]
-        return not all(any((words[i], words[i + 1]) in p for p in others) for i in inside) and not self._filled(words, inside, family)
+        return not all(self._shared((words[i], words[i + 1]), family) for i in inside) and not self._filled(words, inside, family)
 
     def _filled(self, words: list[str], inside: list[int], family: str) -> bool:
         """Whether another family's words stand in a gap of the match."""
@@ -299,10 +328,14 @@ def statements(model: LicenceModel, low: str) -> list[dict]:
                 out.append({"paragraph": k, "family": got[0], "probability": got[1], "confirmed": got[2]})
                 if got[2]:
                     sure.add((k, got[0]))
-        if end - first > 1 and len(words) <= WHOLE and not matches and not any(first <= x["paragraph"] < end for x in out):
-            whole = " ".join(words)
-            if (got := model.classify(whole)) and not model.mistaken(whole, got[0]):
-                out.append({"paragraph": first, "family": got[0], "probability": got[1], "confirmed": got[2]})
+        taken = {k for a, b, *_ in matches for k in range(a, b + 1)} | {x["paragraph"] for x in out if x["paragraph"] >= first}
+        for k in marked:  # a notice wrapped over lines that fits no template well enough
+            here = range(max(first, k - WRAPPED + 1), min(end, k + WRAPPED))
+            if len(here) > 1 and taken.isdisjoint(here):
+                joined = " ".join(lines[j] for j in here)
+                if (got := model.classify(joined)) and not model.mistaken(joined, got[0]):
+                    out.append({"paragraph": here[0], "family": got[0], "probability": got[1], "confirmed": got[2]})
+                    taken.update(here)
         for a, b, family, p in matches:
             if not any((k, family) in sure for k in range(a, b + 1)):
                 out.append({"paragraph": a, "family": family, "probability": p, "confirmed": True})
