@@ -158,3 +158,27 @@ def test_search_finds_all_of_few(spark):
 
     x = np.random.default_rng(5).normal(size=(20, 64))
     assert _recall(spark, x) == 1.0
+
+
+def test_search_with_tiny_and_huge_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 16))
+    x[0] *= 1e-200
+    x[1:5] *= 1e-310
+    x[20] *= 1e200
+    x[21:30] *= 1e180
+    x[40] *= 1e307
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(v, v.where("vec_id % 20 = 0"), top=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in (0, 20, 40):
+            s = np.zeros(60)
+            for k in range(16):
+                s += x[q, k] * x[:, k]
+            order = sorted((i for i in range(60) if i != q), key=lambda i: (-s[i] if s[i] == s[i] else np.inf, i))[:20]
+            assert [(n, i) for n, i, _ in sorted(got[q])] == [(n + 1, i) for n, i in enumerate(order)]
+            assert all(a == s[i] or (a != a and s[i] != s[i]) for _, i, a in got[q])

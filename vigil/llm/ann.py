@@ -81,10 +81,23 @@ def _padded(x: np.ndarray) -> np.ndarray:
     n = 1
     while n < x.shape[1]:
         n *= 2
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    u = _scaled(x)[0]
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     return np.pad(u, ((0, 0), (0, n - x.shape[1])))
 
 
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors times a power of two that brings their largest component to between a half and 1, and its exponent: norms neither vanish nor overflow."""
+    e = np.frexp(np.abs(x).max(axis=1))[1]
+    return np.ldexp(x, -e[:, None]), e
+
+
+def _level(x: np.ndarray) -> np.ndarray:
+    """The power of two next above each norm."""
+    y, e = _scaled(x)
+    return e + np.frexp(np.linalg.norm(y, axis=1))[1]
+
+
 def threshold(n: int, dim: int, top: int, tables: int, recall: float = RECALL) -> float:
     """Sum of two coordinates from which a pair of axes is probed, for n vectors of a (padded) dimension; -inf: all pairs.
 
@@ -162,7 +175,7 @@ def _index_rows(tables: int):
     def run(batches):
         for dim, ids, x in _gathered(batches, GATHER):
             u = _padded(x)
-            level = np.frexp(np.linalg.norm(x, axis=1))[1]
+            level = _level(x)
             for t, (one, two) in enumerate(signs(u.shape[1], tables)):
                 first, second = _axes(u, one).argmax(axis=1), _axes(u, two).argmax(axis=1)
                 for v in np.unique(level):
@@ -217,29 +230,34 @@ def _unpacked(table: pa.Table, kind: str, width: int) -> tuple[np.ndarray, np.nd
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, summed in order, so that equal vectors give equal numbers."""
     out = np.zeros(len(q))
-    for k in range(q.shape[1]):
-        out += q[:, k] * x[:, k]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(q.shape[1]):
+            out += q[:, k] * x[:, k]
     return out
 
 
 def _best(q_id, q, want, x_id, x, bounds, top):
     """Each query's ``top`` among the vectors of a block whose pair of axes it wants: (query, vector, score), ties to the smaller vec_id."""
-    if want.mean() > 0.3 or len(x) < 32 * np.count_nonzero(np.diff(bounds)):
-        approx = q @ x.T
-        approx[~np.repeat(want, np.diff(bounds), axis=1)] = -np.inf
-    else:
-        approx = np.full((len(q), len(x)), -np.inf)
-        for axis in np.flatnonzero(np.diff(bounds)):
-            rows = np.flatnonzero(want[:, axis])
-            if len(rows):
-                approx[rows, bounds[axis] : bounds[axis + 1]] = q[rows] @ x[bounds[axis] : bounds[axis + 1]].T
-    approx[q_id[:, None] == x_id[None, :]] = -np.inf
+    allowed = np.repeat(want, np.diff(bounds), axis=1) & (q_id[:, None] != x_id[None, :])
+    with np.errstate(over="ignore", invalid="ignore"):
+        if want.mean() > 0.3 or len(x) < 32 * np.count_nonzero(np.diff(bounds)):
+            approx = q @ x.T
+        else:
+            approx = np.full((len(q), len(x)), -np.inf)
+            for axis in np.flatnonzero(np.diff(bounds)):
+                rows = np.flatnonzero(want[:, axis])
+                if len(rows):
+                    approx[rows, bounds[axis] : bounds[axis + 1]] = q[rows] @ x[bounds[axis] : bounds[axis + 1]].T
+        approx[~allowed] = -np.inf
+        if np.isnan(approx).any() or not np.isfinite(approx[allowed]).all():  # sums that overflow depend on their order: take the exact one
+            approx = sum((q[:, k, None] * x[None, :, k] for k in range(q.shape[1])), np.zeros(approx.shape))
+            approx[~allowed | np.isnan(approx)] = -np.inf
     k = min(top, approx.shape[1])
     kth = np.partition(approx, approx.shape[1] - k, axis=1)[:, -k][:, None]
     slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(kth), kth, 0)))
-    i, j = np.nonzero((approx >= kth - slack) & np.isfinite(approx))
+    i, j = np.nonzero((approx >= kth - slack) & allowed)
     s = exact_scores(q[i], x[j])
-    order = np.lexsort((x_id[j], -s, i))
+    order = np.lexsort((x_id[j], -np.where(np.isnan(s), -np.inf, s), i))
     i, j, s = i[order], j[order], s[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
     keep = rank < top
@@ -281,7 +299,9 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int =
     ``queries`` and ``vectors`` have vec_id (long) and embedding. Rows with a null vec_id, a null, empty or zero
     vector, or one that holds null or non-finite numbers take no part; vectors of another length than the
     query's are no candidates. A query's own vec_id is no candidate. Rows that repeat count once. A query that finds
-    fewer than ``top`` is asked again over all pairs of axes, so it gets all candidates there are.
+    fewer than ``top`` is asked again over all pairs of axes, so it gets all candidates there are. Equal products go by the smaller
+    vec_id. Components may be of any finite size: directions and levels come from scaled vectors, and a product that
+    overflows is infinite (one that is not a number comes last).
     """
     ship(vectors.sparkSession)
 
@@ -305,7 +325,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int =
         if more is not None:
             best = stored(best.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     drop_stored(probe)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
