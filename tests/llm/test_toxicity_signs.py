@@ -51,3 +51,22 @@ def test_wide_steps_are_exact(restorer):
         return max(states.values())
 
     assert [round(s, 9) for s, _ in wide] == [round(plain(toxicity._lattice(t)), 9) for t in tokens]
+
+
+@pytest.mark.parametrize("shown,meant", [("st***d", "stupid"), ("st****d", "stupid"), ("i**ot", "idiot"), ("stu$$$$pid", "stupid"), ("idi000000t", "idiot"), ("sh!!!!!t", "shit")])
+def test_runs_of_any_length(restorer, shown, meant):
+    assert meant in restorer.words(f"a {shown} one"), restorer.words(f"a {shown} one")
+
+
+@pytest.mark.parametrize("shown,meant", [("a s s", "ass"), ("a.s.s", "ass"), ("s h i t", "shit"), ("i d i o t", "idiot")])
+def test_single_characters_apart(restorer, shown, meant):
+    assert meant in restorer.words(f"the {shown} there")
+    assert restorer.words("a i the street")  # two letters that make no word are no reason to fail
+
+
+def test_long_bars_are_linear(restorer):
+    import time
+
+    began = time.perf_counter()
+    restorer.words("a" + "*" * 3000 + "b")
+    assert time.perf_counter() - began < 20

@@ -4,8 +4,9 @@ Channel: a disguised word is a lattice in which a leet sign may stand for letter
 word for nothing, ``*`` for any letter, a run of three or more equal letters for one or two of them, and
 blanks between single letters for nothing. Viterbi decoding under a character trigram model picks the
 likeliest reading. Signs at the ends of a token are positions as inner ones are; the token without them is read too.
-Words of letters alone have one path and are left as they are. A run of one leet sign is two positions at most; a run of four
-asterisks or more is a bar that hides a word and reads as nothing. Single characters apart are joined from four on.
+Words of letters alone have one path and are left as they are. Every asterisk is any letter or nothing, however many there are. A run
+of three or more of one leet sign is, like one of letters, its letter once or twice, or else ornament. Single characters apart
+are joined from two on; the fewer they are, the more the model must gain by it.
 Decoding is linear in a token's length, whatever that is; readings of tokens up to ``KEPT`` characters are kept for
 the next time. The trigram counts come from all texts (no labels).
 
@@ -47,7 +48,7 @@ OPENING, CLOSING = "(<¡", "!"
 _ANY = "abcdefghijklmnopqrstuvwxyz"
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _PIECES = re.compile(r"[\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .\-_]{1,2}(?:[^\W_]|[@$!|+€])){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .\-_]{1,2}(?:[^\W_]|[@$!|+€])){1,}(?!\S)")
 
 # The alphabet of the character model: 0 is everything else (and word bounds).
 _CODE = {c: i + 1 for i, c in enumerate(_ANY)} | {chr(c): i + 27 for i, c in enumerate(range(0xDF, 0x100))}
@@ -160,11 +161,13 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
         if ch.isalpha():
             out.append([(ch * (j - i), 0.0)] if j - i < 3 else [(ch, -0.7), (ch * 2, -0.7)])
         elif ch == "*":
-            out += [[(x, -1.5) for x in _ANY] + [("", -2.0)]] * (j - i) if j - i < 4 else [[("", 0.0)]]
-        elif ch in LEET and (ch in OPENING and i == 0 or ch in CLOSING and j == len(token)):
-            out += [[(x, -0.5) for x in LEET[ch]] + [("", -0.5)]] * min(j - i, 2)
+            out += [[(x, -1.5) for x in _ANY] + [("", -2.0)]] * (j - i)
         elif ch in LEET:
-            out += [[(x, -0.5) for x in LEET[ch]] + [("", -4.0)]] * min(j - i, 2)
+            nothing = -0.5 if ch in OPENING and i == 0 or ch in CLOSING and j == len(token) else -4.0
+            if j - i < 3:
+                out += [[(x, -0.5) for x in LEET[ch]] + [("", nothing)]] * (j - i)
+            else:
+                out.append([(x * n, -1.2) for x in LEET[ch] for n in (1, 2)] + [("", max(nothing, -2.0))])
         elif ch in SEPARATORS:
             out.append([("", -0.5), (" ", -0.5)])
         else:
@@ -195,7 +198,7 @@ class Restorer:
         return self.model.decode(_lattice(token))[1]
 
     def spaced(self, segment: str) -> str:
-        """Single characters apart: all together, or as they stand."""
+        """Single characters apart: all together, or as they stand; two must gain e**4 by it, three e**2, more nothing."""
         got = self.seen.get(segment)
         if got is None:
             if len(self.seen) >= CACHE:
@@ -204,7 +207,7 @@ class Restorer:
             lattice = []
             for k, c in enumerate(chars):
                 if k:
-                    lattice.append([("", 0.0), (" ", -1.0)])
+                    lattice.append([("", min(0.0, len(chars) - 4.0)), (" ", -1.0)])
                 lattice.append([(c, 0.0)] if c.isalpha() else [(x, -0.5) for x in LEET.get(c, " ")])
             got = self.model.decode(lattice)[1]
             if len(segment) <= KEPT:
@@ -233,7 +236,7 @@ class Restorer:
             elif bare:
                 out.update(self.token(bare).split())
                 out.update(x for x in _PIECES.split(bare) if x)
-        if [*map(len, tokens)].count(1) >= 4:
+        if [*map(len, tokens)].count(1) >= 2:
             for m in _SPACED.finditer(low):
                 out.update(self.spaced(m[0]).split())
         return out
