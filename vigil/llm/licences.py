@@ -68,6 +68,8 @@ NOT_LICENCES = [
     "students at mit built a robot", "the gnu is a large antelope", "a general public meeting was held", "the work is under way and will be released in spring",
     "the creative team won the commons debate", "the software was released under pressure", "permission to enter was granted to all visitors", "the mozilla team moved to a new office",
 ]
+# English function words.
+FUNCTION_WORDS = {"the", "a", "this", "under", "and", "or", "of", "to", "in", "is", "for", "with", "by", "it", "you", "at", "that", "are", "on", "as", "any", "from", "an", "be", "may", "can", "only", "no", "not", "will", "use", "without", "have", "was", "also", "been", "which", "who", "its", "their", "these", "those", "has", "had", "were", "but"}
 # Words before a grant that take it back.
 TAKEN_BACK = ["not", "is not", "was never", "no longer", "is neither", "this project is not", "cannot be"]
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -127,7 +129,8 @@ class LicenceModel:
         counts = Counter(g for x, _ in samples for g in set(_grams(x)))
         known = {g for ts in templates.values() for t in ts for g in _grams(_WORD.findall(t))}
         known |= {g for x in denials for g in _grams(x) if {"not", "never", "no", "neither", "cannot"} & set(g.split())}
-        self.index = {g: i for i, g in enumerate(sorted(g for g in known if counts[g] >= 2))}
+        # N-grams of function words alone say nothing; left out, they can't make a text of such words worth scoring either.
+        self.index = {g: i for i, g in enumerate(sorted(g for g in known if counts[g] >= 2 and not FUNCTION_WORDS.issuperset(g.split())))}
         unseen, varied = np.array(apart), np.arange(len(samples)) % 5 == 0
         held = unseen | varied
         x = np.stack([self.vector(w) for w, _ in samples])
@@ -136,7 +139,7 @@ class LicenceModel:
         self._train(x[~held], y[~held])
         self._calibrate(x[held], y[held])
         self._train(x, y)
-        common = {w for s in NOT_LICENCES for w in s.split()} | {"the", "a", "this", "under", "and", "or", "of", "to", "in", "is", "for", "with", "by", "it", "you", "at", "that", "are", "on", "as", "any", "from", "an", "be", "may", "can"}
+        common = {w for s in NOT_LICENCES for w in s.split()} | FUNCTION_WORDS
         marks = {w for w in words if w not in common and not w[0].isdigit() and len(w) > 2} | {"license", "licensed", "rights", "mit", "gnu", "mozilla", "apache", "cc", "gpl", "permission"}
         self.marked_words = self._widened(marks)
         self.marks = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(self.marked_words))) + r")(?![a-z0-9])")
@@ -163,7 +166,7 @@ class LicenceModel:
             odds, _, grams = max(self.unmarked_odds(marks))
             if odds < math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY)):
                 return marks
-            marks.add(min((w for w in grams[0].split()), key=lambda w: (-len(w), w)))
+            marks.add(min((w for w in grams[0].split()), key=lambda w: (w in FUNCTION_WORDS, -len(w), w)))
 
     def vector(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(self.index))
