@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.shared import drop_cut, numbered
+
 
 def neighbour_lag_matrix(samples: DataFrame, spine: DataFrame, neighbours: DataFrame, n_lags: int, n_neighbours: int) -> DataFrame:
     """Lagged values of each sample's nearest eligible neighbours, itself first.
@@ -62,10 +64,9 @@ def codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
 
 
 def chronological_split(df: DataFrame, label: str, ratio: float) -> DataFrame:
-    """``split``: train for the first int(n * ratio) rows by label, else test."""
-    w = Window.orderBy(label)
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("split", F.when(F.row_number().over(w) <= F.floor(n * F.lit(ratio)), "train").otherwise("test"))
+    """``split``: train for the first int(n * ratio) rows by label, else test. Rows are numbered over ranges of the label, not in one task."""
+    rows = numbered(df, label, name="_i")
+    return rows.withColumn("split", F.when(F.col("_i") < int(rows.count() * ratio), "train").otherwise("test")).drop("_i")
 
 
 def hash_split(df: DataFrame, key: str, test_percent: int, salt: str = "split") -> DataFrame:
@@ -99,14 +100,16 @@ def permutation_importance(df: DataFrame, model, features: list[str], truth: str
     spark = df.sparkSession
     base = model.transform(df).agg(F.avg(F.pow(F.col(truth) - F.col(predicted), 2)).alias("e")).first()["e"]
     rows = []
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(F.xxhash64(*df.columns))))
+    rows_ = numbered(df, F.xxhash64(*df.columns), name="_i")
     for f in features:
         rise = []
         for k in range(repeats):
-            dealt = numbered.select(F.row_number().over(Window.orderBy(F.xxhash64("_i", F.lit(seed + k)))).alias("_i"), F.col(f))
-            moved = numbered.drop(f).join(dealt, "_i")
+            dealt = numbered(rows_.select(F.col("_i").alias("_j"), f), F.xxhash64("_j", F.lit(seed + k)), name="_i")
+            moved = rows_.drop(f).join(dealt.drop("_j"), "_i")
             rise.append(model.transform(moved).agg(F.avg(F.pow(F.col(truth) - F.col(predicted), 2)).alias("e")).first()["e"] - base)
+            drop_cut(dealt)
         rows.append((f, float(sum(rise) / len(rise))))
+    drop_cut(rows_)
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.shared import numbered
+
 
 def _order(label: str, partition: list[str] | None):
     return Window.partitionBy(*(partition or [])).orderBy(label)
@@ -43,8 +45,7 @@ def group_series(df: DataFrame, value: str, size: int, offset: int = 0, label: s
     pick = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "min": F.min, "max": F.max}
     if operation not in pick:
         raise ValueError(f"unknown operation {operation!r}; there are {sorted(pick)}")
-    pos = F.row_number().over(Window.orderBy(label)) - 1
-    b = df.withColumn("bucket", F.floor((pos - offset) / size).cast("int"))
+    b = numbered(df, label, name="_i").withColumn("bucket", F.floor((F.col("_i") - offset) / size).cast("int"))
     return b.groupBy("bucket").agg(F.min(label).alias(label), pick[operation](F.col(value)).alias(value))
 
 
@@ -140,5 +141,6 @@ def rolling_forecast(df: DataFrame, value: str, alpha: float, label: str = "labe
 
 def shifted(df: DataFrame, x: str, y: str, lag: int, label: str = "label") -> DataFrame:
     """(label, x, y) with y of ``lag`` rows before, for the rows that have both."""
-    w = _order(label, None)
-    return df.withColumn(y, F.lag(y, lag).over(w) if lag >= 0 else F.lead(y, -lag).over(w)).select(label, x, y).dropna()
+    rows = numbered(df.select(label, x, y), label, name="_i")
+    before = rows.select((F.col("_i") + lag).alias("_i"), F.col(y).alias("_y"))
+    return rows.join(before, "_i").select(label, x, F.col("_y").alias(y)).dropna()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,17 @@ def drop_cut(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/vigil-" in f}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
+    """``df`` with each row's position from 0 in an order, whatever its size: rows are dealt by ranges of the order and sorted there.
+
+    A row's position is its place in its range and the number of rows of the ranges before (one row each). The dealt rows are
+    stored, so places and numbers are of one run; the files stay for whoever reads the result. Equal rows of the order take any turn.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    inner = (1 << 33) - 1  # Spark's increasing ids hold the partition above 33 bits and the place below
+    kept = cut(dealt.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(inner)).alias("_place")), "numbered")
+    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    return kept.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.scalars import quantise as q
 from vigil.operators import features, series
+from vigil.operators.shared import numbered
 from vigil.plans.core import _NAIVE_SERIES, _weekly
 from vigil.plans.frames import EPI_CASES, cases, lat, lat_sql, lon, lon_sql, q_sql, table
 from vigil.plans.registry import query
@@ -102,7 +103,7 @@ def cal_fridays(spark, d):
 @query("geo_block_mean", f"SELECT b, {q_sql('avg(lat)')} AS lat, {q_sql('avg(lon)')} AS lon, count(*) AS n FROM (SELECT CAST(floor((row_number() OVER (ORDER BY s_suppkey) - 1) / 5.0) AS BIGINT) AS b, {lat_sql('s_suppkey')} AS lat, {lon_sql('s_suppkey')} AS lon FROM supplier) GROUP BY b")
 def geo_block_mean(spark, d):
     """Centres of blocks of five consecutive sites."""
-    s = table(spark, d, "supplier").select(F.floor((F.row_number().over(Window.orderBy("s_suppkey")) - 1) / 5).alias("b"), lat("s_suppkey").alias("lat"), lon("s_suppkey").alias("lon"))
+    s = numbered(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").select(F.floor(F.col("position") / 5).alias("b"), lat("s_suppkey").alias("lat"), lon("s_suppkey").alias("lon"))
     return s.groupBy("b").agg(q(F.avg("lat")).alias("lat"), q(F.avg("lon")).alias("lon"), F.count("*").alias("n"))
 
 
