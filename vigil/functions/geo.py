@@ -133,6 +133,12 @@ def utm_to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(lat), F.lit(LON0) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
 
 
+def zone_to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """As ``utm_to_degrees`` for tables that write a place they don't know as 0: without x no latitude, without y no longitude."""
+    lat, lon = utm_to_degrees(x, y)
+    return F.when(x != 0, lat), F.when(y != 0, lon)
+
+
 def degrees_to_utm(lat: Column, lon: Column) -> tuple[Column, Column]:
     c = 2 * math.sqrt(_N) / (1 + _N)
     s, dl = F.sin(F.radians(lat)), F.radians(lon - LON0)

@@ -23,6 +23,15 @@ def daily_spread(df: DataFrame, entity: str = "trap", start: str = "dt_instal",
     return rows.groupBy(entity, "day").agg(F.sum("_v").alias(value))
 
 
+def dense_daily_spread(df: DataFrame, entity: str = "trap", start: str = "dt_instal", end: str = "dt_col", value: str = "eggs") -> DataFrame:
+    """``daily_spread`` on every day between the first and the last of all entities; days on which an entity was not exposed are null."""
+    spread = daily_spread(df, entity, start, end, value)
+    first, last = F.min(F.when(F.datediff(end, start) > 0, F.col(start))), F.max(F.when(F.datediff(end, start) > 0, F.date_sub(end, 1)))
+    days = df.agg(first.alias("a"), last.alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))  # a row a day
+    entities = df.where(F.datediff(end, start) > 0).select(entity).distinct()
+    return entities.crossJoin(F.broadcast(days)).join(spread, [entity, "day"], "left")
+
+
 def dense_days(df: DataFrame, day: str = "day", fill: float | None = None, value: str = "n") -> DataFrame:
     """All days between the first and the last; absent ones get ``fill``. One row a day goes in."""
     span = df.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a is not null")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from vigil.functions import geo
 from vigil.functions.scalars import quantise as q
-from vigil.operators import dependence, learning, spatial, statespace
+from vigil.operators import dependence, intervals, learning, spatial, statespace
 from vigil.operators.shared import shared_dir
 from vigil.plans.core import _WEEKLY, _weekly
 from vigil.plans.extra import _sites
-from vigil.plans.frames import AREAS, areas, q_sql, table
+from vigil.plans.tables import _POINTS, _points
+from vigil.plans.frames import AREAS, EXPOSURES, areas, exposures, q_sql, table
 from vigil.plans.registry import query
 from vigil.sources import shapefile
 
@@ -47,6 +48,26 @@ def geo_sector_centres(spark, d):
     return s.select("area", q(lat).alias("lat"), q(lon).alias("lon"), q(F.col("m2"), 0).alias("m2"))
 
 
+@query("geo_utm_unknown", f"SELECT id, {q_sql('CASE WHEN id % 7 <> 0 THEN lat END')} AS lat, {q_sql('CASE WHEN id % 5 <> 0 THEN lon END')} AS lon FROM ({_POINTS})")
+def geo_utm_unknown(spark, d):
+    """Points in metres, some with a coordinate of 0 for an unknown one, in degrees."""
+    x, y = geo.degrees_to_utm(F.col("lat"), F.col("lon"))
+    p = _points(spark, d)
+    known = lambda c, k, v: F.when(F.col("id") % k != 0, v).when(F.col("id") % k == 0, 0.0).alias(c)
+    p = p.select("id", x.alias("tx"), y.alias("ty"), known("x", 7, x), known("y", 5, y))
+    lat = geo.zone_to_degrees(F.col("x"), F.col("ty"))[0]
+    lon = geo.zone_to_degrees(F.col("tx"), F.col("y"))[1]
+    return p.select("id", q(lat).alias("lat"), q(lon).alias("lon"))
+
+
+@query("iv_daily_dense", f"""WITH s AS (SELECT trap, CAST(day AS DATE) AS day, sum(v) AS eggs FROM (SELECT trap, eggs / (dt_col - dt_instal) AS v, unnest(generate_series(dt_instal, dt_col - 1, INTERVAL 1 DAY)) AS day FROM ({EXPOSURES})) GROUP BY ALL),
+  d AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM s)
+  SELECT trap, day, {q_sql('eggs', 4)} AS eggs FROM (SELECT DISTINCT trap FROM s) CROSS JOIN d LEFT JOIN s USING (trap, day)""")
+def iv_daily_dense(spark, d):
+    """Daily values of every trap on every day; null where it was not exposed."""
+    return intervals.dense_daily_spread(exposures(spark, d)).select("trap", "day", q(F.col("eggs"), 4).alias("eggs"))
+
+
 _LAGS = f"SELECT l.lag, n::DOUBLE AS y, lag(n, CAST(l.lag AS INTEGER)) OVER (PARTITION BY l.lag ORDER BY epidemic_date)::DOUBLE AS x FROM ({_WEEKLY}) CROSS JOIN (SELECT unnest([1, 2, 4, 52]) AS lag) l"
 
 
