@@ -136,3 +136,25 @@ def test_centroid_of_parts_and_holes(spark):
     cx, cy = geo.parts_centroid(F.col("parts"))
     r = df.select(cx.alias("x"), cy.alias("y"), geo.parts_area(F.col("parts")).alias("s")).first()
     assert (round(r.x, 9), round(r.y, 9), r.s) == (round((16 * 2 - 4 * 2 + 4 * 11) / 16, 9), round((16 * 2 - 4 * 2 + 4 * 1) / 16, 9), 16.0)
+
+
+def test_centres_in_metres(spark):
+    """The centre of projected parts with a hole is that of plain sums over their projected corners."""
+    df = shapes(spark, [(1, [[square(-44.0, -20.0, 0.04), square(-43.99, -19.99, 0.01)], [square(-43.5, -20.5, 0.02)]])])
+    x, y = geo.parts_centroid(geo.projected(F.col("parts")))
+    lat, lon = geo.utm_to_degrees(F.col("x"), F.col("y"))
+    got = df.select(geo.projected(F.col("parts")).alias("p"), x.alias("x"), y.alias("y")).select("p", "x", "y", lat.alias("lat"), lon.alias("lon")).first()
+
+    def sums(ring):
+        a = cx = cy = 0.0
+        ox, oy = got.p[0][0][0].x, got.p[0][0][0].y
+        for p, q in zip(ring, ring[1:]):
+            px, py, qx, qy = p.x - ox, p.y - oy, q.x - ox, q.y - oy
+            c = px * qy - qx * py
+            a, cx, cy = a + c / 2, cx + (px + qx) * c / 6, cy + (py + qy) * c / 6
+        return [v * (1 if a > 0 else -1) for v in (a, cx, cy)]
+
+    rings = [(sums(r), 1 if k == 0 else -1) for part in got.p for k, r in enumerate(part)]
+    a, cx, cy = (sum(s[i] * sign for s, sign in rings) for i in range(3))
+    assert got.x - got.p[0][0][0].x == pytest.approx(cx / a, abs=1e-2) and got.y - got.p[0][0][0].y == pytest.approx(cy / a, abs=1e-2)
+    assert -20.5 < got.lat < -19.9 and -44.0 < got.lon < -43.4
