@@ -65,16 +65,21 @@ def peak(df: DataFrame, value: str, label: str, partition: list[str]) -> DataFra
 
 def normalise(df: DataFrame, value: str, method: str = "zscore", partition: list[str] | None = None) -> DataFrame:
     """zscore (sample deviation), minmax or l2 over each partition; null where the spread is 0."""
-    w = Window.partitionBy(*(partition or []))
     v = F.col(value).cast("double")
+    measures = {"_m": F.avg(v), "_s": F.stddev_samp(v), "_a": F.min(v), "_b": F.max(v), "_q": F.sum(v * v)}
     ways: dict[str, Column] = {
-        "zscore": F.try_divide(v - F.avg(v).over(w), F.stddev_samp(v).over(w)),
-        "minmax": F.try_divide(v - F.min(v).over(w), F.max(v).over(w) - F.min(v).over(w)),
-        "l2": F.try_divide(v, F.sqrt(F.sum(v * v).over(w))),
+        "zscore": F.try_divide(v - F.col("_m"), F.col("_s")),
+        "minmax": F.try_divide(v - F.col("_a"), F.col("_b") - F.col("_a")),
+        "l2": F.try_divide(v, F.sqrt("_q")),
     }
     if method not in ways:
         raise ValueError(f"unknown method {method!r}; there are {sorted(ways)}")
-    return df.withColumn(method, ways[method])
+    if partition:
+        w = Window.partitionBy(*partition)
+        rows = df.withColumns({k: m.over(w) for k, m in measures.items()})
+    else:  # one row of measures, not a window over everything
+        rows = df.crossJoin(F.broadcast(df.agg(*[m.alias(k) for k, m in measures.items()])))
+    return rows.withColumn(method, ways[method]).drop(*measures)
 
 
 def correlation(x: str, y: str) -> Column:
