@@ -39,45 +39,71 @@ def distance(method: str, lat1: Column, lon1: Column, lat2: Column, lon2: Column
     return METHODS[method](lat1, lon1, lat2, lon2)
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
 def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance on the ellipsoid in metres: Vincenty's inverse formula, iterated until the longitude stands still (at most 200 steps).
 
     Points closer than rounding allows give 0. For nearly antipodal points the iteration doesn't settle; they give null.
+    Expressions in the iteration aren't shared by Spark, so each intermediate value is bound by name: written out, a row takes milliseconds.
     """
     b = A * (1 - FLAT)
+
+    def terms(f, lam, use):
+        def arcs(t):
+            p, q = f["cu2"] * t["sl"], f["cu1"] * f["su2"] - f["su1"] * f["cu2"] * t["cl"]
+            return F.struct(F.sqrt(p * p + q * q).alias("ss"), (f["su1"] * f["su2"] + f["cu1"] * f["cu2"] * t["cl"]).alias("cs"), t["sl"].alias("sl"))
+
+        def azimuth(t):
+            sa = F.when(t["ss"] == 0, 0.0).otherwise(F.try_divide(f["cu1"] * f["cu2"] * t["sl"], t["ss"]))
+            return F.struct(t["ss"].alias("ss"), t["cs"].alias("cs"), F.atan2(t["ss"], t["cs"]).alias("sig"), sa.alias("sa"))
+
+        def middle(t):
+            c2a = 1 - t["sa"] * t["sa"]
+            c2m = F.when(c2a == 0, 0.0).otherwise(t["cs"] - F.try_divide(2 * f["su1"] * f["su2"], c2a))
+            return F.struct(*[t[c].alias(c) for c in ("ss", "cs", "sig", "sa")], c2a.alias("c2a"), c2m.alias("c2m"))
+
+        turned = F.struct(F.sin(lam).alias("sl"), F.cos(lam).alias("cl"))
+        return _with(turned, lambda t: _with(arcs(t), lambda u: _with(azimuth(u), lambda v: _with(middle(v), use))))
+
+    def step(f, lam):
+        def after(t):
+            ss, cs, c2m = t["ss"], t["cs"], t["c2m"]
+            c = FLAT / 16 * t["c2a"] * (4 + FLAT * (4 - 3 * t["c2a"]))
+            return _with(c, lambda c: f["length"] + (1 - c) * FLAT * t["sa"] * (t["sig"] + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1))))
+
+        return terms(f, lam, after)
+
+    def finish(f, lam):
+        def metres(t):
+            ss, cs, c2m = t["ss"], t["cs"], t["c2m"]
+
+            def scaled(u):
+                big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+                small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+                delta = lambda s: s * ss * (c2m + s / 4 * (cs * (2 * c2m * c2m - 1) - s / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
+                return _with(small, lambda s: b * big * (t["sig"] - delta(s)))
+
+            return _with(t["c2a"] * ((A * A - b * b) / (b * b)), scaled)
+
+        return terms(f, lam, metres)
+
+    def settle(f, state):
+        moved = _with(step(f, state["lam"]), lambda after: F.struct(after.alias("lam"), (F.abs(after - state["lam"]) < 1e-13).alias("done")))
+        return F.when(state["done"], state).otherwise(moved)
+
+    def iterated(f):
+        start = F.struct(f["length"].alias("lam"), F.lit(False).alias("done"))
+        end = lambda state: F.when(state["done"] & (F.abs(state["lam"]) <= F.pi()), finish(f, state["lam"]))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, lambda state, _: settle(f, state), end)
+
     u1, u2 = F.atan((1 - FLAT) * F.tan(F.radians(lat1))), F.atan((1 - FLAT) * F.tan(F.radians(lat2)))
-    length = F.radians(lon2 - lon1)
-    su1, cu1, su2, cu2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-
-    def terms(lam):
-        sl, cl = F.sin(lam), F.cos(lam)
-        p, q = cu2 * sl, cu1 * su2 - su1 * cu2 * cl
-        ss, cs = F.sqrt(p * p + q * q), su1 * su2 + cu1 * cu2 * cl
-        sa = F.when(ss == 0, 0.0).otherwise(F.try_divide(cu1 * cu2 * sl, ss))
-        c2a = 1 - sa * sa
-        c2m = F.when(c2a == 0, 0.0).otherwise(cs - F.try_divide(2 * su1 * su2, c2a))
-        return ss, cs, F.atan2(ss, cs), sa, c2a, c2m
-
-    def step(lam, _):
-        ss, cs, sig, sa, c2a, c2m = terms(lam)
-        c = FLAT / 16 * c2a * (4 + FLAT * (4 - 3 * c2a))
-        return length + (1 - c) * FLAT * sa * (sig + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))
-
-    def finish(lam):
-        ss, cs, sig, _, c2a, c2m = terms(lam)
-        u = c2a * ((A * A - b * b) / (b * b))
-        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        delta = small * ss * (c2m + small / 4 * (cs * (2 * c2m * c2m - 1) - small / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
-        return b * big * (sig - delta)
-
-    def settle(state, _):
-        after = step(state["lam"], None)
-        still = F.abs(after - state["lam"]) < 1e-13
-        return F.when(state["done"], state).otherwise(F.struct(after.alias("lam"), still.alias("done")))
-
-    start = F.struct(length.alias("lam"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, settle, lambda state: F.when(state["done"] & (F.abs(state["lam"]) <= F.pi()), finish(state["lam"])))
+    reduced = F.struct(u1.alias("u1"), u2.alias("u2"), F.radians(lon2 - lon1).alias("length"))
+    fixed = lambda r: F.struct(F.sin(r["u1"]).alias("su1"), F.cos(r["u1"]).alias("cu1"), F.sin(r["u2"]).alias("su2"), F.cos(r["u2"]).alias("cu2"), r["length"].alias("length"))
+    return _with(reduced, lambda r: _with(fixed(r), iterated))
 
 
 def geodesic_step(lat: Column, lon: Column, metres: Column, bearing: float) -> tuple[Column, Column]:
