@@ -37,3 +37,52 @@ def test_geodesic_is_not_written_out(spark):
     """Each value of the iteration stands once in the expression, which is evaluated term by term."""
     df = spark.range(1).select(*[F.lit(1.0).alias(c) for c in "abcd"]).select(geo.geodesic_m(*map(F.col, "abcd")).alias("m"))
     assert df._jdf.queryExecution().analyzed().toString().count("sin(") < 20
+
+
+def places(spark, n=300, seed=5):
+    """Sites that share few places, two of them without one."""
+    rng = random.Random(seed)
+    at = [(round(rng.uniform(-20.1, -20.0), 3), round(rng.uniform(-44.1, -44.0), 3)) for _ in range(25)]
+    rows = [(i, *rng.choice(at), rng.choice([None, float(i)])) for i in range(n)] + [(900, None, 1.0, 1.0), (901, 1.0, None, 1.0)]
+    return rows, spark.createDataFrame(rows, "site long, lat double, lon double, value double")
+
+
+def km(a, b):
+    h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+    return 12742.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+def test_shared_places(spark, monkeypatch):
+    """Edges, sums, clusters and weights of sites that share places are those of all pairs; the greedy order has no limit."""
+    monkeypatch.setattr(spatial, "LISTED", 3)
+    rows, df = places(spark)
+    known = [r for r in rows if None not in r[1:3]]
+    near = {(a[0], b[0]): km(a, b) for a in known for b in known if a[0] != b[0] and km(a, b) <= 2.0}
+    edges = spatial.distance_edges(df, 2.0).collect()
+    assert len(edges) == len(near) / 2 and all(abs(near[r.a, r.b] - r.km) < 1e-9 and r.a < r.b for r in edges)
+    got = {r.site: (r.smoothed, r.n) for r in spatial.neighbour_sums(df, 2.0, 1000.0).collect()}
+    for a in known:
+        met = [(b[3], near[a[0], b[0]]) for b in known if (a[0], b[0]) in near]
+        terms = [v * 1000.0**-d for v, d in met if v is not None]
+        assert got[a[0]][1] == len(met) and abs(got[a[0]][0] - sum(terms) / len(terms)) < 1e-9
+    assert len(got) == len(known)
+    labels = {r.site: r.cluster for r in spatial.dbscan(df, 1.0, 30).collect()}
+    close = {a[0]: {b[0] for b in known if km(a, b) <= 1.0} for a in known}
+    core = {s for s, others in close.items() if len(others) >= 30}
+    want = {s: s for s in core}
+    while (new := {s: min(want[o] for o in close[s] if o in core) for s in core}) != want:
+        want = new
+    assert core and labels == {s[0]: want.get(s[0], min((want[o] for o in close.get(s[0], ()) if o in core), default=-1)) for s in rows}
+    left, order = sorted(known)[1:], sorted(known)[:1]
+    while left:
+        a = order[-1]
+        order.append(left.pop(min(range(len(left)), key=lambda i: ((left[i][1] - a[1]) ** 2 + (left[i][2] - a[2]) ** 2, left[i][0]))))
+    assert [r.site for r in spatial.greedy_places(df).orderBy("position").collect()] == [r[0] for r in order]
+    many = spark.range(6000).selectExpr("id as site", "id % 7 * 1.0 as lat", "id % 5 * 1.0 as lon")
+    assert spatial.greedy_places(many).agg(F.count("*"), F.max("position")).first() == (6000, 5999)
+    points = [(1, *known[0][1:3]), (1, -20.05, -44.05), (2, None, 0.0)]
+    out = {(r.id, r.lat): r.value for r in spatial.weighted_by_all(spark.createDataFrame(points, "id long, lat double, lon double"), df).collect()}
+    for p in points[:2]:
+        w = [(1 / km(p, s), s[3]) for s in known if s[3] is not None and s[1:3] != p[1:]]
+        assert abs(out[p[:2]] - sum(a * b for a, b in w) / sum(a for a, _ in w)) < 1e-9
+    assert out[2, None] is None
