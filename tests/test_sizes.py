@@ -86,3 +86,10 @@ def test_shared_places(spark, monkeypatch):
         w = [(1 / km(p, s), s[3]) for s in known if s[3] is not None and s[1:3] != p[1:]]
         assert abs(out[p[:2]] - sum(a * b for a, b in w) / sum(a for a, _ in w)) < 1e-9
     assert out[2, None] is None
+
+
+def test_traps_at_the_place_itself(spark):
+    """Of several traps at a centre the largest value counts, as in the SQL of geo_idw."""
+    c = spark.createDataFrame([(1, 0.0, 0.0)], "id long, lat double, lon double")
+    s = spark.createDataFrame([("p", 1, 0.0, 0.0, 5.0), ("p", 2, 0.0, 0.0, 7.0), ("p", 3, 1.0, 0.0, 9.0)], "period string, trap long, lat double, lon double, value double")
+    assert [(r.idw_value, r.traps) for r in spatial.idw(c, s).collect()] == [(7.0, "1,2,3")]
