@@ -93,3 +93,26 @@ def test_traps_at_the_place_itself(spark):
     c = spark.createDataFrame([(1, 0.0, 0.0)], "id long, lat double, lon double")
     s = spark.createDataFrame([("p", 1, 0.0, 0.0, 5.0), ("p", 2, 0.0, 0.0, 7.0), ("p", 3, 1.0, 0.0, 9.0)], "period string, trap long, lat double, lon double, value double")
     assert [(r.idw_value, r.traps) for r in spatial.idw(c, s).collect()] == [(7.0, "1,2,3")]
+
+
+def test_neighbours_of_sites(spark):
+    rows, df = places(spark, 80)
+    known = [r for r in rows if None not in r[1:3]]
+    out = {}
+    near = spatial.neighbours(df, 4)
+    for r in near.collect():
+        out.setdefault(r.site, []).append((r["rank"], r.other))
+    for a in known:
+        others = sorted((km(a, b) if a[1:3] != b[1:3] else 0.0, b[0]) for b in known if b[0] != a[0])[:4]
+        assert [o for _, o in sorted(out[a[0]])] == [a[0], *[b for _, b in others]]
+
+
+def test_trailing_window_and_mismatch_are_not_spread(spark):
+    """Exposures aren't spread over days, and two groupings by one key are one: no join."""
+    from vigil.plans import load, registry
+
+    load()
+    q = registry.queries()
+    d = "/root/testdata/sf0.001"
+    assert "Join" not in plan(q["jn_mismatch"](spark, d))
+    assert plan(q["iv_trailing_window"](spark, d)).count("explode(sequence(date_sub") == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.shared import drop_cut, numbered
+from vigil.operators.shared import cut, drop_cut, numbered
 
 
 def neighbour_lag_matrix(samples: DataFrame, spine: DataFrame, neighbours: DataFrame, n_lags: int, n_neighbours: int) -> DataFrame:
@@ -18,17 +18,22 @@ def neighbour_lag_matrix(samples: DataFrame, spine: DataFrame, neighbours: DataF
     """
     span = 2 * n_lags
     traps = samples.select("trap").distinct()
-    dense = traps.crossJoin(F.broadcast(spine.select("week").distinct())).join(samples.select("trap", "week", "day", "value"), ["trap", "week"], "left")
+    weeks = spine.select("week").distinct().withColumn("_w", F.row_number().over(Window.orderBy("week")))  # a row a week
+    dense = traps.crossJoin(F.broadcast(weeks)).join(samples.select("trap", "week", "day", "value"), ["trap", "week"], "left")
     w = Window.partitionBy("trap").orderBy("week").rowsBetween(-span, -1)
     seen = dense.withColumn("h", F.collect_list(F.when(F.col("value").isNotNull(), F.struct("week", "value", "day"))).over(w))
-    latest = seen.where(F.size("h") >= n_lags).select(F.col("trap").alias("other"), "week", F.slice(F.reverse("h"), 1, n_lags).alias("h"))
-    own = samples.where("value is not null").select("trap", "week", F.col("day").alias("_day"), "value")
-    near = own.join(neighbours.select("trap", "other", "rank"), "trap").join(latest, ["other", "week"])
-    r = F.row_number().over(Window.partitionBy("trap", "week").orderBy("rank", "other"))
-    near = near.withColumn("r", r).where(F.col("r") <= n_neighbours)
-    item = F.struct("r", "other", F.transform("h", lambda x: x["value"]).alias("values"), F.transform("h", lambda x: F.datediff(F.col("_day"), x["day"])).alias("days"))
-    out = near.groupBy("trap", "week").agg(F.first("value").alias("value"), F.array_sort(F.collect_list(item)).alias("features"))
-    return out.where(F.size("features") == n_neighbours)
+    seen = cut(seen.select("trap", "week", "_w", (F.size("h") >= n_lags).alias("ok"), F.when(F.size("h") >= n_lags, F.slice(F.reverse("h"), 1, n_lags)).alias("h")), "lags")
+    # Who is eligible in which week is a flag for each week of the spine: samples choose by flags, and only the chosen meet their lags.
+    flags = seen.groupBy(F.col("trap").alias("other")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "ok"))), lambda x: x["ok"]).alias("ok"))
+    near = neighbours.select("trap", "other", "rank").join(flags, "other").groupBy("trap").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "ok"))).alias("near"))
+    own = samples.where("value is not null").select("trap", "week", F.col("day").alias("_day"), "value").join(F.broadcast(weeks), "week")
+    able = F.transform(F.filter("near", lambda x: F.get(x["ok"], F.col("_w") - 1)), lambda x: x["other"])
+    picked = own.join(near, "trap").withColumn("able", F.slice(able, 1, n_neighbours)).where(F.size("able") == n_neighbours)
+    picked = picked.select("trap", "week", "_day", "value", F.posexplode("able").alias("r", "other"))
+    lags = seen.where("ok").select(F.col("trap").alias("other"), "week", "h")
+    met = picked.join(lags, ["other", "week"])
+    item = F.struct((F.col("r") + 1).alias("r"), "other", F.transform("h", lambda x: x["value"]).alias("values"), F.transform("h", lambda x: F.datediff(F.col("_day"), x["day"])).alias("days"))
+    return met.groupBy("trap", "week").agg(F.first("value").alias("value"), F.array_sort(F.collect_list(item)).alias("features"))
 
 
 def max_abs_scale(df: DataFrame, groups: dict[str, list[str]], train: Column) -> DataFrame:
