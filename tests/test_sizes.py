@@ -1,12 +1,13 @@
 """Work that must not grow faster than the input, and rows that such forms could get wrong."""
 
+import datetime
 import math
 import random
 
 from pyspark.sql import functions as F
 
 from vigil.functions import geo
-from vigil.operators import spatial, vectors
+from vigil.operators import intervals, spatial, vectors
 
 
 def plan(df):
@@ -116,3 +117,23 @@ def test_trailing_window_and_mismatch_are_not_spread(spark):
     d = "/root/testdata/sf0.001"
     assert "Join" not in plan(q["jn_mismatch"](spark, d))
     assert plan(q["iv_trailing_window"](spark, d)).count("explode(sequence(date_sub") == 0
+
+
+def test_daily_spread_shuffles_no_row_a_day(spark):
+    """Sums a day against plain ones: long, overlapping, early, empty and null exposures; rows meet by blocks of days."""
+    rng = random.Random(4)
+    day = lambda n: datetime.date(1970, 1, 1) + datetime.timedelta(n)
+    rows = [(rng.choice([1, 2, 3, None]), day(a), day(a + rng.choice([-3, 0, 1, 7, 16, 70])), rng.choice([None, 1.0, 5.0, 12.0])) for a in (rng.randrange(-90, 90) for _ in range(120))]
+    rows += [(9, day(5), day(5), 1.0), (8, None, day(3), 1.0), (7, day(-200), day(-199), None)]
+    df = spark.createDataFrame(rows, "trap int, dt_instal date, dt_col date, eggs double").repartition(3)
+    want = {}
+    for trap, a, b, v in rows:
+        for i in range((b - a).days if a else 0):
+            want.setdefault((trap, a + datetime.timedelta(i)), []).append(None if v is None else v / (b - a).days)
+    want = {k: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for k, v in want.items()}
+    same = lambda x, y: x is y if x is None or y is None else abs(x - y) < 1e-9
+    spread = intervals.daily_spread(df)
+    got = {(r.trap, r.day): r.eggs for r in spread.collect()}
+    assert len(got) == spread.count() and got.keys() == want.keys() and all(same(got[k], want[k]) for k in want)
+    grouped = [line for line in plan(spread).splitlines() if "HashAggregate" in line or "hashpartitioning" in line]
+    assert grouped and all("_block" in line and "day#" not in line for line in grouped)
