@@ -120,7 +120,7 @@ def test_trailing_window_and_mismatch_are_not_spread(spark):
 
 
 def test_daily_spread_shuffles_no_row_a_day(spark):
-    """Sums a day against plain ones: long, overlapping, early, empty and null exposures; rows meet by blocks of days."""
+    """Sums a day against plain ones: long, overlapping, early, empty and null exposures; rows meet by blocks of days, the dense form by no join."""
     rng = random.Random(4)
     day = lambda n: datetime.date(1970, 1, 1) + datetime.timedelta(n)
     rows = [(rng.choice([1, 2, 3, None]), day(a), day(a + rng.choice([-3, 0, 1, 7, 16, 70])), rng.choice([None, 1.0, 5.0, 12.0])) for a in (rng.randrange(-90, 90) for _ in range(120))]
@@ -137,3 +137,10 @@ def test_daily_spread_shuffles_no_row_a_day(spark):
     assert len(got) == spread.count() and got.keys() == want.keys() and all(same(got[k], want[k]) for k in want)
     grouped = [line for line in plan(spread).splitlines() if "HashAggregate" in line or "hashpartitioning" in line]
     assert grouped and all("_block" in line and "day#" not in line for line in grouped)
+    dense = intervals.dense_daily_spread(df)
+    assert not [line for line in plan(dense).splitlines() if "SortMergeJoin" in line or "HashJoin" in line]
+    days = sorted(k[1] for k in want)
+    filled = {(r.trap, r.day): r.eggs for r in dense.collect()}
+    assert dense.count() == len(filled) == len({k[0] for k in want}) * ((days[-1] - days[0]).days + 1)
+    assert all(same(v, None if k[0] is None else want.get(k)) for k, v in filled.items())
+    assert intervals.dense_daily_spread(df.limit(0)).count() == 0
