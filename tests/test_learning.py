@@ -177,3 +177,29 @@ def test_model_store(spark, table, tmp_path):
     assert store.load("gam")[1]["version"] == 8 and store.save("gam", model) == 10 and store.table().count() == 9
     with pytest.raises(KeyError):
         store.load("gam", 9)
+
+
+def test_fits_pass_over_packed_runs(spark, monkeypatch):
+    """Rows are stored once in blocks of runs: features are worked out once a run, whatever the order of rows, and the store is emptied; null and NaN rows stay out."""
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 4, 900) * 1.0, rng.integers(0, 3, 900) * 1.0
+    y = a - b * b + rng.normal(scale=0.1, size=900)
+    rows = [(float(p), float(q), float(v)) for p, q, v in zip(a, b, y)] + [(None, 1.0, 1.0), (1.0, float("nan"), 1.0), (1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    packed = learning.blocks(df, ["a", "b", "y"])
+    assert packed.count() == 3 and packed.agg(F.sum("runs")).first()[0] == 36
+    s = learning.block_sums(packed, 2, lambda u, lengths, v: np.array([lengths.sum(), lengths @ u[:, 0], lengths @ u[:, 1], v.sum(), np.repeat(u[:, 0], lengths) @ v]), 5)
+    assert np.allclose(s, [900, a.sum(), b.sum(), y.sum(), a @ y])
+    mean, deviation = learning.block_moments(packed, 2)
+    assert np.allclose(mean, [a.mean(), b.mean(), y.mean()]) and np.allclose(deviation, [a.std(), b.std(), y.std()])
+    learning.drop_cut(packed)
+    left = []
+    monkeypatch.setattr(learning, "drop_cut", lambda d: left.append(d))
+    m = learning.margin_model(df, ["a", "b"], "y", loss="epsilon_insensitive", gamma=0.5, features=6, steps=3)
+    x, at = np.column_stack([a, b]), learning.Margin(m.columns, m.mean, m.deviation, m.waves, m.phases, np.zeros(7), m.loss, m.middle, m.spread)
+    off = np.abs((y - at.middle) / at.spread) - 0.1 / at.spread
+    assert m.history[0] == pytest.approx(np.maximum(off, 0).mean()) and len(m.history) == 4 and np.isfinite(at.score(x)).all()
+    assert len(left) == 1
+    for fit in (learning.margin_model, learning.network):
+        with pytest.raises(ValueError):
+            fit(df.limit(0), ["a", "b"], "y")

@@ -1,5 +1,6 @@
 """Models whose fit is a sum over rows: each step is one distributed pass that adds up what its rows say, and only those sums
-(as many numbers as the model has parameters, or their square for least squares) come to the driver.
+(as many numbers as the model has parameters, or their square for least squares) come to the driver. Margins
+store their numbers first, in packed blocks, and work out rows of equal features once a run.
 
 * ``least_squares_sizes``: random hidden layers with ridge output weights, all sizes from one Gram matrix;
 * ``additive_model``: penalised B-splines of one or two columns with an identity or logit link, by weighted normal equations;
@@ -26,6 +27,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.shared import cut, drop_cut
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -39,26 +42,105 @@ def _numbers(df: DataFrame, columns: list) -> DataFrame:
     return df.select(*named).dropna()
 
 
+def _batch(total: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["s"])
+
+
+def _added(parts: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for r in parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
 def row_sums(df: DataFrame, columns: list, of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """The sum over all rows of the ``size`` numbers that ``of`` gives for a block of rows (a matrix of ``columns``).
 
     A task adds up its blocks and sends one array; arrays are added by position, partially before the shuffle, so the driver
     gets ``size`` numbers whatever the number of tasks.
     """
-    import pyarrow as pa
 
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 total += of(_matrix(batch))
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["s"])
+        yield _batch(total)
 
-    parts = _numbers(df, columns).mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
-    out = np.zeros(size)
-    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    return out
+    return _added(_numbers(df, columns).mapInArrow(run, "s array<double>"), size)
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows start, and their lengths."""
+    new = np.ones(len(x), bool)
+    new[1:] = False
+    for c in x.T:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(starts, append=len(x))
+
+
+def _run_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, np.cumsum(lengths) - lengths, axis=0) if len(values) else values
+
+
+def blocks(df: DataFrame, columns: list) -> DataFrame:
+    """Complete rows of ``columns`` (the target last) stored once for the passes of a fit, an Arrow batch in one packed row.
+
+    Rows are sorted where they lie, so that equal features follow each other: a block has a row of features for each run, the run's
+    length, and every row's target. What only depends on features is then found once a run, and a pass moves few large rows.
+    """
+    import pyarrow as pa
+
+    k = len(columns) - 1
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch)
+                starts, lengths = runs(x[:, :k])
+                body = np.concatenate([lengths, x[starts, :k].T.ravel(), x[:, k]]).astype(np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([len(starts)], pa.int32()), pa.array([body], pa.binary())], ["runs", "body"])
+
+    rows = _numbers(df, columns).sortWithinPartitions(*[f"c{i}" for i in range(k)]) if k else _numbers(df, columns)
+    return cut(rows.mapInArrow(pack, "runs int, body binary"), "blocks", 64)
+
+
+def block_sums(packed: DataFrame, features: int, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """``row_sums`` over ``blocks``: ``of`` gets the features of runs, the runs' lengths and the targets of all their rows."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for m, body in zip(batch.column(0), batch.column(1)):
+                m, flat = m.as_py(), np.frombuffer(body.as_buffer(), np.float64)
+                total += of(flat[m : m + m * features].reshape(features, m).T, flat[:m].astype(np.int64), flat[m + m * features :])
+        yield _batch(total)
+
+    return _added(packed.mapInArrow(run, "s array<double>"), size)
+
+
+def block_moments(packed: DataFrame, features: int, only: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``moments`` of the features and the target of ``blocks``; ``only`` picks runs and leaves out their last feature."""
+    some, k = only or (lambda *block: block), features + (only is None)
+
+    def first(*block):
+        u, lengths, y = some(*block)
+        return np.concatenate([[len(y)], lengths @ u, [y.sum()]])
+
+    s = block_sums(packed, features, first, k + 1)
+    if not s[0]:
+        raise ValueError("no complete row to learn from")
+    mean = s[1:] / s[0]
+
+    def second(*block):
+        u, lengths, y = some(*block)
+        return np.append(lengths @ (u - mean[:-1]) ** 2, ((y - mean[-1]) ** 2).sum())
+
+    v = block_sums(packed, features, second, k) / s[0]
+    return mean, np.where(v > 0, np.sqrt(v), 1.0)
 
 
 def with_prediction(df: DataFrame, columns: list[str], predict: Callable[[np.ndarray], np.ndarray], name: str = "prediction") -> DataFrame:
@@ -281,7 +363,8 @@ def margin_model(df: DataFrame, columns: list[str], target: str, loss: str = "hi
     if loss not in ("hinge", "epsilon_insensitive") or penalty not in ("l1", "l2", "elasticnet"):
         raise ValueError(f"unknown loss {loss!r} or penalty {penalty!r}")
     share = {"l1": 1.0, "l2": 0.0, "elasticnet": l1_ratio}[penalty]
-    mean, deviation = moments(df, [*columns, target])
+    packed = blocks(df, [*columns, target])
+    mean, deviation = block_moments(packed, len(columns))
     middle, spread = (0.0, 1.0) if loss == "hinge" else (float(mean[-1]), float(deviation[-1]))
     mean, deviation, epsilon = mean[:-1], deviation[:-1], epsilon / spread
     rng = np.random.default_rng(seed)
@@ -292,18 +375,19 @@ def margin_model(df: DataFrame, columns: list[str], target: str, loss: str = "hi
     best, rate, grown = (math.inf, model.weights), 0.5 if gamma else 0.3, np.zeros(k)
     for _ in range(steps + 1):
 
-        def gradient(x, w=model.weights, shape=model):
-            z, y = shape.features(x[:, :-1]), x[:, -1]
+        def gradient(u, lengths, y, w=model.weights, shape=model):
+            z = shape.features(u)
+            told = np.repeat(z @ w, lengths)
             if shape.loss == "hinge":
                 sign = np.where(y > 0, 1.0, -1.0)
-                short = 1 - sign * (z @ w)
-                out = -(z * sign[:, None])[short > 0].sum(0), np.maximum(short, 0).sum()
+                short = 1 - sign * told
+                slope, value = np.where(short > 0, -sign, 0.0), np.maximum(short, 0).sum()
             else:
-                off = z @ w - (y - shape.middle) / shape.spread
-                out = (z * np.sign(off)[:, None])[np.abs(off) > epsilon].sum(0), np.maximum(np.abs(off) - epsilon, 0).sum()
-            return np.concatenate([out[0], [out[1], len(x)]])
+                off = told - (y - shape.middle) / shape.spread
+                slope, value = np.where(np.abs(off) > epsilon, np.sign(off), 0.0), np.maximum(np.abs(off) - epsilon, 0).sum()
+            return np.concatenate([_run_sums(slope, lengths) @ z, [value, len(y)]])
 
-        s = row_sums(df, [*columns, target], gradient, k + 2)
+        s = block_sums(packed, len(columns), gradient, k + 2)
         w = model.weights[:-1]
         value = s[k] / s[k + 1] + alpha * (share * np.abs(w).sum() + (1 - share) / 2 * (w**2).sum())
         model.history.append(float(value))
@@ -315,6 +399,7 @@ def margin_model(df: DataFrame, columns: list[str], target: str, loss: str = "hi
         after = model.weights - pace * g
         after[:-1] = np.sign(after[:-1]) * np.maximum(np.abs(after[:-1]) - pace[:-1] * alpha * share, 0)
         model.weights = after
+    drop_cut(packed)
     model.weights = best[1]
     return model
 
