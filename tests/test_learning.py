@@ -199,7 +199,14 @@ def test_fits_pass_over_packed_runs(spark, monkeypatch):
     x, at = np.column_stack([a, b]), learning.Margin(m.columns, m.mean, m.deviation, m.waves, m.phases, np.zeros(7), m.loss, m.middle, m.spread)
     off = np.abs((y - at.middle) / at.spread) - 0.1 / at.spread
     assert m.history[0] == pytest.approx(np.maximum(off, 0).mean()) and len(m.history) == 4 and np.isfinite(at.score(x)).all()
-    assert len(left) == 1
+    n = learning.network(df, ["a", "b"], "y", hidden=(3,), steps=2, held_out=F.col("a") == 3)
+    test = a == 3
+    assert np.allclose(n.mean, x[~test].mean(0)) and np.allclose(n.deviation, x[~test].std(0)) and n.middle == pytest.approx(y[~test].mean())
+    assert len(left) == 2
+    g = n.gradient(x, y)
+    order = np.lexsort((b, a))
+    assert np.allclose(g, n.gradient(x[order], y[order]))
+    assert n.run_gradient(x[:0], np.zeros(0, int), y[:0])[-1] == 0
     for fit in (learning.margin_model, learning.network):
         with pytest.raises(ValueError):
             fit(df.limit(0), ["a", "b"], "y")

@@ -1,5 +1,5 @@
 """Models whose fit is a sum over rows: each step is one distributed pass that adds up what its rows say, and only those sums
-(as many numbers as the model has parameters, or their square for least squares) come to the driver. Margins
+(as many numbers as the model has parameters, or their square for least squares) come to the driver. Margins and networks
 store their numbers first, in packed blocks, and work out rows of equal features once a run.
 
 * ``least_squares_sizes``: random hidden layers with ridge output weights, all sizes from one Gram matrix;
@@ -463,14 +463,20 @@ class Network:
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Sums over rows of the slopes in all weights, then of the loss and of 1."""
-        z, kept = self.raw(x)
-        value, delta = self.loss_and_slope(z, y)
+        starts, lengths = runs(x)
+        return self.run_gradient(x[starts], lengths, y)
+
+    def run_gradient(self, u: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``gradient`` of runs of equal rows, each of which passes the layers once."""
+        z, kept = self.raw(u)
+        value, delta = self.loss_and_slope(np.repeat(z, lengths, axis=0), y)
+        delta = _run_sums(delta, lengths)
         out = []
         for i in range(len(self.layers) - 1, -1, -1):
             out.append((kept[i].T @ delta).ravel())
             if i:
                 delta = (delta @ self.layers[i][:-1].T) * (kept[i][:, :-1] > 0)
-        return np.concatenate([*out[::-1], [value.sum(), len(x)]])
+        return np.concatenate([*out[::-1], [value.sum(), len(y)]])
 
 
 def network(df: DataFrame, columns: list[str], target: str, hidden: tuple[int, ...] = (50, 25, 10), loss: str = "squared", rate: float = 0.01, steps: int = 200, patience: int = 15, held_out: Column | None = None, seed: int = 42) -> Network:
@@ -485,7 +491,13 @@ def network(df: DataFrame, columns: list[str], target: str, hidden: tuple[int, .
         raise ValueError(f"unknown loss {loss!r}; there are {sorted(outputs)}")
     names = [*columns, target]
     judged = F.coalesce(held_out if held_out is not None else F.pmod(F.xxhash64(*names), F.lit(10)) == 0, F.lit(False)).cast("double")
-    mean, deviation = moments(df.where(judged == 0), names)
+    packed, width = blocks(df, [*columns, judged, target]), len(columns) + 1
+
+    def rows_of(u, lengths, y, judging=False):
+        use = (u[:, -1] > 0) == judging
+        return u[use, :-1], lengths[use], y[np.repeat(use, lengths)]
+
+    mean, deviation = block_moments(packed, width, rows_of)
     middle, spread = (float(mean[-1]), float(deviation[-1])) if loss == "squared" else (0.0, 1.0)
     mean, deviation = mean[:-1], deviation[:-1]
     rng = np.random.default_rng(seed)
@@ -496,13 +508,12 @@ def network(df: DataFrame, columns: list[str], target: str, hidden: tuple[int, .
     first, second, best, since = np.zeros(k), np.zeros(k), (math.inf, layers), 0
     for step in range(1, steps + 1):
 
-        def sums(x, shape=model):
-            test = x[:, -1] > 0
-            learn = shape.gradient(x[~test, :-2], x[~test, -2])
-            value = shape.loss_and_slope(shape.raw(x[test, :-2])[0], x[test, -2])[0]
-            return np.concatenate([learn, [value.sum(), test.sum()]])
+        def sums(*block, shape=model):
+            u, lengths, y = rows_of(*block, judging=True)
+            value = shape.loss_and_slope(np.repeat(shape.raw(u)[0], lengths, axis=0), y)[0]
+            return np.concatenate([shape.run_gradient(*rows_of(*block)), [value.sum(), len(y)]])
 
-        s = row_sums(df, [*names, judged], sums, k + 4)
+        s = block_sums(packed, width, sums, k + 4)
         if not s[k + 1]:
             raise ValueError("no complete row to learn from")
         value = s[k + 2] / s[k + 3] if s[k + 3] else s[k] / s[k + 1]
@@ -519,6 +530,7 @@ def network(df: DataFrame, columns: list[str], target: str, hidden: tuple[int, .
             after.append(w - move[at : at + w.size].reshape(w.shape))
             at += w.size
         model.layers = after
+    drop_cut(packed)
     model.layers = best[1]
     return model
 
